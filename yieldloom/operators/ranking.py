@@ -83,3 +83,36 @@ def top_per_group(
     """
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(name) <= limit)
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+) -> DataFrame:
+    """Running sum of ``value`` inside each group, up to and including the row.
+
+    Like ``position_in_group``: sums inside (keys, bucket), plus the
+    pre-aggregated totals of the buckets before.
+    """
+    cells = [*keys, *bucket]
+    before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*cells)
+        .agg(F.sum(value).alias("_total"))
+        .select(*cells, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = (
+        Window.partitionBy(*cells)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        df.withColumn("_inside", F.sum(value).over(inside))
+        .join(offsets, cells)
+        .withColumn(name, F.col("_inside") + F.col("_offset"))
+        .drop("_inside", "_offset")
+    )

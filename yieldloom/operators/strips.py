@@ -125,8 +125,8 @@ def strip_fail_pattern(files: DataFrame) -> DataFrame:
     )
     columns = dies.groupBy("strip_id", "n_rows", "n_cols", "j").agg(
         F.count("j").alias("fails"),
-        F.count_if(center).alias("center"),
-        F.count_if(edge).alias("edge"),
+        F.count_if(j.isNotNull() & center).alias("center"),
+        F.count_if(j.isNotNull() & edge).alias("edge"),
     )
     residues = []
     for k in STRIPE_PERIODS:
@@ -149,7 +149,7 @@ def strip_fail_pattern(files: DataFrame) -> DataFrame:
                 & (F.coalesce(F.col(f"hits_{k}_{r}"), F.lit(0)) >= fails * STRIPE_SHARE)
                 & (F.col(f"cols_{k}_{r}") >= STRIPE_MIN_COLUMNS)
             )
-    cells = (rows * cols).cast("double")
+    cells = F.greatest(rows * cols, F.lit(1)).cast("double")
     edge_share = (rows * cols - band_cells(rows) * band_cells(cols)).cast("double") / cells
     pattern = (
         F.when(fails == 0, "none")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
+from yieldloom.functions.text import sections
 
 # Measurement limits of the five recipes: (key, min, max, active).
 SPEC_LIMITS = {
@@ -144,3 +145,227 @@ def strip_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("strip_id"), content.alias("content")
     )
+
+
+# --- documents and pages -------------------------------------------------------------------
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "documents")
+
+
+def _title() -> F.Column:
+    first = F.substring_index("text", "\n", 1)
+    numbered = F.concat(F.lit("["), F.upper("lang"), F.lit(" 시리즈 "), "n_chars", F.lit("편] "), first)
+    return (
+        F.when(F.col("lang") == "en", numbered)
+        .when(F.col("lang") == "de", F.concat(F.lit("["), "source", F.lit("] "), first))
+        .otherwise(first)
+    )
+
+
+def _url() -> F.Column:
+    return F.concat(F.lit("https://docs.example.com/"), "lang", F.lit("/"), "doc_id")
+
+
+def markdown_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as Markdown: short lines inside a text are its headings."""
+    return documents(spark, folder).select(
+        "doc_id",
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
+        "source",
+        _url().alias("url"),
+        _title().alias("title"),
+        F.col("lang").alias("language"),
+        F.when(F.col("source") == "src0", "glossary").otherwise("article").alias("doc_type"),
+        F.regexp_replace("text", "\n([^\n]{1,40})\n", "\n## $1\n").alias("body"),
+    )
+
+
+def paragraph_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Structured articles: the whole text is one section, each line a paragraph."""
+    section = F.struct(
+        F.lit(0).alias("ordinal"),
+        F.lit(None).cast("string").alias("heading"),
+        F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
+    )
+    return documents(spark, folder).select(
+        "doc_id",
+        _title().alias("title"),
+        "source",
+        _url().alias("url"),
+        F.lit(None).cast("string").alias("series"),
+        F.lit(None).cast("int").alias("part"),
+        F.col("lang").alias("language"),
+        F.lit("article").alias("doc_type"),
+        F.array(section).alias("sections"),
+    )
+
+
+def caption_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown documents with the caption list of their judged figures."""
+    def caption(section: F.Column, text: F.Column, status: F.Column) -> F.Column:
+        return F.struct(
+            section.cast("int").alias("section"), text.alias("caption"), status.alias("status")
+        )
+
+    judged = read_table(spark, folder, "labels").select(
+        "doc_id",
+        F.array(
+            caption(
+                F.col("quality") + F.col("toxic"),
+                F.concat(F.lit("figure "), F.col("quality").cast("string")),
+                F.when(F.col("toxic") == 1, "error: refused").otherwise("ok"),
+            ),
+            caption(F.lit(99), F.lit("closing figure"), F.lit("ok")),
+        ).alias("captions"),
+    )
+    return markdown_docs(spark, folder).join(judged, "doc_id", "left")
+
+
+def internal_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "benchmark").select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("slug"),
+        F.lit(None).cast("string").alias("doc_type"),
+        F.concat(
+            F.lit("# Item "),
+            F.col("item_id").cast("string"),
+            F.lit("\n"),
+            F.replace("text", F.lit("\n"), F.lit("\n## Part\n")),
+        ).alias("body"),
+    )
+
+
+def glossary_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary documents: one headed section per document, line ends start numbered senses."""
+    first = F.substring_index("text", "\n", 1)
+    section = F.struct(
+        F.lit(1).alias("ordinal"),
+        F.concat(F.substring_index(first, " ", 2), F.lit(" ("), "lang", F.lit(", "), "source", F.lit(")")).alias("heading"),
+        F.concat(
+            F.lit("(1) "), F.replace("text", F.lit(".\n"), F.lit(". (2) (in use): "))
+        ).alias("text"),
+    )
+    return documents(spark, folder).select(
+        "doc_id",
+        "source",
+        F.lit(None).cast("string").alias("url"),
+        F.col("lang").alias("language"),
+        F.lit("glossary").alias("doc_type"),
+        F.array(section).alias("sections"),
+    )
+
+
+def footnote_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles whose lines are footnotes: the first comma of a line ends the term."""
+    section = F.struct(
+        F.lit(0).alias("ordinal"),
+        F.lit(None).cast("string").alias("heading"),
+        F.concat(
+            F.lit("※ "),
+            F.replace(F.replace("text", F.lit(","), F.lit(":")), F.lit("\n"), F.lit("\n※ ")),
+        ).alias("text"),
+    )
+    return documents(spark, folder).select(
+        "doc_id",
+        "source",
+        F.lit(None).cast("string").alias("url"),
+        F.col("lang").alias("language"),
+        F.lit("article").alias("doc_type"),
+        F.array(section).alias("sections"),
+    )
+
+
+def part_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as cards; small parts only refer to the name of a larger one."""
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    see = F.concat(F.lit('See "'), F.upper("p_name"), F.lit(' Brand#1".'))
+    return read_table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.lower(name).alias("canonical_term"),
+        name.alias("term"),
+        F.array("p_brand", "p_type").alias("aliases"),
+        F.when(F.col("p_size") <= 10, see)
+        .otherwise(F.concat_ws(" ", "p_type", F.col("p_size").cast("string")))
+        .alias("definition"),
+        F.col("p_type").alias("source"),
+        F.when(F.col("p_size") <= 25, "parsed").otherwise("footnote").alias("extracted_by"),
+    )
+
+
+def page_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as listing rows and as fetched content."""
+    url = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "//(m|blog)\\.", "//")
+    return read_table(spark, folder, "pages").select(
+        "page_id",
+        url.alias("url"),
+        F.regexp_extract("url", "//[^/]+/([^/]+)/", 1).alias("tag"),
+        F.regexp_extract("url", "//([^/]+)/", 1).alias("source"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.col("html").alias("content"),
+    )
+
+
+def article_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "pages").select("page_id", "html")
+
+
+def illustrated_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose bold openings carry a figure."""
+    return read_table(spark, folder, "pages").select(
+        "page_id",
+        F.replace("html", F.lit("<b>"), F.lit('<img src="/fig.png" alt="figure"><b>')).alias("html"),
+    )
+
+
+def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the documents as page blocks; short lines are headings."""
+    return (
+        documents(spark, folder)
+        .select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")))
+        .select("page_id", "pos", F.col("col").alias("text"))
+    )
+
+
+def definition_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Section headings and their text as alternating heading and definition blocks."""
+    body = markdown_docs(spark, folder).select("doc_id", F.inline(sections(F.col("body"))))
+    block = F.inline(
+        F.array(
+            F.struct((F.col("ordinal") * 2).alias("pos"), F.lit("heading").alias("kind"), F.col("heading").alias("text")),
+            F.struct((F.col("ordinal") * 2 + 1).alias("pos"), F.lit("definition").alias("kind"), "text"),
+        )
+    )
+    return body.select(F.col("doc_id").alias("page_id"), F.col("ordinal").alias("section"), block)
+
+
+def spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as font spans: short lines are bold and end a term where they had a full stop."""
+    lines = line_blocks(spark, folder)
+    bold = F.length("text") < 40
+    return lines.select(
+        F.col("page_id").alias("doc_id"),
+        F.floor(F.col("pos") / 50).alias("page"),
+        "pos",
+        F.when(bold, F.regexp_replace("text", r"\.$", ":")).otherwise(F.col("text")).alias("text"),
+        F.lit(10.0).alias("size"),
+        bold.alias("bold"),
+    )
+
+
+def page_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """First lines of the documents as captions with a fetch status per language."""
+    status = (
+        F.when(F.col("lang") == "de", "download_failed")
+        .when(F.col("lang") == "es", F.concat(F.lit("error: "), "source"))
+        .when(F.col("n_chars") < 200, "svg_skipped")
+        .otherwise("ok")
+    )
+    return documents(spark, folder).select(
+        F.concat(F.lit("/img/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("src"),
+        "source",
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
+        F.lit(0).alias("section"),
+        F.substring_index("text", "\n", 1).alias("caption"),
+        status.alias("status"),
+    )
