@@ -530,11 +530,11 @@ counted AS (
   SELECT m.doc_id, (SELECT count(*) FROM grouped g WHERE g.doc_id = m.doc_id AND g.ordinal > 0) AS heads
   FROM md m),
 internal AS (
-  SELECT 'item-' || item_id AS slug, 'Item ' || item_id AS title, text FROM benchmark),
+  SELECT 'item-' || item_id AS slug, 'Item ' || item_id AS title, text AS raw FROM benchmark),
 internal_sections AS (
   SELECT slug, CASE WHEN n > 1 THEN 'Part' END AS heading, {strip_sql('line')} AS text, n - 1 AS ordinal
-  FROM (SELECT slug, unnest(string_split(text, chr(10))) AS line,
-               generate_subscripts(string_split(text, chr(10)), 1) AS n FROM internal)
+  FROM (SELECT slug, unnest(string_split(raw, chr(10))) AS line,
+               generate_subscripts(string_split(raw, chr(10)), 1) AS n FROM internal)
   WHERE {strip_sql('line')} <> ''),
 built AS (
   SELECT m.source || '-' || m.slug AS doc_id, m.source, m.url, m.title,

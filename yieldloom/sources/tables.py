@@ -369,3 +369,61 @@ def page_captions(spark: SparkSession, folder: str) -> DataFrame:
         F.substring_index("text", "\n", 1).alias("caption"),
         status.alias("status"),
     )
+
+
+# --- retrieval -----------------------------------------------------------------------------
+
+
+def text_records(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+
+
+def text_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vector_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Two collections in one table: labels below 5 are cards, the others article chunks."""
+    return read_table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("label") < 5, "glossary").otherwise("article").alias("kind"),
+        F.col("embedding").alias("vec"),
+        F.col("label").alias("label"),
+    )
+
+
+def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items with the vector of the same number."""
+    items = text_queries(spark, folder)
+    vectors = read_table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label"
+    )
+    return items.join(vectors, "query_id")
+
+
+def word_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """One card per document: its first word, with its second word as alias."""
+    words = F.split(F.regexp_replace(F.substring_index("text", "\n", 1), "[.,]", ""), " ")
+    return documents(spark, folder).select(
+        F.col("doc_id").alias("id"),
+        F.get(words, F.lit(0)).alias("term"),
+        F.slice(words, 2, 1).alias("aliases"),
+    )
+
+
+def user_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns of the conversations; turns of a conversation stay below 100,000."""
+    return (
+        read_table(spark, folder, "conversations")
+        .filter(F.col("role") == "user")
+        .select((F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), "text")
+    )
+
+
+def record_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).select(
+        F.col("doc_id").alias("id"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("content"),
+        F.when(F.col("lang") != "de", _url()).alias("source_url"),
+    )
