@@ -427,3 +427,261 @@ def record_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when(F.col("lang") != "de", _url()).alias("source_url"),
     )
+
+
+# --- questions, evaluation and telemetry ---------------------------------------------------
+
+
+def qa_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered corpus records that questions are written for."""
+    card = F.col("lang") == "en"
+    return documents(spark, folder).select(
+        F.concat(F.when(card, "card-").otherwise("chunk-"), F.col("doc_id").cast("string")).alias("id"),
+        F.when(card, "glossary_card").otherwise("article_chunk").alias("source_type"),
+        (F.col("doc_id") + 1).alias("number"),
+        "text",
+    )
+
+
+def qa_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Question rows: formal ones for longer texts, casual ones for most sources."""
+    card = F.col("lang") == "en"
+    first = F.substring_index("text", "\n", 1)
+
+    def row(phrasing: str, question: F.Column) -> F.Column:
+        return F.struct(F.lit(phrasing).alias("phrasing"), question.alias("question"))
+
+    rows = F.array_compact(
+        F.array(
+            F.when(F.col("n_chars") >= 300, row("formal", first)),
+            F.when(F.col("source") != "src3", row("casual", F.concat(first, F.lit("?")))),
+        )
+    )
+    return documents(spark, folder).select(
+        F.concat(F.when(card, "card-").otherwise("chunk-"), F.col("doc_id").cast("string")).alias("source_id"),
+        F.when(card, "glossary_card").otherwise("article_chunk").alias("source_type"),
+        F.when(F.col("lang") == "fr", "flow")
+        .when(F.col("lang") == "de", "judgment")
+        .otherwise("unsorted")
+        .alias("question_type"),
+        F.inline(rows),
+    )
+
+
+def classified_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with the label a weak rule gives them."""
+    return read_table(spark, folder, "events").select(
+        F.col("event_type").alias("expected"),
+        F.when(F.col("value") < 20, "error").otherwise(F.col("event_type")).alias("got"),
+    )
+
+
+def tool_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as tool-choice cases: the number in the properties decides what was called."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    label = F.when(F.col("value") < 50, "data").otherwise("knowledge")
+    return read_table(spark, folder, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", "knowledge").otherwise("data").alias("expected_label"),
+        label.alias("label"),
+        F.when(F.col("event_type") == "error", F.array().cast("array<string>"))
+        .when(F.col("event_type") == "view", F.array(F.lit("lot_info"), F.lit("step_history")))
+        .otherwise(F.array(F.lit("yield_by_group")))
+        .alias("expected_tools"),
+        F.when(k < 30, F.array(F.lit("lot_info")))
+        .when(k < 60, F.array(F.lit("yield_by_group"), F.lit("step_history")))
+        .otherwise(F.array(F.lit("strip_yield")))
+        .alias("called_tools"),
+    )
+
+
+def defect_events(spark: SparkSession, folder: str) -> DataFrame:
+    """One planted event per equipment; some name the measurement that caused it."""
+    return read_table(spark, folder, "supplier").select(
+        F.concat(F.lit("EV"), F.col("s_suppkey").cast("string")).alias("event_id"),
+        F.lit("R-F").alias("step"),
+        F.concat(F.lit("EQ"), F.col("s_suppkey").cast("string")).alias("eqp_id"),
+        F.lit("label-R").alias("defect_name"),
+        F.when(F.col("s_nationkey") < 12, "DISC").alias("root_cause_item"),
+    )
+
+
+def defect_event_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots with a high loss at the equipment of the event."""
+    return (
+        read_table(spark, folder, "lineitem")
+        .filter(F.col("l_discount") >= 0.09)
+        .select(
+            F.concat(F.lit("EV"), F.col("l_suppkey").cast("string")).alias("event_id"),
+            F.col("l_orderkey").alias("place"),
+            F.col("l_orderkey").alias("lot_id"),
+        )
+        .distinct()
+    )
+
+
+def strip_events(spark: SparkSession, folder: str) -> DataFrame:
+    """One planted strip pattern per region."""
+    names = F.array(*[F.lit(n) for n in ("center", "edge", "stripe", "scattered", "none")])
+    return read_table(spark, folder, "region").select(
+        F.concat(F.lit("SE"), F.col("r_regionkey").cast("string")).alias("event_id"),
+        F.get(names, F.col("r_regionkey")).alias("pattern"),
+    )
+
+
+def strip_event_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """Every lot is named by the two events its number points to."""
+    lots_ = read_table(spark, folder, "embeddings").select(F.col("label").alias("lot_id")).distinct()
+    named = F.explode(F.array(F.col("lot_id") % 4, (F.col("lot_id") + 1) % 4))
+    return lots_.select("lot_id", named.alias("event")).select(
+        F.concat(F.lit("SE"), F.col("event").cast("string")).alias("event_id"),
+        F.col("lot_id").alias("place"),
+        "lot_id",
+    )
+
+
+def answer_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as answers; keywords are any-of word lists and the source name."""
+    def group(*words: str) -> F.Column:
+        return F.array(*[F.lit(w) for w in words])
+
+    return documents(spark, folder).select(
+        F.col("doc_id").alias("case_id"),
+        F.col("source").alias("event_type"),
+        F.col("lang").alias("label"),
+        F.when(F.col("n_chars") < 200, "de").otherwise("en").alias("expected_label"),
+        F.col("text").alias("answer"),
+        F.array(group("the ", "der ", "que "), group("*the*"), group("on", "nothing")).alias(
+            "expected_keywords"
+        ),
+        F.contains("text", F.lit("and ")).alias("cited"),
+    )
+
+
+def eval_case_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Case files with one case per benchmark item; keywords mix texts and lists."""
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    word = [F.get(words, F.lit(i)) for i in range(3)]
+    keywords = F.concat(
+        F.lit('["'), word[0], F.lit('", ["'), word[1], F.lit('", "'), word[2], F.lit('"]]')
+    )
+    return read_table(spark, folder, "benchmark").select(
+        F.concat(
+            F.lit('{"cases": [{"id": "c'),
+            F.col("item_id").cast("string"),
+            F.lit('", "query": "q", "expected_intent": "data", "expected_tools": ["a", "b"], "expected_keywords": '),
+            keywords,
+            F.lit("}]}"),
+        ).alias("content")
+    )
+
+
+def judge_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored labels as verdicts; English documents count as strip events."""
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    verdict = F.create_map(
+        *[
+            part
+            for name, value in (
+                ("strip", good),
+                ("pattern", clean),
+                ("cause_sound", good & clean),
+                ("step", good),
+                ("equipment", clean),
+            )
+            for part in (F.lit(name), value)
+        ]
+    )
+    return (
+        read_table(spark, folder, "labels")
+        .join(documents(spark, folder).select("doc_id", "lang"), "doc_id")
+        .select(
+            F.col("doc_id").alias("case_id"),
+            F.when(F.col("lang") == "en", "strip_pattern").otherwise("defect").alias("event_type"),
+            verdict.alias("verdict"),
+        )
+    )
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations; middle-sized answers are written as reports with a summary section."""
+    first = F.substring_index("text", "\n", 1)
+    report = F.concat(
+        F.lit("# Report\n## 1. 요약\n"), first, F.lit("\nsecond line\n\n---\n## 2. Detail\n"), "text"
+    )
+    is_report = (F.col("role") == "assistant") & F.length("text").between(300, 600)
+    return read_table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", F.when(is_report, report).otherwise(F.col("text")).alias("text")
+    )
+
+
+def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Assistant turns with an expectation and two tool calls that set the same argument."""
+    def pairs(*items: tuple[str, F.Column]) -> F.Column:
+        return F.create_map(*[p for key, value in items for p in (F.lit(key), value)])
+
+    conv = F.col("conv_id").cast("string")
+    turn = F.col("turn").cast("string")
+    long = F.length("text") > 300
+    return (
+        read_table(spark, folder, "conversations")
+        .filter(F.col("role") == "assistant")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(long, "root_cause").otherwise("data").alias("label"),
+            F.lit("data").alias("expect_label"),
+            conv.alias("lot_id"),
+            F.when(F.col("turn") > 1, F.when(long, "none").otherwise(conv)).alias("expect_lot_id"),
+            F.array(F.lit("lot_info"), F.lit("step_history")).alias("tools"),
+            F.when(F.col("turn") < 3, F.when(long, "strip_yield").otherwise("lot_info")).alias("expect_tool"),
+            F.array(pairs(("lot", conv), ("step", conv)), pairs(("step", turn))).alias("calls"),
+            F.when(F.col("turn") > 1, pairs(("step", turn), ("lot", turn))).alias("expect_input"),
+            F.array(F.lit("e"), F.lit("the")).alias("expect_words"),
+            F.col("text").alias("answer"),
+        )
+    )
+
+
+def run_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a user as the rows of one evaluation run."""
+    return read_table(spark, folder, "events").select(
+        F.col("user_id").alias("run_id"),
+        F.col("ts").cast("date").alias("day"),
+        F.struct("ts", "event_id").alias("seq"),
+        F.when(F.col("event_type").isin("error", "view"), "error").otherwise("ok").alias("label"),
+    )
+
+
+def runs_from_events(events: DataFrame) -> DataFrame:
+    """Telemetry records: the number in the properties is the length of the step log."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    step = lambda i: F.struct(
+        F.when(i % 3 == 0, "RAG 검색").when(i % 3 == 1, "Function Call").otherwise("Router").alias("step")
+    )
+    log = F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), step)).otherwise(
+        F.array().cast("array<struct<step:string>>")
+    )
+    return events.select(
+        F.col("event_id").alias("run_id"),
+        "ts",
+        F.col("event_type").alias("intent"),
+        F.bround("value").cast("long").alias("latency_ms"),
+        log.alias("log"),
+    )
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_from_events(read_table(spark, folder, "events"))
+
+
+def tool_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Event properties as tool results, some with an error or only a message."""
+    kind = F.col("event_type")
+    result = (
+        F.when(kind == "error", F.lit('{"error": "not found"}'))
+        .when(kind == "view", F.lit('{"message": "nothing recorded"}'))
+        .when(kind == "signup", F.lit('{"message": "partial", "recipe": "R1"}'))
+        .otherwise(F.col("props"))
+    )
+    return read_table(spark, folder, "events").select("event_id", result.alias("result"))
