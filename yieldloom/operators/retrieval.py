@@ -311,10 +311,19 @@ def tokenize(records: DataFrame) -> DataFrame:
     return records.select("id", X.tokens(F.col("text")).alias("tokens"))
 
 
-def bm25_postings(records: DataFrame) -> DataFrame:
-    """Postings (term, id, tf, dl) of all records in one index."""
+def placed_by_id(records: DataFrame) -> DataFrame:
+    """Whole texts moved once; whatever is grouped by id afterwards stays in place."""
+    return records.select("id", "text").repartition("id")
+
+
+def bm25_postings(placed: DataFrame) -> DataFrame:
+    """Postings (term, id, tf, dl) of all records in one index.
+
+    With records placed by id, counting terms per record needs no shuffle of
+    its own, and moving a text is cheaper than moving its counted terms.
+    """
     return (
-        tokenize(records)
+        tokenize(placed)
         .select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -359,10 +368,11 @@ def document_frequencies(records: DataFrame) -> DataFrame:
 
 def bm25_index(records: DataFrame) -> DataFrame:
     """Vocabulary of the index: document frequency, total frequency, idf."""
-    vocabulary = bm25_postings(records).groupBy("term").agg(
+    placed = placed_by_id(records)
+    vocabulary = bm25_postings(placed).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
     )
-    return idf_table(vocabulary, corpus_size(records).select("n").scalar())
+    return idf_table(vocabulary, corpus_size(placed).select("n").scalar())
 
 
 def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -372,8 +382,9 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     query terms and adding up scores all reuse that placement, and only local
     top-n rows leave their task. Repeated query terms count each time.
     """
-    size = corpus_size(records)
-    idf = idf_table(document_frequencies(records), size.select("n").scalar())
+    placed = placed_by_id(records)
+    size = corpus_size(placed)
+    idf = idf_table(document_frequencies(placed), size.select("n").scalar())
     wanted = (
         queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
         .groupBy("query_id", "term")
@@ -383,9 +394,7 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     )
     terms = wanted.select("term").distinct()
     counted = (
-        records.select("id", "text")
-        .repartition("id")
-        .select("id", X.tokens(F.col("text")).alias("tokens"))
+        tokenize(placed)
         .select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("id", "dl", "term")

@@ -24,7 +24,7 @@ def _md5(name: str) -> F.Column:
 
 def read_corpus_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as chunk lines and read back with the fixed schema."""
-    lines = tables.documents(spark, folder).select(
+    lines = tables.texts(spark, folder).select(
         F.to_json(
             F.struct(
                 F.concat(F.lit("chunk-"), F.col("doc_id").cast("string")).alias("id"),
@@ -41,7 +41,7 @@ def read_corpus_jsonl(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_clean_docs(spark: SparkSession, folder: str) -> DataFrame:
-    files = tables.documents(spark, folder).select(
+    files = tables.texts(spark, folder).select(
         "doc_id",
         F.concat(
             F.lit("---\ntitle: "),
@@ -158,7 +158,7 @@ def apply_exclusions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
-    rows = documents.normalize_documents(tables.documents(spark, folder))
+    rows = documents.normalize_documents(tables.texts(spark, folder))
     return rows.select("doc_id", F.length("text").alias("chars"), _md5("text").alias("text_md5"))
 
 

@@ -65,13 +65,13 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, folder: str) -> DataFrame:
-    rows = retrieval.bm25_index(tables.text_records(spark, folder))
+    rows = retrieval.bm25_index(tables.stored_records(spark, folder))
     return rows.withColumn("idf", F.round("idf", 6))
 
 
 def _keyword(spark: SparkSession, folder: str, n: int = TOP_N) -> DataFrame:
     return retrieval.bm25_topk(
-        tables.text_records(spark, folder), tables.text_queries(spark, folder), n
+        tables.stored_records(spark, folder), tables.text_queries(spark, folder), n
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions.text import sections
+from yieldloom.sources.spread import spread
 
 # Measurement limits of the five recipes: (key, min, max, active).
 SPEC_LIMITS = {
@@ -154,6 +155,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work on their whole text."""
+    return spread(documents(spark, folder), "doc_id")
+
+
 def _title() -> F.Column:
     first = F.substring_index("text", "\n", 1)
     numbered = F.concat(F.lit("["), F.upper("lang"), F.lit(" 시리즈 "), "n_chars", F.lit("편] "), first)
@@ -170,7 +176,7 @@ def _url() -> F.Column:
 
 def markdown_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as Markdown: short lines inside a text are its headings."""
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
         "source",
@@ -189,7 +195,7 @@ def paragraph_docs(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("heading"),
         F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
     )
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         _title().alias("title"),
         "source",
@@ -246,7 +252,7 @@ def glossary_docs(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("(1) "), F.replace("text", F.lit(".\n"), F.lit(". (2) (in use): "))
         ).alias("text"),
     )
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         "source",
         F.lit(None).cast("string").alias("url"),
@@ -266,7 +272,7 @@ def footnote_docs(spark: SparkSession, folder: str) -> DataFrame:
             F.replace(F.replace("text", F.lit(","), F.lit(":")), F.lit("\n"), F.lit("\n※ ")),
         ).alias("text"),
     )
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         "source",
         F.lit(None).cast("string").alias("url"),
@@ -307,12 +313,12 @@ def page_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def article_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "pages").select("page_id", "html")
+    return spread(read_table(spark, folder, "pages"), "page_id").select("page_id", "html")
 
 
 def illustrated_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose bold openings carry a figure."""
-    return read_table(spark, folder, "pages").select(
+    return spread(read_table(spark, folder, "pages"), "page_id").select(
         "page_id",
         F.replace("html", F.lit("<b>"), F.lit('<img src="/fig.png" alt="figure"><b>')).alias("html"),
     )
@@ -321,7 +327,7 @@ def illustrated_pages(spark: SparkSession, folder: str) -> DataFrame:
 def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the documents as page blocks; short lines are headings."""
     return (
-        documents(spark, folder)
+        texts(spark, folder)
         .select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")))
         .select("page_id", "pos", F.col("col").alias("text"))
     )
@@ -375,6 +381,11 @@ def page_captions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_records(spark: SparkSession, folder: str) -> DataFrame:
+    return texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
+
+
+def stored_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for operators that place the records themselves."""
     return documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
 
 
@@ -457,7 +468,7 @@ def qa_rows(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("source") != "src3", row("casual", F.concat(first, F.lit("?")))),
         )
     )
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         F.concat(F.when(card, "card-").otherwise("chunk-"), F.col("doc_id").cast("string")).alias("source_id"),
         F.when(card, "glossary_card").otherwise("article_chunk").alias("source_type"),
         F.when(F.col("lang") == "fr", "flow")
@@ -545,7 +556,7 @@ def answer_cases(spark: SparkSession, folder: str) -> DataFrame:
     def group(*words: str) -> F.Column:
         return F.array(*[F.lit(w) for w in words])
 
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("case_id"),
         F.col("source").alias("event_type"),
         F.col("lang").alias("label"),
@@ -672,7 +683,7 @@ def runs_from_events(events: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    return runs_from_events(read_table(spark, folder, "events"))
+    return runs_from_events(spread(read_table(spark, folder, "events"), "event_id"))
 
 
 def tool_results(spark: SparkSession, folder: str) -> DataFrame:
