@@ -50,16 +50,17 @@ def parse_period(start: str, end: str) -> Period:
     return period
 
 
-def check_overlap(steps: DataFrame, period: Period) -> Period:
-    """Refuse a period that misses the data; one min/max row comes back to the driver."""
+def check_overlap(steps: DataFrame, *periods: Period) -> tuple[Period, ...]:
+    """Refuse periods that miss the data; one min/max row comes back to the driver."""
     low, high = steps.agg(
         F.min("track_out_time").cast("date"), F.max("track_out_time").cast("date")
     ).first()
-    if low is None or period.end < low or period.start > high:
-        raise ValueError(
-            f"no data in {period.start}..{period.end}; data covers {low}..{high}"
-        )
-    return period
+    for period in periods:
+        if low is None or period.end < low or period.start > high:
+            raise ValueError(
+                f"no data in {period.start}..{period.end}; data covers {low}..{high}"
+            )
+    return periods
 
 
 def clamp_limit(limit: object, default: int) -> int:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Plain decimal text only: the numeric cast also accepts suffixes such as '1.5d'.
-NUMERIC_TEXT = r"^[ ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ ]*$"
-
-
 def yield_pct(out_qty: Column, in_qty: Column) -> Column:
     """Weighted yield in percent with two decimals; null when there was no input.
 
@@ -21,8 +17,13 @@ def yield_pct(out_qty: Column, in_qty: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """Parse measurement text to double; anything that is not plain decimal text is null."""
-    return F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("double"))
+    """Parse measurement text to double; text that is not a number is null.
+
+    The cast alone would also take '1.5d', '2f' and hexadecimal floats.
+    """
+    clean = F.lower(F.trim(text))
+    suffixed = F.right(clean, F.lit(1)).isin("d", "f") & ~F.endswith(clean, F.lit("inf"))
+    return F.when(~(suffixed | F.contains(clean, F.lit("x"))), clean.try_cast("double"))
 
 
 def yield_text_to_number(text: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Glossary cards and article chunks from structured documents."""
+"""Glossary cards and article chunks from structured documents.
+
+Arrays that are costly to compute are expanded with the outer variants: from an
+inner one Spark derives a filter on the array and computes it a second time.
+"""
 
 from __future__ import annotations
 
@@ -66,7 +70,7 @@ def cards_from_glossary(docs: DataFrame, sense_sources: Sequence[str] = ()) -> D
     """One card per headed section; sources with numbered senses give one card per sense."""
     entries = (
         docs.filter(F.col("doc_type") == "glossary")
-        .select("doc_id", "source", "url", "language", F.inline("sections"))
+        .select("doc_id", "source", "url", "language", F.inline_outer("sections"))
         .filter(F.col("heading").isNotNull())
         .withColumn("t", X.term_and_aliases(F.col("heading")))
     )
@@ -74,7 +78,7 @@ def cards_from_glossary(docs: DataFrame, sense_sources: Sequence[str] = ()) -> D
     definitions = F.when(
         F.col("source").isin(*sense_sources), split_senses(F.col("t.term"), text)
     ).otherwise(F.array(text))
-    return entries.select("*", F.posexplode(definitions).alias("sense", "definition")).select(
+    return entries.select("*", F.posexplode_outer(definitions).alias("sense", "definition")).select(
         *_card(F.col("t.term"), F.col("t.aliases"), F.col("definition"), "parsed")
     )
 
@@ -87,8 +91,9 @@ def cards_from_footnotes(docs: DataFrame) -> DataFrame:
     )
     rows = (
         docs.filter(F.col("doc_type") == "article")
-        .select("doc_id", "source", "url", "language", F.inline("sections"))
-        .select("*", F.posexplode(notes).alias("sense", "note"))
+        .select("doc_id", "source", "url", "language", F.inline_outer("sections"))
+        .select("*", F.posexplode_outer(notes).alias("sense", "note"))
+        .filter(F.col("note").isNotNull())
         .withColumn("t", X.term_and_aliases(F.col("note.raw")))
     )
     return rows.select(
@@ -180,7 +185,7 @@ def pack_paragraphs(text: Column, max_tokens: int) -> Column:
 def chunk_sections(docs: DataFrame) -> DataFrame:
     """Article sections as chunks: whole up to the limit, else packed by paragraph."""
     rows = docs.filter(F.col("doc_type") == "article").select(
-        "doc_id", "title", "source", "url", "series", "part", "language", F.inline("sections")
+        "doc_id", "title", "source", "url", "series", "part", "language", F.inline_outer("sections")
     )
     text = F.col("text")
     parts = F.when(
@@ -192,9 +197,11 @@ def chunk_sections(docs: DataFrame) -> DataFrame:
         F.concat(F.lit(" ("), F.col("piece") + 1, F.lit("/"), F.col("n_parts"), F.lit(")")),
     ).otherwise(F.lit(""))
     return (
-        rows.withColumn("parts", parts)
+        rows.filter(F.col("ordinal").isNotNull())
+        .withColumn("parts", parts)
         .withColumn("n_parts", F.size("parts"))
-        .select("*", F.posexplode("parts").alias("piece", "chunk"))
+        .select("*", F.posexplode_outer("parts").alias("piece", "chunk"))
+        .filter(F.col("chunk").isNotNull())
         .select(
             "doc_id",
             "ordinal",

@@ -47,13 +47,15 @@ def quality_gate(docs: DataFrame) -> DataFrame:
 
 def split_sections(docs: DataFrame) -> DataFrame:
     """One row per section."""
-    return docs.select("doc_id", F.inline(X.sections(F.col("body"))))
+    return docs.select("doc_id", F.inline_outer(X.sections(F.col("body")))).filter(
+        F.col("ordinal").isNotNull()
+    )
 
 
 def md_header_sections(docs: DataFrame) -> DataFrame:
     """Headed sections only, without the preamble and without bold markers."""
     headed = F.filter(X.sections(F.col("body")), lambda s: s["heading"].isNotNull())
-    return docs.select("doc_id", F.inline(headed)).select(
+    return docs.select("doc_id", F.inline_outer(headed)).filter(F.col("ordinal").isNotNull()).select(
         "doc_id",
         "ordinal",
         F.col("heading").alias("title"),

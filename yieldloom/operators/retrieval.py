@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
+from yieldloom.operators.joins import joined_side
 from yieldloom.operators.ranking import top_per_group
 
 # Shape of the keyword score, exact hits per query, context format.
@@ -74,26 +75,27 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
     per_key = top_per_group(placed, ["key"], ["id"], limit, "_n").join(first, "key").select(
         "key", F.col("id").alias("card_id"), "first"
     )
-    keys = first.select("key", _anchor(F.col("key")).alias("anchor"))
-    longest = keys.agg(F.max(F.length("key"))).first()[0] or MIN_KEY_CHARS
+    size = index.agg(F.max(F.length("key")).alias("longest"), F.countDistinct("key").alias("n")).first()
+    longest = size.longest or MIN_KEY_CHARS
+    keys = joined_side(first.select("key", _anchor(F.col("key")).alias("anchor")), size.n)
 
     # Long texts are cut into overlapping pieces first, so that taking a substring
     # never walks the whole text.
     text = X.canonical_term(F.col("text"))
     pieces = queries.select("query_id", text.alias("q")).select(
         "query_id",
-        F.explode(_substrings("q", F.length("q"), PIECE_CHARS, PIECE_CHARS + longest - 1)).alias("piece"),
+        F.explode_outer(_substrings("q", F.length("q"), PIECE_CHARS, PIECE_CHARS + longest - 1)).alias("piece"),
     )
     windows = pieces.select(
         "query_id",
-        F.explode(
+        F.explode_outer(
             _substrings("piece", F.least(F.length("piece"), F.lit(PIECE_CHARS)), 1, longest)
         ).alias("tail"),
     )
     grams = windows.filter(F.length("tail") >= MIN_KEY_CHARS).select(
         "query_id",
         "tail",
-        F.explode(
+        F.explode_outer(
             F.array_distinct(
                 F.array(*[F.substr(F.col("tail"), F.lit(1), F.lit(n)) for n in ANCHOR_LENGTHS])
             )
@@ -307,6 +309,10 @@ def format_context(queries: DataFrame, results: DataFrame, texts: DataFrame) ->
 # --- keywords -----------------------------------------------------------------------------
 
 
+# Rows are expanded with the outer variants below: the inner ones let Spark derive a filter on
+# the expanded array, which would tokenise every text again at the scan.
+
+
 def tokenize(records: DataFrame) -> DataFrame:
     return records.select("id", X.tokens(F.col("text")).alias("tokens"))
 
@@ -324,7 +330,8 @@ def bm25_postings(placed: DataFrame) -> DataFrame:
     """
     return (
         tokenize(placed)
-        .select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -360,7 +367,8 @@ def document_frequencies(records: DataFrame) -> DataFrame:
     """How many records hold a term; each record counts once before the shuffle."""
     return (
         tokenize(records)
-        .select(F.explode(F.array_distinct("tokens")).alias("term"))
+        .select(F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -395,7 +403,7 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     terms = wanted.select("term").distinct()
     counted = (
         tokenize(placed)
-        .select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.quantities import number_or_null
+from yieldloom.operators.joins import broadcast_if_small
 
 
 def check_spec_keys(specs: DataFrame) -> DataFrame:
@@ -34,34 +35,34 @@ def active_specs(specs: DataFrame) -> DataFrame:
 
 def lot_recipe_specs(mapping: DataFrame, specs: DataFrame) -> DataFrame:
     """Active limits of each lot's recipe."""
-    return lot_recipes(mapping).join(active_specs(specs), "recipe")
+    return lot_recipes(mapping).join(broadcast_if_small(active_specs(specs)), "recipe")
 
 
 def checked_readings(readings: DataFrame, mapping: DataFrame, specs: DataFrame) -> DataFrame:
     """Measurements with numeric value and limits, classified as below, above or in range.
 
-    Limits are inclusive. The recipe master is joined first: it drops the keys
-    without a limit before the large join by lot.
+    Limits are inclusive, and a NaN is neither below nor above them. Keys without
+    a limit are dropped before the large join by lot.
     """
-    limits = (
+    limits = broadcast_if_small(
         active_specs(specs)
         .withColumn("low", number_or_null(F.col("min_text")))
         .withColumn("high", number_or_null(F.col("max_text")))
         .filter(F.col("low").isNotNull() & F.col("high").isNotNull())
     )
-    limited_keys = limits.select("key").distinct()
-    numeric = (
-        readings.join(limited_keys, "key", "left_semi")
-        .withColumn("number", number_or_null(F.col("value")))
-        .filter(F.col("number").isNotNull())
-    )
+    limited_keys = broadcast_if_small(limits.select("key").distinct())
+    number, low, high = F.col("number"), F.col("low"), F.col("high")
     state = (
-        F.when(F.col("number") < F.col("low"), "below_min")
-        .when(F.col("number") > F.col("high"), "above_max")
+        F.when(F.isnan(number) | F.isnan(low) | F.isnan(high), "in_spec")
+        .when(number < low, "below_min")
+        .when(number > high, "above_max")
         .otherwise("in_spec")
     )
     return (
-        numeric.join(lot_recipes(mapping), "lot_id")
+        readings.join(limited_keys, "key", "left_semi")
+        .withColumn("number", number_or_null(F.col("value")))
+        .filter(F.col("number").isNotNull())
+        .join(lot_recipes(mapping), "lot_id")
         .join(limits, ["recipe", "key"])
         .withColumn("state", state)
     )

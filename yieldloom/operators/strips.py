@@ -30,9 +30,8 @@ def map_lines(content: Column) -> Column:
 
 def parse_strip_files(files: DataFrame) -> DataFrame:
     """(strip_id, content) -> one row per grid row, numbered from 0 over map lines only."""
-    return files.select("strip_id", F.posexplode(map_lines(F.col("content")))).select(
-        "strip_id", F.col("pos").alias("row_idx"), F.col("col").alias("bits")
-    )
+    lines = F.posexplode_outer(map_lines(F.col("content"))).alias("row_idx", "bits")
+    return files.select("strip_id", lines).filter(F.col("bits").isNotNull())
 
 
 def fail_count(bits: Column) -> Column:

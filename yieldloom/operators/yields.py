@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from yieldloom.functions.guards import Period, choose, clamp_limit
 from yieldloom.functions.quantities import yield_pct
 from yieldloom.operators.ranking import position_in_group
+from yieldloom.sources.scratch import checkpoint
 
 STEP_ORDER = ["step_seq", "track_out_time", "eqp_id", "in_qty", "reject", "step_name"]
 
@@ -166,8 +167,11 @@ def lots_in_period(steps: DataFrame, period: Period) -> DataFrame:
 
 
 def low_yield_lots(steps: DataFrame, period: Period, limit: object = 10) -> DataFrame:
-    """Lots with the lowest final yield; ``lots_in_period`` counts all before the limit."""
-    lots = lots_in_period(steps, period)
+    """Lots with the lowest final yield; ``lots_in_period`` counts all before the limit.
+
+    One row per lot is written out, so that the count does not read the steps again.
+    """
+    lots = checkpoint(lots_in_period(steps, period))
     order = [F.col("final_yield"), F.col("lot_id")]
     total = lots.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = lots.orderBy(*order).limit(clamp_limit(limit, 10))
@@ -201,8 +205,13 @@ def yield_totals(steps: DataFrame, by: str, period: Period) -> DataFrame:
 def yield_by_group(
     steps: DataFrame, by: str, period: Period, limit: object = 20
 ) -> DataFrame:
-    """Weighted yield per group: weakest first, months in time order; cut after the count."""
-    groups = yield_totals(steps, by, period).filter(F.col("yield_pct").isNotNull())
+    """Weighted yield per group: weakest first, months in time order; cut after the count.
+
+    One row per group is written out, so that the count does not read the steps again.
+    """
+    groups = checkpoint(
+        yield_totals(steps, by, period).filter(F.col("yield_pct").isNotNull())
+    )
     order = ["group_key"] if by == "month" else ["yield_pct", "group_key"]
     total = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = groups.orderBy(*order).limit(clamp_limit(limit, 20))

@@ -206,7 +206,8 @@ def parse_series(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_captions(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.caption_docs(spark, folder).withColumn("sections", X.sections(F.col("body")))
-    rows = documents.merge_captions(docs).select("doc_id", "n_captions", F.inline("sections"))
+    rows = documents.merge_captions(docs).select("doc_id", "n_captions", F.inline_outer("sections")
+    ).filter(F.col("ordinal").isNotNull())
     return rows.select("doc_id", "n_captions", "ordinal", _md5("text").alias("text_md5"))
 
 
@@ -240,9 +241,9 @@ def term_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_senses(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.glossary_docs(spark, folder).select("doc_id", F.inline("sections"))
+    docs = tables.glossary_docs(spark, folder).select("doc_id", F.inline_outer("sections"))
     senses = corpus.split_senses(F.col("heading"), F.col("text"))
-    return docs.select("doc_id", F.posexplode(senses).alias("sense", "text")).select(
+    return docs.select("doc_id", F.posexplode_outer(senses).alias("sense", "text")).select(
         "doc_id", "sense", _md5("text").alias("text_md5")
     )
 

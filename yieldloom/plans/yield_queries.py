@@ -16,8 +16,8 @@ FIRST_DAYS = ("1996-03-01", "1996-03-04")
 SECOND_DAYS = ("1996/09/01", "1996/09/04")
 
 
-def _period(steps: DataFrame, bounds: tuple[str, str]) -> Period:
-    return check_overlap(steps, parse_period(*bounds))
+def _periods(steps: DataFrame, *bounds: tuple[str, str]) -> tuple[Period, ...]:
+    return check_overlap(steps, *(parse_period(*b) for b in bounds))
 
 
 def _day(name: str) -> F.Column:
@@ -166,49 +166,49 @@ def known_values_guard(spark: SparkSession, folder: str) -> DataFrame:
 def low_yield_by_target(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
     rows = yields.low_yield_by_target(
-        steps, _period(steps, YEAR_RANGE), step_name="R-F", limit=50
+        steps, *_periods(steps, YEAR_RANGE), step_name="R-F", limit=50
     )
     return rows.withColumn("track_out_time", _day("track_out_time"))
 
 
 def low_yield_lots(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
-    return yields.low_yield_lots(steps, _period(steps, YEAR_RANGE), limit=20)
+    return yields.low_yield_lots(steps, *_periods(steps, YEAR_RANGE), limit=20)
 
 
 def yield_by_group(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
-    return yields.yield_by_group(steps, "equipment", _period(steps, YEAR_RANGE))
+    return yields.yield_by_group(steps, "equipment", *_periods(steps, YEAR_RANGE))
 
 
 def yield_by_step(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
-    return yields.yield_by_group(steps, "step", _period(steps, YEAR_RANGE))
+    return yields.yield_by_group(steps, "step", *_periods(steps, YEAR_RANGE))
 
 
 def yield_by_month(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
-    return yields.yield_by_group(steps, "month", _period(steps, YEAR_RANGE), limit=50)
+    return yields.yield_by_group(steps, "month", *_periods(steps, YEAR_RANGE), limit=50)
 
 
 def yield_period_compare(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
     return yields.yield_period_compare(
-        steps, "equipment", _period(steps, FIRST_HALF), _period(steps, SECOND_HALF), limit=50
+        steps, "equipment", *_periods(steps, FIRST_HALF, SECOND_HALF), limit=50
     )
 
 
 def yield_trend_counts(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
     return yields.yield_trend_counts(
-        steps, "equipment", _period(steps, FIRST_HALF), _period(steps, SECOND_HALF)
+        steps, "equipment", *_periods(steps, FIRST_HALF, SECOND_HALF)
     )
 
 
 def period_only_groups(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
     return yields.period_only_groups(
-        steps, "equipment", _period(steps, FIRST_DAYS), _period(steps, SECOND_DAYS)
+        steps, "equipment", *_periods(steps, FIRST_DAYS, SECOND_DAYS)
     )
 
 

@@ -88,9 +88,10 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             F.col("l_orderkey").alias("lot_id"),
             F.concat(F.lit("EQ"), F.col("l_suppkey").cast("string")).alias("eqp_id"),
-            F.explode(F.array_compact(entries)).alias("entry"),
+            F.explode(entries).alias("entry"),
             F.col("l_shipdate").alias("ts"),
         )
+        .filter(F.col("entry").isNotNull())
         .select("lot_id", "eqp_id", "entry.key", "entry.value", "ts")
     )
     return schemas.require_columns(rows, schemas.READINGS, "readings")
@@ -108,8 +109,12 @@ def recipe_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 def recipe_specs(spark: SparkSession) -> DataFrame:
     """The recipe master is a small reference list."""
-    rows = [(recipe, *limit) for recipe, limits in SPEC_LIMITS.items() for limit in limits]
-    return spark.createDataFrame(rows, schemas.SPECS)
+    rows = [
+        F.struct(*[F.lit(v).alias(n) for v, n in zip((recipe, *limit), schemas.SPECS.names, strict=True)])
+        for recipe, limits in SPEC_LIMITS.items()
+        for limit in limits
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def lots(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,14 +333,14 @@ def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the documents as page blocks; short lines are headings."""
     return (
         texts(spark, folder)
-        .select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")))
+        .select(F.col("doc_id").alias("page_id"), F.posexplode_outer(F.split("text", "\n")))
         .select("page_id", "pos", F.col("col").alias("text"))
     )
 
 
 def definition_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Section headings and their text as alternating heading and definition blocks."""
-    body = markdown_docs(spark, folder).select("doc_id", F.inline(sections(F.col("body"))))
+    body = markdown_docs(spark, folder).select("doc_id", F.inline_outer(sections(F.col("body"))))
     block = F.inline(
         F.array(
             F.struct((F.col("ordinal") * 2).alias("pos"), F.lit("heading").alias("kind"), F.col("heading").alias("text")),
