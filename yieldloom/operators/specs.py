@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldloom.functions.quantities import number_or_null
-from yieldloom.operators.joins import broadcast_if_small
+from yieldloom.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, joined_side
 
 
 def check_spec_keys(specs: DataFrame) -> DataFrame:
@@ -44,13 +44,14 @@ def checked_readings(readings: DataFrame, mapping: DataFrame, specs: DataFrame)
     Limits are inclusive, and a NaN is neither below nor above them. Keys without
     a limit are dropped before the large join by lot.
     """
-    limits = broadcast_if_small(
+    limits = (
         active_specs(specs)
         .withColumn("low", number_or_null(F.col("min_text")))
         .withColumn("high", number_or_null(F.col("max_text")))
         .filter(F.col("low").isNotNull() & F.col("high").isNotNull())
     )
-    limited_keys = broadcast_if_small(limits.select("key").distinct())
+    rows = limits.limit(MAX_BROADCAST_ROWS + 1).count()
+    limited_keys = joined_side(limits.select("key").distinct(), rows)
     number, low, high = F.col("number"), F.col("low"), F.col("high")
     state = (
         F.when(F.isnan(number) | F.isnan(low) | F.isnan(high), "in_spec")
@@ -63,7 +64,7 @@ def checked_readings(readings: DataFrame, mapping: DataFrame, specs: DataFrame)
         .withColumn("number", number_or_null(F.col("value")))
         .filter(F.col("number").isNotNull())
         .join(lot_recipes(mapping), "lot_id")
-        .join(limits, ["recipe", "key"])
+        .join(joined_side(limits, rows), ["recipe", "key"])
         .withColumn("state", state)
     )
 

@@ -84,7 +84,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     rows = (
-        read_table(spark, folder, "lineitem")
+        spread(read_table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey")
         .select(
             F.col("l_orderkey").alias("lot_id"),
             F.concat(F.lit("EQ"), F.col("l_suppkey").cast("string")).alias("eqp_id"),
