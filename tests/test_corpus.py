@@ -203,7 +203,7 @@ def test_page_blocks(spark):
     got = [(r.section, r.kind, r.text or r.src) for r in blocks.orderBy("page_id", "pos").collect()]
     assert got == [
         (1, "heading", "First & one"), (1, "paragraph", "Body bold text"), (1, "image", "a.png"),
-        (1, "footnote", "T1: d1"), (1, "footnote", "T2: d2"), (1, "table_row", "a | b"), (1, "caption", "cap"),
+        (1, "footnote", "T1: d1"), (1, "footnote", "T2: d2"), (1, "table_row", "| a | b |"), (1, "caption", "cap"),
         (2, "heading", "Second"), (2, "paragraph", "open"), (2, "paragraph", "next"),
     ]
     assert [tuple(r) for r in pages.page_images(blocks).collect()] == [(1, 2, 1, "a.png", "A")]

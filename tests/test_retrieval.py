@@ -27,7 +27,10 @@ def test_exact_terms_equal_brute_force_over_long_texts(spark):
     rng = np.random.default_rng(5)
     letters = np.array(list("ab cde"))
     keys = sorted({"".join(rng.choice(letters, rng.integers(2, 45))).strip() for _ in range(150)})
+    # Many keys with one prefix take the path over whole keys.
+    keys += [f"shared prefix of many keys no {i}" for i in range(100)]
     texts = ["".join(rng.choice(letters, n)) for n in (3, 500, 1600, 3000)]
+    texts += ["a shared prefix of many keys no 55 and shared prefix of many keys no 7"]
     texts.append(texts[2][:505] + keys[-1] + " " + keys[40] + texts[1])
     cards = spark.createDataFrame([(i, k, []) for i, k in enumerate(keys)], "id long, term string, aliases array<string>")
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")

@@ -28,12 +28,12 @@ def ingest_steps(raw: DataFrame) -> DataFrame:
 def write_ingested(steps: DataFrame, path: str) -> None:
     """Store ingested steps by month, so that a period filter prunes folders.
 
-    Rows of a month are spread over several tasks by lot instead of one writer
-    per month.
+    Rebalancing gathers a month and splits it again where it is large, so files
+    are neither tiny nor written by one task.
     """
-    steps.repartition("TRACK_OUT_MONTH", F.pmod(F.hash("LOTID"), F.lit(16))).write.partitionBy(
-        "TRACK_OUT_MONTH"
-    ).mode("errorifexists").parquet(path)
+    steps.hint("rebalance", "TRACK_OUT_MONTH").write.partitionBy("TRACK_OUT_MONTH").mode(
+        "errorifexists"
+    ).parquet(path)
 
 
 def lot_info(lots: DataFrame, lot_ids: list[int] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from yieldloom.functions import text as X
 from yieldloom.operators.ranking import running_total
 
 BLOCKS = "page_id long, pos int, section int, kind string, text string, src string, alt string"
+CELL = "\x1f"  # start of a table cell while a row is read
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -111,8 +112,10 @@ class _BlockReader(HTMLParser):
         elif kind is not None:
             self._close()
             self._kind, self._tag = kind, tag
-        elif tag in ("br", "td", "th"):
-            self._text.append("\n" if tag == "br" else " | ")
+        elif tag == "br":
+            self._text.append("\n")
+        elif tag in ("td", "th") and self._kind == "table_row":
+            self._text.append(CELL)
 
     def handle_endtag(self, tag: str) -> None:
         if self._dropped:
@@ -136,7 +139,10 @@ class _BlockReader(HTMLParser):
             text = "".join(self._text)
             parts = text.split("\n") if self._kind == "footnote" else [text]
             for part in parts:
-                clean = " ".join(part.split()).strip("| ")
+                clean = " ".join(part.split())
+                if self._kind == "table_row":
+                    cells = [" ".join(cell.split()) for cell in part.split(CELL)[1:]]
+                    clean = f"| {' | '.join(cells)} |"
                 if clean:
                     if self._kind in self.rules.headings:
                         self.section += 1

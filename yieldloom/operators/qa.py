@@ -78,20 +78,15 @@ def leakage_safe_split(rows: DataFrame, seed: int = 42) -> DataFrame:
     n = F.col("n")
     n_train = F.bround(n * TRAIN_SHARE).cast("long")
     n_valid = F.least(F.bround(n * VALID_SHARE).cast("long"), n - n_train)
-    cuts = (
-        free.groupBy("source_type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("source_type", n_train.alias("n_train"), n_valid.alias("n_valid"))
+    placed = position_in_group(
+        free, ["source_type"], ["bucket"], ["hash", "source_id"], "place", total="n"
     )
-    placed = position_in_group(free, ["source_type"], ["bucket"], ["hash", "source_id"], "place")
     split = (
-        F.when(F.col("place") <= F.col("n_train"), "train")
-        .when(F.col("place") <= F.col("n_train") + F.col("n_valid"), "valid")
+        F.when(F.col("place") <= n_train, "train")
+        .when(F.col("place") <= n_train + n_valid, "valid")
         .otherwise("test")
     )
-    return placed.join(cuts, "source_type").select("source_id", split.alias("split")).unionByName(
-        forced
-    )
+    return placed.select("source_id", split.alias("split")).unionByName(forced)
 
 
 def apply_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ def position_in_group(
     bucket: Sequence[str],
     order: Sequence[str],
     name: str,
+    total: str | None = None,
 ) -> DataFrame:
     """1-based position of each row in its group, ordered by ``bucket`` and then ``order``.
 
@@ -27,12 +28,14 @@ def position_in_group(
     finely (a day, a hash prefix). Rows are ranked inside (keys, bucket) and
     shifted by the size of the buckets before. The sizes are pre-aggregated, so
     the running sum sees one row per bucket. Keys and buckets must not be null.
+    ``total`` names a column for the size of the whole group.
     """
     cells = [*keys, *bucket]
     sizes = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    group_size = [F.sum("_size").over(Window.partitionBy(*keys)).alias(total)] if total else []
     offsets = sizes.select(
-        *cells, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        *cells, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"), *group_size
     )
     inside = Window.partitionBy(*cells).orderBy(*order)
     return (

@@ -15,6 +15,7 @@ from yieldloom import schemas
 from yieldloom.functions import text as X
 from yieldloom.operators.joins import joined_side
 from yieldloom.operators.ranking import top_per_group
+from yieldloom.sources.scratch import checkpoint
 
 # Shape of the keyword score, exact hits per query, context format.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -23,8 +24,10 @@ MIN_KEY_CHARS = 2
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 EMPTY_CONTEXT = "관련 지식을 찾을 수 없습니다."
 
-# Keys are found by their longest prefix of one of these lengths.
+# Keys are found by their longest prefix of one of these lengths; where more keys than this
+# share a prefix, by the whole key.
 ANCHOR_LENGTHS = (2, 4, 8, 16, 32)
+MAX_KEYS_PER_ANCHOR = 32
 PIECE_CHARS = 512
 
 # Query vectors up to this many values are sent to the tasks; more go in blocks.
@@ -48,13 +51,28 @@ def term_index(cards: DataFrame) -> DataFrame:
     )
 
 
-def _anchor(key: Column) -> Column:
+def _prefix(key: Column) -> Column:
     length = F.lit(ANCHOR_LENGTHS[0])
     for size in ANCHOR_LENGTHS[1:]:
         length = F.when(F.length(key) >= size, size).otherwise(length)
     return F.substr(key, F.lit(1), length)
 
 
+def anchored_keys(keys: DataFrame) -> DataFrame:
+    """(key) -> (key, anchor, whole): a prefix that few keys share, or the key itself."""
+    prefixed = keys.withColumn("prefix", _prefix(F.col("key")))
+    crowded = (
+        prefixed.groupBy("prefix")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > MAX_KEYS_PER_ANCHOR)
+        .select("prefix", F.lit(True).alias("whole"))
+    )
+    whole = F.coalesce("whole", F.lit(False))
+    return prefixed.join(crowded, "prefix", "left").select(
+        "key", F.when(whole, F.col("key")).otherwise(F.col("prefix")).alias("anchor"), whole.alias("whole")
+    )
+
+
 def _substrings(column: str, last: Column, step: int, size: int) -> Column:
     """Substrings of ``size`` characters from every ``step``-th position up to ``last``."""
     starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))
@@ -66,18 +84,25 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
 
     Containment is an equi-join: every key has an anchor (its prefix of length
     2, 4, 8, 16 or 32), every query position offers its substrings of those
-    lengths, and the rest of the key is compared afterwards. Of a key shared by
-    many cards only the first ``limit`` can ever be returned, so each key keeps
-    just those before the join.
+    lengths, and the rest of the key is compared afterwards. Keys in a crowd with
+    the same prefix are their own anchor, so a substring never meets more than a
+    few keys. Of a key shared by many cards only the first ``limit`` can ever be
+    returned, so each key keeps just those before the join.
     """
     placed = index.groupBy("key", "id").agg(F.min("pos").alias("pos"))
     first = placed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"))
     per_key = top_per_group(placed, ["key"], ["id"], limit, "_n").join(first, "key").select(
         "key", F.col("id").alias("card_id"), "first"
     )
-    size = index.agg(F.max(F.length("key")).alias("longest"), F.countDistinct("key").alias("n")).first()
+    anchored = checkpoint(anchored_keys(first.select("key")))
+    size = anchored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.length("key")).alias("longest"),
+        F.collect_set(F.when(F.col("whole"), F.length("key"))).alias("whole_lengths"),
+    ).first()
     longest = size.longest or MIN_KEY_CHARS
-    keys = joined_side(first.select("key", _anchor(F.col("key")).alias("anchor")), size.n)
+    lengths = sorted({*ANCHOR_LENGTHS, *size.whole_lengths})
+    keys = joined_side(anchored.select("key", "anchor"), size.n)
 
     # Long texts are cut into overlapping pieces first, so that taking a substring
     # never walks the whole text.
@@ -97,7 +122,7 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
         "tail",
         F.explode_outer(
             F.array_distinct(
-                F.array(*[F.substr(F.col("tail"), F.lit(1), F.lit(n)) for n in ANCHOR_LENGTHS])
+                F.array(*[F.substr(F.col("tail"), F.lit(1), F.lit(n)) for n in lengths])
             )
         ).alias("anchor"),
     )
@@ -338,11 +363,11 @@ def bm25_postings(placed: DataFrame) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Postings by term bucket; a frequent term is spread over several files of its bucket."""
+    """Postings by term bucket; rebalancing splits the bucket of a frequent term into files."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
-    postings.withColumn("bucket", bucket).repartition(
-        "bucket", F.pmod(F.xxhash64("id"), F.lit(8))
-    ).write.partitionBy("bucket").mode("errorifexists").parquet(path)
+    postings.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy(
+        "bucket"
+    ).mode("errorifexists").parquet(path)
 
 
 def corpus_size(records: DataFrame) -> DataFrame:

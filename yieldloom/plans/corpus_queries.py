@@ -506,6 +506,54 @@ chunks AS (
   FROM raw_chunks JOIN md USING (doc_id) WINDOW d AS (PARTITION BY doc_id))"""
 CHUNKS_SQL = CHUNKS_SQL.replace("RECURSIVE_paras", "paras")
 
+def blocks_sql(figures: int) -> str:
+    """Blocks of the article element by splitting at the tags; ``figures`` counts bold openings."""
+    text = "regexp_replace(part, '(?s)</(p|h1)>.*$', '')"
+    text = f"regexp_replace(regexp_replace({text}, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    text = f"replace(replace({text}, '&quot;', '\"'), '&amp;', '&')"
+    text = strip_sql(f"regexp_replace(nfc_normalize({text}), '\\s+', ' ', 'g')")
+    return f"""articles AS (
+  SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
+parts AS (
+  SELECT page_id, unnest(string_split_regex(body, '<(p|h1)>')) AS part,
+         unnest(list_prepend('', regexp_extract_all(body, '<(p|h1)>', 1))) AS tag,
+         generate_subscripts(string_split_regex(body, '<(p|h1)>'), 1) AS n FROM articles),
+texts AS (
+  SELECT page_id, n, tag, CASE WHEN tag = '' THEN '' ELSE {text} END AS text,
+         {figures} * len(regexp_extract_all(part, '<b>')) AS figures FROM parts),
+blocks AS (
+  SELECT *, (sum(figures + (text <> '')::INT) OVER w - (text <> '')::INT - figures)::INT AS before,
+         sum((tag = 'h1' AND text <> '')::INT) OVER w::INT AS through
+  FROM texts WINDOW w AS (PARTITION BY page_id ORDER BY n))"""
+
+
+SPANS_SQL = f"""spans AS (
+  SELECT *, {strip_sql('text')} AS clean FROM (
+    SELECT doc_id, n, length(line) < 40 AS bold,
+           CASE WHEN length(line) < 40 THEN regexp_replace(line, '\\.$', ':') ELSE line END AS text
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents))),
+marked AS (
+  SELECT *, bold AND clean LIKE '%:' AS closes_term, NOT bold OR clean LIKE '%:' AS closes
+  FROM spans WHERE clean <> '' AND NOT regexp_matches(clean, '^(#|___)')),
+numbered AS (
+  SELECT *, sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY n) - closes::INT AS unit FROM marked),
+units AS (
+  SELECT doc_id, unit, bool_or(closes_term) AS is_term,
+         string_agg(CASE WHEN bold THEN clean ELSE text END, ' ' ORDER BY n) AS piece,
+         max(clean) FILTER (closes) AS last
+  FROM numbered GROUP BY ALL HAVING bool_or(closes)),
+opened AS (
+  SELECT *, is_term AND (piece NOT LIKE '(%' OR unit = min(unit) FILTER (is_term)
+                                                 OVER (PARTITION BY doc_id)) AS opens FROM units),
+entered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY unit) AS entry FROM opened),
+entries AS (
+  SELECT doc_id, entry::BIGINT AS entry,
+         max({strip_sql("regexp_replace(piece, ':+$', '')")}) FILTER (opens) AS term,
+         coalesce(string_agg(CASE WHEN is_term THEN last ELSE piece END, ' ' ORDER BY unit)
+                  FILTER (NOT opens), '') AS text
+  FROM entered WHERE entry > 0 GROUP BY ALL)"""
+
 CAPTION_LIST_SQL = """figures AS (
   SELECT doc_id, quality + toxic AS section, 'figure ' || quality AS caption, 1 AS n
   FROM labels WHERE toxic = 0
@@ -557,6 +605,17 @@ built AS (
   FROM internal JOIN internal_sections USING (slug) GROUP BY slug)"""
 
 ORACLES = {
+    "page_blocks": f"""WITH {blocks_sql(0)}
+SELECT page_id, before AS pos, through AS section,
+  CASE tag WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS kind, text FROM blocks WHERE text <> ''""",
+    "page_images": f"""WITH {blocks_sql(1)}
+SELECT page_id, before + f AS pos, through - (tag = 'h1' AND text <> '')::INT AS section,
+  '/fig.png' AS src, 'figure' AS alt
+FROM blocks, LATERAL (SELECT unnest(range(figures))::INT AS f)""",
+    "glossary_from_spans": f"""WITH {SPANS_SQL}, clean AS (
+  SELECT doc_id, entry, {NORMALIZED} AS definition, {NORMALIZED.replace('(text)', '(term)')} AS term
+  FROM entries)
+SELECT * FROM clean WHERE length(definition) >= 10""",
     "read_corpus_jsonl": """SELECT 'chunk-' || doc_id AS id, doc_id::VARCHAR AS doc_id,
   md5(text) AS text_md5, source, NULL::VARCHAR AS series, lang AS language,
   (n_chars // 2)::INT AS n_tokens FROM documents""",

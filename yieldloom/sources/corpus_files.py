@@ -111,10 +111,8 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
-    """One folder per split; a split may be most of the data, so it is spread by source."""
-    rows.repartition("split", F.pmod(F.hash("source_id"), F.lit(32))).write.partitionBy(
-        "split"
-    ).mode("errorifexists").json(path)
+    """One folder per split; rebalancing spreads a split that is most of the data."""
+    rows.hint("rebalance", "split").write.partitionBy("split").mode("errorifexists").json(path)
 
 
 def read_splits(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
