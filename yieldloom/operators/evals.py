@@ -68,14 +68,17 @@ def verify_defect_cases(
         "eqp_id",
         F.col("defect_type").alias("defect_name"),
     )
-    items = violations.select("lot_id", F.col("key").alias("root_cause_item")).distinct()
+    items = (
+        violations.select("lot_id", F.col("key").alias("root_cause_item"))
+        .distinct()
+        .withColumn("violated", F.lit(True))
+    )
     agreeing = event_lots.join(events, "event_id").join(
         found, ["lot_id", "step", "eqp_id", "defect_name"], "left_semi"
     )
-    with_item = agreeing.filter(F.col("root_cause_item").isNotNull()).join(
-        items, ["lot_id", "root_cause_item"], "left_semi"
+    verified = agreeing.join(items, ["lot_id", "root_cause_item"], "left").filter(
+        F.col("root_cause_item").isNull() | F.col("violated")
     )
-    verified = with_item.unionByName(agreeing.filter(F.col("root_cause_item").isNull()))
     picked = top_per_group(verified, ["event_id"], ["place", "lot_id"], per_event, "case_no")
     any_of = F.concat(
         F.array(F.array("step"), F.array("eqp_id"), X.defect_name_variants(F.col("defect_name"))),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions import text as X
 from yieldloom.operators.ranking import running_total
+from yieldloom.sources.scratch import checkpoint
 
 BLOCKS = "page_id long, pos int, section int, kind string, text string, src string, alt string"
 CELL = "\x1f"  # start of a table cell while a row is read
@@ -231,6 +232,8 @@ def glossary_from_spans(spans: DataFrame, min_size: float = 9.0, max_size: float
         F.max(F.when(F.col("closes") == 1, F.col("clean"))).alias("last"),
         F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]).alias("pieces"),
     ).filter(F.col("closed") == 1)
+    # Read three times below.
+    units = checkpoint(units)
     candidate = X.strip(F.regexp_replace(F.array_join("pieces", " "), ":+$", ""))
     terms = units.withColumn("candidate", F.when(F.col("is_term"), candidate))
     first_term = terms.filter("is_term").groupBy("doc_id").agg(F.min("unit").alias("first_unit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions import text as X
 from yieldloom.operators.ranking import position_in_group
+from yieldloom.sources.scratch import checkpoint
 
 # Number of casual speaking styles, and the split shares.
 CASUAL_STYLES = 6
@@ -65,13 +66,24 @@ def leakage_safe_split(rows: DataFrame, seed: int = 42) -> DataFrame:
     gives the same split, and the first hash digits cut a large type into even
     buckets.
     """
-    shared = rows.join(ambiguous_questions(rows), "question", "left_semi").select("source_id").distinct()
-    sources = rows.groupBy("source_id").agg(F.min("source_type").alias("source_type"))
-    forced = sources.join(shared, "source_id", "left_semi").select(
-        "source_id", F.lit("train").alias("split")
+    shared = (
+        rows.groupBy("question")
+        .agg((F.min("source_id") != F.max("source_id")).alias("shared"))
+        .filter("shared")
+    )
+    # One row per source, written out because it is read three times below.
+    sources = checkpoint(
+        rows.select("source_id", "source_type", "question")
+        .join(shared, "question", "left")
+        .groupBy("source_id")
+        .agg(
+            F.min("source_type").alias("source_type"),
+            F.coalesce(F.bool_or("shared"), F.lit(False)).alias("forced"),
+        )
     )
+    forced = sources.filter("forced").select("source_id", F.lit("train").alias("split"))
     free = (
-        sources.join(shared, "source_id", "left_anti")
+        sources.filter(~F.col("forced"))
         .withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), "source_id")))
         .withColumn("bucket", F.substr("hash", F.lit(1), F.lit(3)))
     )

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
@@ -370,17 +370,22 @@ def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
     ).mode("errorifexists").parquet(path)
 
 
-def corpus_size(records: DataFrame) -> DataFrame:
-    """One row: number of records and mean length in tokens."""
-    return tokenize(records).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_dl")
+def corpus_size(records: DataFrame) -> Row:
+    """Number of records and mean length in tokens; one row comes back to the driver."""
+    return (
+        tokenize(records)
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_dl"))
+        .first()
     )
 
 
-def idf_table(frequencies: DataFrame, n_records: Column) -> DataFrame:
-    """Inverse document frequency per term; a negative one becomes a share of the mean."""
-    raw = frequencies.withColumn(
-        "raw_idf", F.log(n_records - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+def idf_table(frequencies: DataFrame, n_records: int) -> DataFrame:
+    """Inverse document frequency per term; a negative one becomes a share of the mean.
+
+    The vocabulary is written out, because its mean and its rows are both needed.
+    """
+    raw = checkpoint(frequencies).withColumn(
+        "raw_idf", F.log(F.lit(n_records) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     floor = raw.agg((F.avg("raw_idf") * BM25_EPSILON).alias("floor")).scalar()
     return raw.withColumn(
@@ -401,11 +406,10 @@ def document_frequencies(records: DataFrame) -> DataFrame:
 
 def bm25_index(records: DataFrame) -> DataFrame:
     """Vocabulary of the index: document frequency, total frequency, idf."""
-    placed = placed_by_id(records)
-    vocabulary = bm25_postings(placed).groupBy("term").agg(
+    vocabulary = bm25_postings(placed_by_id(records)).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
     )
-    return idf_table(vocabulary, corpus_size(placed).select("n").scalar())
+    return idf_table(vocabulary, corpus_size(records).n)
 
 
 def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -415,25 +419,26 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     query terms and adding up scores all reuse that placement, and only local
     top-n rows leave their task. Repeated query terms count each time.
     """
-    placed = placed_by_id(records)
-    size = corpus_size(placed)
-    idf = idf_table(document_frequencies(placed), size.select("n").scalar())
-    wanted = (
-        queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    size = corpus_size(records)
+    idf = idf_table(document_frequencies(records), size.n)
+    query_terms = (
+        queries.select("query_id", F.explode_outer(X.tokens(F.col("text"))).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
-        .join(idf, "term")
-        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     )
-    terms = wanted.select("term").distinct()
+    wanted = query_terms.join(idf, "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    )
+    terms = query_terms.select("term").distinct()
     counted = (
-        tokenize(placed)
+        tokenize(placed_by_id(records))
         .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / size.select("mean_dl").scalar()
+    length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(size.mean_dl or 1.0)
     saturated = counted.select(
         "id",
         "term",

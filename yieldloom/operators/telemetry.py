@@ -66,7 +66,10 @@ def kpi_latency(runs: DataFrame) -> DataFrame:
 
 
 def kpi_recent(runs: DataFrame) -> DataFrame:
-    return latest(runs, RECENT_ROWS).select("run_id", "intent", "latency_ms", "fn_calls", "rag_calls")
+    """The newest runs with their calls; logs are counted only for those."""
+    return with_calls(latest(runs, RECENT_ROWS)).select(
+        "run_id", "intent", "latency_ms", "fn_calls", "rag_calls"
+    )
 
 
 def intent_share(runs: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def error_run_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kpi_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.kpi_totals(telemetry.with_calls(tables.runs(spark, folder)))
+    return telemetry.kpi_totals(telemetry.with_calls(tables.logged_runs(spark, folder)))
 
 
 def kpi_latency(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +147,7 @@ def kpi_latency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kpi_recent(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.kpi_recent(telemetry.with_calls(tables.runs(spark, folder)))
+    return telemetry.kpi_recent(tables.runs(spark, folder))
 
 
 def kpi_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -389,11 +389,6 @@ def text_records(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
 
 
-def stored_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for operators that place the records themselves."""
-    return documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
-
-
 def text_queries(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -688,6 +683,11 @@ def runs_from_events(events: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_from_events(read_table(spark, folder, "events"))
+
+
+def logged_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for work on all logs."""
     return runs_from_events(spread(read_table(spark, folder, "events"), "event_id"))
 
 
