@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yieldloom.operators.joins import joined_side
 from yieldloom.sources.scratch import checkpoint
 
 
@@ -47,7 +48,7 @@ def position_in_group(
 
 
 def sequence_numbers(
-    df: DataFrame, order: Sequence[str | Column], name: str, start: int | Column = 1
+    df: DataFrame, order: Sequence[str | Column], name: str, start: int = 1
 ) -> DataFrame:
     """Gapless numbers over the whole table in ``order``, without a one-task sort.
 
@@ -68,10 +69,10 @@ def sequence_numbers(
         .agg(F.count(F.lit(1)).alias("_size"))
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    first = start if isinstance(start, Column) else F.lit(start)
+    parts = joined_side(offsets, laid_out.rdd.getNumPartitions())
     return (
-        laid_out.join(offsets, "_part")
-        .withColumn(name, (F.col("_inside") + F.col("_offset") + first).cast("long"))
+        laid_out.join(parts, "_part")
+        .withColumn(name, (F.col("_inside") + F.col("_offset") + start).cast("long"))
         .drop("_slot", "_part", "_inside", "_offset")
     )
 

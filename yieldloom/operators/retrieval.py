@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
-from yieldloom.operators.joins import joined_side
+from yieldloom.operators.joins import MAX_BROADCAST_ROWS, joined_side
 from yieldloom.operators.ranking import top_per_group
 from yieldloom.sources.scratch import checkpoint
 
@@ -370,21 +370,9 @@ def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
     ).mode("errorifexists").parquet(path)
 
 
-def corpus_size(records: DataFrame) -> Row:
-    """Number of records and mean length in tokens; one row comes back to the driver."""
-    return (
-        tokenize(records)
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_dl"))
-        .first()
-    )
-
-
 def idf_table(frequencies: DataFrame, n_records: int) -> DataFrame:
-    """Inverse document frequency per term; a negative one becomes a share of the mean.
-
-    The vocabulary is written out, because its mean and its rows are both needed.
-    """
-    raw = checkpoint(frequencies).withColumn(
+    """Inverse document frequency per term; a negative one becomes a share of the mean."""
+    raw = frequencies.withColumn(
         "raw_idf", F.log(F.lit(n_records) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     floor = raw.agg((F.avg("raw_idf") * BM25_EPSILON).alias("floor")).scalar()
@@ -394,13 +382,23 @@ def idf_table(frequencies: DataFrame, n_records: int) -> DataFrame:
 
 
 def document_frequencies(records: DataFrame) -> DataFrame:
-    """How many records hold a term; each record counts once before the shuffle."""
+    """How many records hold a term; each record counts once before the shuffle.
+
+    ``opened`` adds up the lengths of the records whose first token is the term,
+    so its total over all terms is the length of the corpus.
+    """
     return (
         tokenize(records)
-        .select(F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        .select(
+            F.size("tokens").alias("dl"),
+            F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term"),
+        )
         .filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(
+            F.count(F.lit(1)).alias("df"),
+            F.sum(F.when(F.col("pos") == 0, F.col("dl")).otherwise(0)).alias("opened"),
+        )
     )
 
 
@@ -409,7 +407,7 @@ def bm25_index(records: DataFrame) -> DataFrame:
     vocabulary = bm25_postings(placed_by_id(records)).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
     )
-    return idf_table(vocabulary, corpus_size(records).n)
+    return idf_table(checkpoint(vocabulary), records.count())
 
 
 def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -417,20 +415,28 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
     Records are placed by id once and stay there: counting terms, meeting the
     query terms and adding up scores all reuse that placement, and only local
-    top-n rows leave their task. Repeated query terms count each time.
+    top-n rows leave their task. Repeated query terms count each time. Query terms
+    are counted first and broadcast only when they are few.
     """
-    size = corpus_size(records)
-    idf = idf_table(document_frequencies(records), size.n)
+    # Written out: its rows, its mean and its total length are all needed.
+    vocabulary = checkpoint(document_frequencies(records))
+    n_records = records.count()
+    mean_length = (vocabulary.agg(F.sum("opened")).first()[0] or 1) / max(n_records, 1)
+    idf = idf_table(vocabulary.drop("opened"), n_records)
     query_terms = (
         queries.select("query_id", F.explode_outer(X.tokens(F.col("text"))).alias("term"))
         .filter(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    wanted = query_terms.join(idf, "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    n_terms = query_terms.limit(MAX_BROADCAST_ROWS + 1).count()
+    wanted = joined_side(
+        joined_side(query_terms, n_terms)
+        .join(idf, "term")
+        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")),
+        n_terms,
     )
-    terms = query_terms.select("term").distinct()
+    terms = joined_side(query_terms.select("term").distinct(), n_terms)
     counted = (
         tokenize(placed_by_id(records))
         .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
@@ -438,7 +444,7 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(size.mean_dl or 1.0)
+    length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(mean_length)
     saturated = counted.select(
         "id",
         "term",
