@@ -272,6 +272,15 @@ def test_front_matter_files(spark, tmp_path):
     assert got["site-bare"] == ({}, "no matter")
 
 
+def test_titles_and_merged_sources(spark, tmp_path):
+    old = spark.createDataFrame([("d001", "a", "A", "x"), ("d002", "b", "B", "y"), ("d009", "c", "C", "z")], "id string, source string, title string, text string")
+    fresh = spark.createDataFrame([(2, "c", "C2", "t"), (1, "c", "C1", "t")], "n int, source string, title string, text string")
+    merged = manifest.replace_by_source(old, fresh, ["n"])
+    assert sorted((r.id, r.title) for r in merged.collect()) == [("d001", "A"), ("d002", "B"), ("d003", "C1"), ("d004", "C2")]
+    corpus_files.write_titles(manifest.corpus_titles(merged), str(tmp_path / "titles"))
+    assert "d003\tc\tC1" in {r.value for r in spark.read.text(str(tmp_path / "titles")).collect()}
+
+
 def test_case_and_corpus_files(spark, tmp_path):
     cases = {"cases": [{"id": "1", "query": "q", "expected_keywords": ["ML001", ["a", "b"], "[x]"]}, {"id": "2"}]}
     (tmp_path / "cases.json").write_text(json.dumps(cases, indent=1))

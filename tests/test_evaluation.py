@@ -73,7 +73,7 @@ def test_turn_checks(spark):
 def test_errors_are_not_scored_and_three_in_a_row_stop(spark):
     labels = {"a": "ok error error ok error ok", "b": "error error error ok", "c": "ok"}
     rows = [(run, dt.date(2026, 1, 1 + i // 2), i, label) for run, text in labels.items() for i, label in enumerate(text.split())]
-    frame = spark.createDataFrame(rows, "run_id string, day date, seq int, label string")
+    frame = spark.createDataFrame(rows, "run_id string, bucket date, seq int, label string")
     got = {r.run_id: (r.scored, r.errors, r.longest_error_run, r.stopped) for r in evals.error_run_filter(frame).collect()}
     assert got == {"a": (3, 3, 2, False), "b": (1, 3, 3, True), "c": (1, 0, 0, False)}
     assert {r.run_id for r in evals.scored_rows(frame).collect()} == {"a", "c"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import guards
-from yieldloom.operators import specs, yields
+from yieldloom.operators import lookups, specs, yields
 from yieldloom.operators.ranking import position_in_group, running_total, sequence_numbers
 
 
@@ -167,6 +167,48 @@ def test_spec_check_branches(spark):
         specs.check_spec_keys(twice)
 
 
+def test_ingest_parses_text_and_prunes_months(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(1, "96.2%", "20260601 101530123"), (2, "n/a", "20260702 101530"), (3, None, "bad")],
+        "lotid long, yield string, trackouttime string",
+    )
+    rows = lookups.ingest_steps(raw)
+    got = {r.LOTID: (r.YIELD, r.YIELD_NUM, str(r.TRACK_OUT_DATE), r.TRACK_OUT_MONTH) for r in rows.collect()}
+    assert got == {1: ("96.2%", 96.2, "2026-06-01", "202606"), 2: ("n/a", None, "2026-07-02", "202607"), 3: (None, None, "None", None)}
+    lookups.write_ingested(rows, str(tmp_path / "steps"))
+    july = spark.read.parquet(str(tmp_path / "steps")).filter("TRACK_OUT_MONTH = 202607")
+    assert [r.LOTID for r in july.collect()] == [2]
+    assert "PartitionFilters: [isnotnull(TRACK_OUT_MONTH" in july._jdf.queryExecution().executedPlan().toString()
+
+
+def test_purge_keeps_other_lots(spark):
+    tables = {"a": spark.range(5).withColumnRenamed("id", "lot_id"), "b": spark.range(3).withColumnRenamed("id", "lot_id")}
+    registry = spark.createDataFrame([(1,), (1,), (4,)], "lot_id long")
+    kept = {n: sorted(r.lot_id for r in t.collect()) for n, t in lookups.purge_by_registry(tables, registry).items()}
+    assert kept == {"a": [0, 2, 3], "b": [0, 2]}
+
+
+def test_a_hot_lot_gives_the_same_answers(spark):
+    """One lot holds a third of all rows."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).cast("long").alias("lot_id"),
+        (F.col("id") % 50).cast("int").alias("step_seq"),
+        F.concat(F.lit("s"), F.col("id") % 50).alias("step_name"),
+        F.lit("E").alias("eqp_id"),
+        (F.col("id") + 1000).alias("in_qty"),
+        F.lit(10).cast("long").alias("reject"),
+        (F.col("id") + 990).alias("out_qty"),
+        (F.lit(99.0) - F.col("id") % 13).alias("yield_num"),
+        F.make_timestamp_ntz(F.lit(2026), F.lit(1), 1 + F.col("id") % 28, F.lit(0), F.lit(0), F.lit(0)).alias("track_out_time"),
+    )
+    local = sorted((r for r in rows.collect() if r.lot_id == 0), key=lambda r: tuple(r[c] for c in yields.STEP_ORDER))
+    final = yields.lot_final_yield(rows).filter("lot_id = 0").first()
+    assert (final.step_count, final.first_in_qty, final.last_out_qty) == (2000, local[0].in_qty, local[-1].out_qty)
+    route = yields.lot_progression(rows).filter("lot_id = 0").orderBy("position").collect()
+    assert [r.step_name for r in route] == [r.step_name for r in local]
+    assert [r.position for r in route] == list(range(1, 2001))
+
+
 def test_positions_do_not_depend_on_partitioning(spark):
     data = spark.range(3000).select(
         F.when(F.col("id") < 1000, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"),

@@ -265,12 +265,13 @@ def conversation_pass(checks: DataFrame) -> DataFrame:
 def error_run_filter(results: DataFrame) -> DataFrame:
     """Per run: scored rows, error rows, longest row of errors, and whether it stopped the run.
 
-    ``results`` has (run_id, day, seq, label). Errors with the same number of
-    other rows before them form one stretch; the count is carried over days, so
-    a long run is not sorted by one task.
+    ``results`` has (run_id, bucket, seq, label), where buckets cut a run into
+    ordered pieces such as hours. Errors with the same number of other rows
+    before them form one stretch; the count is carried over buckets, so a long
+    run is not sorted by one task.
     """
     marked = results.withColumn("fine", F.when(F.col("label") == "error", 0).otherwise(1).cast("long"))
-    counted = running_total(marked, ["run_id"], ["day"], ["seq"], "fine", "stretch")
+    counted = running_total(marked, ["run_id"], ["bucket"], ["seq"], "fine", "stretch")
     stretches = counted.groupBy("run_id", "stretch").agg(
         F.sum("fine").alias("scored"), F.count_if(F.col("fine") == 0).alias("errors")
     )

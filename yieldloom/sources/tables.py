@@ -658,7 +658,7 @@ def run_results(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a user as the rows of one evaluation run."""
     return read_table(spark, folder, "events").select(
         F.col("user_id").alias("run_id"),
-        F.col("ts").cast("date").alias("day"),
+        F.date_trunc("hour", "ts").alias("bucket"),
         F.struct("ts", "event_id").alias("seq"),
         F.when(F.col("event_type").isin("error", "view"), "error").otherwise("ok").alias("label"),
     )
