@@ -45,7 +45,7 @@ def caption_risk_class(
     """Class of every accepted caption with its place in the review order."""
     accepted = captions.filter((F.col("status") == "ok") & (F.col("caption") != ""))
     category = risk_class(F.col("caption"), patterns)
-    priority = F.array_position(F.array(*map(F.lit, REVIEW_ORDER)), F.col("category"))
+    priority = F.array_position(F.array(*map(F.lit, REVIEW_ORDER)), F.col("category")).cast("int")
     return accepted.withColumn("category", category).withColumn("priority", priority)
 
 

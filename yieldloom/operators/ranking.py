@@ -86,7 +86,7 @@ def top_per_group(
     task receives at most ``limit`` rows per group and input partition.
     """
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col(name) <= limit)
+    return ranked.filter(F.col(name) <= limit).withColumn(name, F.col(name).cast("long"))
 
 
 def running_total(

@@ -140,7 +140,7 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
     )
     ranked = top_per_group(cards, ["query_id"], ["place", "card_id"], limit, "rank")
     return ranked.select(
-        "query_id", "card_id", "rank", (-F.col("place.length")).alias("key_chars")
+        "query_id", "card_id", "rank", (-F.col("place.length")).cast("long").alias("key_chars")
     )
 
 
@@ -279,7 +279,7 @@ def vector_topk(
 def vector_ranking(topk: DataFrame) -> DataFrame:
     """Both collections of a query in one list by distance; at most 2k rows per query."""
     place = Window.partitionBy("query_id").orderBy("distance", "id")
-    return topk.withColumn("rank", F.row_number().over(place)).select(
+    return topk.withColumn("rank", F.row_number().over(place).cast("long")).select(
         "query_id", "id", "rank", "distance", "kind"
     )
 
@@ -476,7 +476,7 @@ def rrf_fuse(rank_lists: DataFrame, k: int = schemas.RRF_K) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.col("vector_rank").asc_nulls_last(), "id"
     )
-    return fused.withColumn("rank", F.row_number().over(place)).select(
+    return fused.withColumn("rank", F.row_number().over(place).cast("long")).select(
         "query_id", "id", "score", "rank"
     )
 

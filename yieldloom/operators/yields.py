@@ -132,7 +132,7 @@ def low_yield_by_target(
     order = [F.col("yield_num").asc_nulls_first(), F.col("lot_id"), *map(F.col, STEP_ORDER)]
     top = rows.orderBy(*order).limit(clamp_limit(limit, 10))
     # At most 50 rows are left here.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def lots_in_period(steps: DataFrame, period: Period) -> DataFrame:
@@ -175,7 +175,7 @@ def low_yield_lots(steps: DataFrame, period: Period, limit: object = 10) -> Data
     order = [F.col("final_yield"), F.col("lot_id")]
     total = lots.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = lots.orderBy(*order).limit(clamp_limit(limit, 10))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn(
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn(
         "lots_in_period", total
     )
 
@@ -215,7 +215,7 @@ def yield_by_group(
     order = ["group_key"] if by == "month" else ["yield_pct", "group_key"]
     total = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = groups.orderBy(*order).limit(clamp_limit(limit, 20))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn(
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn(
         "total_groups", total
     )
 
@@ -273,7 +273,7 @@ def yield_period_compare(
         .orderBy(*order)
         .limit(clamp_limit(limit, 10))
     )
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def yield_trend_counts(steps: DataFrame, by: str, first: Period, second: Period) -> DataFrame:

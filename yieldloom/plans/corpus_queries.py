@@ -661,9 +661,9 @@ UNION ALL SELECT 'class', category, count(*) FROM classed GROUP BY ALL""",
   FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)
 SELECT src, slug, CASE WHEN status = 'ok' AND src IN (SELECT src FROM listed)
   THEN 'excluded_manual' ELSE status END AS status FROM captions""",
-    "normalize_text": f"""SELECT doc_id, length(t) AS chars, md5(t) AS text_md5
+    "normalize_text": f"""SELECT doc_id, length(t)::INT AS chars, md5(t) AS text_md5
 FROM (SELECT doc_id, {NORMALIZED} AS t FROM documents)""",
-    "block_dedupe": """SELECT page_id, text, pos FROM (
+    "block_dedupe": """SELECT page_id, text, pos::INT AS pos FROM (
   SELECT page_id, text, pos, row_number() OVER (PARTITION BY page_id, text ORDER BY pos) AS rn
   FROM (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS text,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))
@@ -672,7 +672,7 @@ WHERE rn = 1""",
 SELECT doc_id AS page_id, ordinal AS section, heading AS term, md5(text) AS definition
 FROM sections WHERE heading IS NOT NULL""",
     "doc_quality_gate": f"""WITH {MD_SQL}, {sections_sql('md', 'doc_id')}, counted AS (
-  SELECT m.*, length(body) AS chars,
+  SELECT m.*, length(body)::INT AS chars,
          (SELECT count(*) FROM grouped g WHERE g.doc_id = m.doc_id AND g.ordinal > 0)::INT AS n FROM md m)
 SELECT doc_id, source, chars, n AS sections,
   NOT (doc_type = 'article' AND chars < 500 OR doc_type = 'glossary' AND n = 0) AS include,

@@ -445,12 +445,13 @@ SELECT lot_id, pos AS position, step_name FROM ordered""",
     "lot_defect_type": f"""WITH {STEPS_SQL}, {WORST_SQL}, {READINGS_SQL}, {DEFECT_SQL}
 SELECT * FROM defects""",
     "read_strip_maps": f"""WITH {DIES_SQL}
-SELECT strip_id, i AS row_idx, string_agg(ok::VARCHAR, '' ORDER BY j) AS bits
+SELECT strip_id, i::INT AS row_idx, string_agg(ok::VARCHAR, '' ORDER BY j) AS bits
 FROM dies GROUP BY strip_id, i""",
     "strip_yield": f"""WITH {DIES_SQL}
 SELECT strip_id, total_die, good_die, fail_die, yield_pct FROM per_strip""",
     "strip_fail_rows": f"""WITH {DIES_SQL}
-SELECT strip_id, i AS row_idx, count(*) AS fail_count, min(j) AS first_col, max(j) AS last_col
+SELECT strip_id, i::INT AS row_idx, count(*)::INT AS fail_count, min(j)::INT AS first_col,
+       max(j)::INT AS last_col
 FROM fails GROUP BY strip_id, i""",
     "strip_fail_pattern": f"WITH {DIES_SQL} SELECT * FROM patterns",
     "lot_die_yield": f"""WITH {DIES_SQL}
