@@ -55,7 +55,7 @@ def rows() -> list[tuple]:
         (115, "IBAN DE89 3704 0044 0532 0130 00; call phone 555 123 4567; and much further on, where it is no longer near: ISBN 555 123 4568", "s2"),
     ]
     for i in range(120, 128):
-        out.append((i, f"{prose(i, 80)}\n  {SHARED if i % 2 else SHARED.upper()}\t\n{prose(-i, 80)}\n{SHARED}", "s1"))
+        out.append((i, f"{prose(i, 80)}\n  {SHARED if i % 2 else SHARED.upper()}\t\n{prose(i + 1000, 80)}\n{SHARED}", "s1"))
     for i in range(130, 142):
         out.append((i, f"JUNK{i}!!! ### $$$ %%% &&& " * 6, "s0"))
     return out
