@@ -148,3 +148,20 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
 
 def test_scratch_is_below_the_session_checkpoint_folder(spark):
     assert scratch_path(spark, "x").startswith(checkpoint_folder(spark))
+
+
+def test_error_rows_without_a_time_still_count(spark):
+    frame = spark.createDataFrame(
+        [("r", "b", 1, "ok"), ("r", None, 2, "error"), ("r", None, 3, "error")], "run_id string, bucket string, seq int, label string"
+    )
+    got = evals.error_run_filter(frame).first()
+    assert (got.scored, got.errors, got.longest_error_run) == (1, 2, 2)
+
+
+def test_sources_without_type_or_name_keep_their_rows(spark):
+    rows = spark.createDataFrame(
+        [("a", None, "q1"), ("b", "card", "q2"), (None, "card", "q3")], "source_id string, source_type string, question string"
+    )
+    out = qa.apply_split(rows, qa.leakage_safe_split(rows))
+    qa.check_split_total(rows, out)
+    assert out.columns == [*rows.columns, "split"]

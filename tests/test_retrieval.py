@@ -81,6 +81,25 @@ def test_merge_keeps_n_beside_exact_hits(spark):
     assert got == [(1, 1, 10), (1, 2, 20), (1, 3, 11), (2, 1, 20)]
 
 
+def test_all_exact_hits_leave_the_nearest_records_alone(spark):
+    exact = spark.createDataFrame([(1, 100 + i, i + 1) for i in range(5)], "query_id long, card_id long, rank long")
+    near = spark.createDataFrame([(1, "article", i, i / 10) for i in range(4)], "query_id long, kind string, id long, distance double")
+    got = [r.id for r in retrieval.merge_by_distance(exact, near, 3).orderBy("position").collect()]
+    assert got == [100, 101, 102, 103, 104, 0, 1, 2]
+
+
+@pytest.mark.parametrize("values", [4_000_000, 0])
+def test_null_vectors_are_left_out_and_counted(spark, values):
+    records = spark.createDataFrame([(1, "k", [1.0, 0.0]), (2, "k", None), (3, "k", [0.0, 1.0])], "id long, kind string, vec array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, vec array<double>")
+    got = retrieval.vector_topk(records, queries, 5, max_broadcast_values=values).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(7, 1), (7, 3)]
+    assert retrieval.without_vector(records).first()[0] == 1
+    uneven = spark.createDataFrame([(7, [1.0]), (8, [1.0, 2.0])], "query_id long, vec array<double>")
+    with pytest.raises(ValueError, match="length"):
+        retrieval.vector_topk(records, uneven, 5)
+
+
 def test_context_text(spark):
     queries = spark.createDataFrame([(1,), (2,)], "query_id long")
     results = spark.createDataFrame([(1, 2, 6), (1, 1, 5)], "query_id long, position int, id long")

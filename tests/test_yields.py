@@ -139,9 +139,44 @@ def test_period_order_and_overlap(small):
     guards.check_overlap(small, guards.parse_period("20200101", "20260102"))
 
 
-@pytest.mark.parametrize(("limit", "want"), [(0, 1), (7, 7), (99, 50), ("x", 10), (None, 10)])
-def test_limits_are_clamped(limit, want):
-    assert guards.clamp_limit(limit, 10) == want
+@pytest.mark.parametrize("limit", [0, -1, "x", "7", 2.5, True])
+def test_bad_limits_are_errors(limit):
+    with pytest.raises(ValueError, match="limit"):
+        guards.check_limit(limit)
+
+
+def test_limits_are_kept_as_given(spark):
+    many = steps(spark, [(1, i, f"s{i:04d}", f"E{i:04d}", 100, i % 50, 100 - i % 50, 100.0 - i % 50, "20260101") for i in range(1200)])
+    january = guards.parse_period("20260101", "20260131")
+    for limit, want in ((None, 1200), (1000, 1000), (7, 7)):
+        got = yields.yield_by_group(many, "step", january, limit=limit).orderBy("rank").collect()
+        assert [r["rank"] for r in got] == list(range(1, want + 1))
+        assert {r.total_groups for r in got} == {1200}
+        assert [r.yield_pct for r in got] == sorted(r.yield_pct for r in got)
+    assert yields.low_yield_by_target(many, january, step_name="s0007").count() == 1
+
+
+def test_unknown_names_are_answered_with_all_names(spark):
+    many = steps(spark, [(1, i, f"s{i:04d}", "E", 1, 0, 1, 100.0, "20260101") for i in range(300)])
+    with pytest.raises(ValueError, match="s0299"):
+        yields.known_values_guard(many, "step", "nothing")
+
+
+def test_steps_without_a_time_or_number_stay_in_the_route(spark):
+    frame = spark.createDataFrame(
+        [(1, 2, "b", "E", 1, 0, 1, 1.0, day("20260102")), (1, 2, "a", "E", 1, 0, 1, 1.0, None), (1, None, "z", "E", 1, 0, 1, 1.0, None), (1, 3000, "c", "E", 1, 0, 1, 1.0, None)],
+        schemas.STEPS,
+    )
+    got = [(r.position, r.step_name) for r in yields.lot_progression(frame).orderBy("position").collect()]
+    assert got == [(1, "z"), (2, "a"), (3, "b"), (4, "c")]
+
+
+def test_null_keys_and_buckets_are_cells_of_their_own(spark):
+    data = spark.createDataFrame([(None, None, 1, 1), (None, 1, 2, 1), ("a", None, 3, 1), ("a", 2, 4, 1)], "k string, b int, i int, v long")
+    placed = position_in_group(data, ["k"], ["b"], ["i"], "place")
+    assert rows(placed.select("i", "place")) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+    total = running_total(data, ["k"], ["b"], ["i"], "v", "sum")
+    assert rows(total.select("i", "sum")) == [(1, 1), (2, 2), (3, 1), (4, 2)]
 
 
 def test_spec_check_branches(spark):

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 50
-
 
 @dataclass(frozen=True)
 class Period:
@@ -63,13 +61,13 @@ def check_overlap(steps: DataFrame, *periods: Period) -> tuple[Period, ...]:
     return periods
 
 
-def clamp_limit(limit: object, default: int) -> int:
-    """Row limits are 1..50; text that is not a number falls back to the default."""
-    try:
-        number = int(limit)  # type: ignore[call-overload]
-    except (TypeError, ValueError):
-        number = default
-    return max(1, min(number, MAX_ROWS))
+def check_limit(limit: int | None) -> int | None:
+    """A row limit is kept as given; None means all rows; anything else is an error."""
+    if limit is None:
+        return None
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+        raise ValueError(f"limit {limit!r} is not a positive number")
+    return limit
 
 
 def choose(value: str, allowed: dict[str, str] | list[str], field: str) -> str:

@@ -77,14 +77,14 @@ def leakage_safe_split(rows: DataFrame, seed: int = 42) -> DataFrame:
         .join(shared, "question", "left")
         .groupBy("source_id")
         .agg(
-            F.min("source_type").alias("source_type"),
+            F.coalesce(F.min("source_type"), F.lit("")).alias("source_type"),
             F.coalesce(F.bool_or("shared"), F.lit(False)).alias("forced"),
         )
     )
     forced = sources.filter("forced").select("source_id", F.lit("train").alias("split"))
     free = (
         sources.filter(~F.col("forced"))
-        .withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), "source_id")))
+        .withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source_id", F.lit("")))))
         .withColumn("bucket", F.substr("hash", F.lit(1), F.lit(3)))
     )
     n = F.col("n")
@@ -102,7 +102,9 @@ def leakage_safe_split(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def apply_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:
-    return rows.join(assignment, "source_id")
+    """Rows with the split of their source; a null source is a source."""
+    named = assignment.withColumnRenamed("source_id", "_source_id")
+    return rows.join(named, F.col("source_id").eqNullSafe(F.col("_source_id"))).drop("_source_id")
 
 
 def check_split_total(rows: DataFrame, split_rows: DataFrame) -> None:

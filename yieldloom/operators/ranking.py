@@ -15,6 +15,15 @@ from yieldloom.operators.joins import joined_side
 from yieldloom.sources.scratch import checkpoint
 
 
+def _join_cells(rows: DataFrame, offsets: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Join on all cell columns, null equal to null, so that no row is lost."""
+    renamed = offsets.withColumnsRenamed({c: f"_cell_{c}" for c in cells})
+    same = F.lit(True)
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"_cell_{c}"))
+    return rows.join(renamed, same).drop(*[f"_cell_{c}" for c in cells])
+
+
 def position_in_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,7 +37,8 @@ def position_in_group(
     ``bucket`` columns must come first in the wanted order and split a group
     finely (a day, a hash prefix). Rows are ranked inside (keys, bucket) and
     shifted by the size of the buckets before. The sizes are pre-aggregated, so
-    the running sum sees one row per bucket. Keys and buckets must not be null.
+    the running sum sees one row per bucket. Null keys and buckets are values like any
+    other; null buckets come first.
     ``total`` names a column for the size of the whole group.
     """
     cells = [*keys, *bucket]
@@ -41,7 +51,7 @@ def position_in_group(
     inside = Window.partitionBy(*cells).orderBy(*order)
     return (
         df.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, cells)
+        .transform(lambda rows: _join_cells(rows, offsets, cells))
         .withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long"))
         .drop("_inside", "_offset")
     )
@@ -116,7 +126,7 @@ def running_total(
     )
     return (
         df.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, cells)
+        .transform(lambda rows: _join_cells(rows, offsets, cells))
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset")
     )

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,6 +188,8 @@ def _nearest(
 
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(values) % len(column) or len(set(pc.list_value_length(column).to_pylist())) > 1:
+        raise ValueError("record vectors differ in length")
     return _unit_rows(values.reshape(len(column), -1))
 
 
@@ -264,9 +267,17 @@ def vector_topk(
 
     A query table that is small enough goes to every task and the records are
     never moved. A larger one is matched block by block. Either way only local
-    top-k rows are shuffled.
+    top-k rows are shuffled. Records and queries without a vector have no neighbours
+    (``without_vector`` counts them); vectors of different length are an error.
     """
-    size = queries.select(F.max(F.size("vec")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    records, queries = records.filter("vec IS NOT NULL"), queries.filter("vec IS NOT NULL")
+    size = queries.select(
+        F.max(F.size("vec")).alias("dim"),
+        F.min(F.size("vec")).alias("least"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    if size.n and size.dim != size.least:
+        raise ValueError(f"query vectors differ in length: {size.least} to {size.dim}")
     if not size.n:
         near = records.sparkSession.createDataFrame([], DISTANCE_ROWS)
     elif size.n * size.dim <= max_broadcast_values:
@@ -276,6 +287,11 @@ def vector_topk(
     return top_per_group(near, ["query_id", "kind"], ["distance", "id"], k, "kind_rank")
 
 
+def without_vector(rows: DataFrame) -> DataFrame:
+    """How many rows a vector search leaves out for want of a vector."""
+    return rows.agg(F.count_if(F.col("vec").isNull()).alias("without_vector"))
+
+
 def vector_ranking(topk: DataFrame) -> DataFrame:
     """Both collections of a query in one list by distance; at most 2k rows per query."""
     place = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -301,10 +317,13 @@ def merge_by_distance(exact: DataFrame, topk: DataFrame, n: int) -> DataFrame:
         n,
         "place",
     ).select("query_id", "id", "kind", "distance", F.lit(1).alias("level"), "place")
-    # At most n + 2 rows per query are left.
-    return top_per_group(
-        hits.unionByName(others), ["query_id"], ["level", "place"], n + EXACT_LIMIT, "position"
-    ).select("query_id", "position", "id", "kind", "distance")
+    # Both inputs are limited per query, so the list needs no cut of its own.
+    place = Window.partitionBy("query_id").orderBy("level", "place")
+    return (
+        hits.unionByName(others)
+        .withColumn("position", F.row_number().over(place).cast("long"))
+        .select("query_id", "position", "id", "kind", "distance")
+    )
 
 
 def format_context(queries: DataFrame, results: DataFrame, texts: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yieldloom.functions.guards import Period, choose, clamp_limit
+from yieldloom.functions.guards import Period, check_limit, choose
 from yieldloom.functions.quantities import yield_pct
-from yieldloom.operators.ranking import position_in_group
+from yieldloom.operators.ranking import position_in_group, sequence_numbers
 from yieldloom.sources.scratch import checkpoint
 
 STEP_ORDER = ["step_seq", "track_out_time", "eqp_id", "in_qty", "reject", "step_name"]
@@ -59,13 +59,16 @@ def lot_worst_step(steps: DataFrame) -> DataFrame:
 
 
 def lot_progression(steps: DataFrame) -> DataFrame:
-    """Route of each lot as (position, step name) rows."""
-    dated = steps.select("lot_id", *STEP_ORDER)
+    """Route of each lot as (position, step name) rows; a step without a time comes first of its number.
+
+    Blocks of sequence numbers split a large lot into a few rows of sizes and many tasks.
+    """
+    dated = steps.select("lot_id", *STEP_ORDER, F.floor(F.col("step_seq") / 1024).alias("block"))
     return position_in_group(
         dated,
         keys=["lot_id"],
-        bucket=["step_seq", "track_out_time"],
-        order=["eqp_id", "in_qty", "reject", "step_name"],
+        bucket=["block"],
+        order=["step_seq", "track_out_time", "eqp_id", "in_qty", "reject", "step_name"],
         name="position",
     ).select("lot_id", "position", "step_name")
 
@@ -106,9 +109,18 @@ def known_values_guard(steps: DataFrame, kind: str, value: str | None) -> None:
     column = choose(kind, {"step": "step_name", "equipment": "eqp_id"}, "kind")
     field = GROUP_COLUMNS[column]
     if not steps.filter(F.col(field) == value).limit(1).count():
-        valid = steps.select(field).distinct().orderBy(field).limit(200)
-        names = [row[0] for row in valid.collect()]
-        raise ValueError(f"unknown {kind} {value!r}; known names start with {names}")
+        # One name per step or equipment.
+        names = [row[0] for row in steps.select(field).distinct().orderBy(field).collect()]
+        raise ValueError(f"unknown {kind} {value!r}; known names are {names}")
+
+
+def ranked(rows: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """Rows with their place in ``order``: the first ``limit``, or all of them."""
+    if check_limit(limit) is None:
+        return sequence_numbers(rows, order, "rank")
+    top = rows.orderBy(*order).limit(limit)
+    # At most ``limit`` rows are left here.
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def low_yield_by_target(
@@ -116,7 +128,7 @@ def low_yield_by_target(
     period: Period,
     step_name: str | None = None,
     eqp_id: str | None = None,
-    limit: object = 10,
+    limit: int | None = None,
     nulls: str = "exclude",
 ) -> DataFrame:
     """Step rows of a step and/or equipment with the lowest yield in a period."""
@@ -130,9 +142,7 @@ def low_yield_by_target(
     if choose(nulls, ["exclude", "first"], "nulls") == "exclude":
         rows = rows.filter(F.col("yield_num").isNotNull())
     order = [F.col("yield_num").asc_nulls_first(), F.col("lot_id"), *map(F.col, STEP_ORDER)]
-    top = rows.orderBy(*order).limit(clamp_limit(limit, 10))
-    # At most 50 rows are left here.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranked(rows, order, limit)
 
 
 def lots_in_period(steps: DataFrame, period: Period) -> DataFrame:
@@ -166,7 +176,7 @@ def lots_in_period(steps: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def low_yield_lots(steps: DataFrame, period: Period, limit: object = 10) -> DataFrame:
+def low_yield_lots(steps: DataFrame, period: Period, limit: int | None = None) -> DataFrame:
     """Lots with the lowest final yield; ``lots_in_period`` counts all before the limit.
 
     One row per lot is written out, so that the count does not read the steps again.
@@ -174,10 +184,7 @@ def low_yield_lots(steps: DataFrame, period: Period, limit: object = 10) -> Data
     lots = checkpoint(lots_in_period(steps, period))
     order = [F.col("final_yield"), F.col("lot_id")]
     total = lots.agg(F.count(F.lit(1)).alias("n")).scalar()
-    top = lots.orderBy(*order).limit(clamp_limit(limit, 10))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn(
-        "lots_in_period", total
-    )
+    return ranked(lots, order, limit).withColumn("lots_in_period", total)
 
 
 def group_key(by: str) -> Column:
@@ -203,7 +210,7 @@ def yield_totals(steps: DataFrame, by: str, period: Period) -> DataFrame:
 
 
 def yield_by_group(
-    steps: DataFrame, by: str, period: Period, limit: object = 20
+    steps: DataFrame, by: str, period: Period, limit: int | None = None
 ) -> DataFrame:
     """Weighted yield per group: weakest first, months in time order; cut after the count.
 
@@ -214,10 +221,7 @@ def yield_by_group(
     )
     order = ["group_key"] if by == "month" else ["yield_pct", "group_key"]
     total = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
-    top = groups.orderBy(*order).limit(clamp_limit(limit, 20))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn(
-        "total_groups", total
-    )
+    return ranked(groups, order, limit).withColumn("total_groups", total)
 
 
 def period_pairs(steps: DataFrame, by: str, first: Period, second: Period) -> DataFrame:
@@ -263,17 +267,14 @@ def period_deltas(steps: DataFrame, by: str, first: Period, second: Period) -> D
 
 
 def yield_period_compare(
-    steps: DataFrame, by: str, first: Period, second: Period, limit: object = 10
+    steps: DataFrame, by: str, first: Period, second: Period, limit: int | None = None
 ) -> DataFrame:
     """Change of weighted yield between two periods, most fallen first."""
     order = ["delta", "group_key"]
-    top = (
-        period_deltas(steps, by, first, second)
-        .select("group_key", "p1_yield", "p1_lots", "p2_yield", "p2_lots", "delta")
-        .orderBy(*order)
-        .limit(clamp_limit(limit, 10))
+    rows = period_deltas(steps, by, first, second).select(
+        "group_key", "p1_yield", "p1_lots", "p2_yield", "p2_lots", "delta"
     )
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranked(rows, order, limit)
 
 
 def yield_trend_counts(steps: DataFrame, by: str, first: Period, second: Period) -> DataFrame:

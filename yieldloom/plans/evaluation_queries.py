@@ -44,7 +44,9 @@ def leakage_safe_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def _split_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = qa.normalize_question_types(tables.qa_rows(spark, folder))
-    return qa.apply_split(rows, qa.leakage_safe_split(rows))
+    split = qa.apply_split(rows, qa.leakage_safe_split(rows))
+    qa.check_split_total(rows, split)
+    return split
 
 
 def split_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -271,7 +271,7 @@ MERGED_SQL = f"""merged AS (
 ORACLES = {
     "term_index": f"WITH {INDEX_SQL} SELECT key, id FROM idx",
     "exact_term_match": "WITH " + exact_sql(
-        "SELECT conv_id * 100000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+        "SELECT conv_id || '-' || turn AS query_id, text FROM conversations WHERE role = 'user'"
     ) + " SELECT * FROM exact",
     "vector_topk": f"WITH {topk_sql(TOP_N)} SELECT query_id, kind, id, distance, kind_rank FROM topk",
     "merge_by_distance": f"WITH {exact_sql(ITEMS)}, {topk_sql(RESULTS)}, {MERGED_SQL} SELECT * FROM merged",

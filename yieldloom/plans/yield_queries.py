@@ -188,7 +188,7 @@ def yield_by_step(spark: SparkSession, folder: str) -> DataFrame:
 
 def yield_by_month(spark: SparkSession, folder: str) -> DataFrame:
     steps = tables.lot_steps(spark, folder)
-    return yields.yield_by_group(steps, "month", *_periods(steps, YEAR_RANGE), limit=50)
+    return yields.yield_by_group(steps, "month", *_periods(steps, YEAR_RANGE))
 
 
 def yield_period_compare(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,14 +362,14 @@ worst_strips AS (
     FROM per_strip s JOIN patterns p USING (strip_id)) WHERE rn = 1)"""
 
 
-def _groups_sql(key: str, order: str, limit: int) -> str:
+def _groups_sql(key: str, order: str) -> str:
     return f"""WITH {STEPS_SQL}, g AS (
   SELECT {key} AS group_key, count(DISTINCT lot_id) AS lot_count, sum(in_qty)::BIGINT AS in_qty,
          sum(reject)::BIGINT AS reject, sum(out_qty)::BIGINT AS out_qty,
          {pct_sql('sum(out_qty)', 'sum(in_qty)')} AS yield_pct
   FROM steps WHERE d BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY {order}) AS rank, count(*) OVER () AS total_groups
-FROM g ORDER BY {order} LIMIT {limit}"""
+FROM g ORDER BY {order}"""
 
 
 def _pairs_sql(first: tuple[str, str], second: tuple[str, str]) -> str:
@@ -481,9 +481,9 @@ SELECT h.lot_id, final_yield, w.step_name AS worst_step, w.eqp_id AS worst_eqp,
        row_number() OVER (ORDER BY final_yield, h.lot_id) AS rank,
        count(*) OVER () AS lots_in_period
 FROM hit h JOIN worst w USING (lot_id) ORDER BY final_yield, h.lot_id LIMIT 20""",
-    "yield_by_group": _groups_sql("eqp_id", "yield_pct, group_key", 20),
-    "yield_by_step": _groups_sql("step_name", "yield_pct, group_key", 20),
-    "yield_by_month": _groups_sql("strftime(d, '%Y-%m')", "group_key", 50),
+    "yield_by_group": _groups_sql("eqp_id", "yield_pct, group_key"),
+    "yield_by_step": _groups_sql("step_name", "yield_pct, group_key"),
+    "yield_by_month": _groups_sql("strftime(d, '%Y-%m')", "group_key"),
     "yield_period_compare": f"""WITH {_pairs_sql(FIRST_HALF, SECOND_HALF)}
 SELECT *, row_number() OVER (ORDER BY delta, group_key) AS rank
 FROM deltas ORDER BY delta, group_key LIMIT 50""",

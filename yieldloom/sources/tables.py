@@ -423,11 +423,11 @@ def word_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns of the conversations; turns of a conversation stay below 100,000."""
+    """User turns of the conversations, by conversation and turn."""
     return (
         read_table(spark, folder, "conversations")
         .filter(F.col("role") == "user")
-        .select((F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), "text")
+        .select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     )
 
 
