@@ -26,7 +26,8 @@ from yieldloom.sources.scratch import scratch_path
 
 #: Stand-ins for the two ends of a text; no word holds a blank.
 START, END = b"< s >", b"< /s >"
-TEXT_BYTES = 6 << 20
+#: Text that a task counts, and scores, at once: scoring holds a dozen numbers a token.
+TEXT_BYTES, SCORED_BYTES = 6 << 20, 3 << 20
 #: Tokens for which there is one more bucket of pairs.
 BUCKET = 1_000_000
 WORD_BITS = 32
@@ -396,7 +397,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups_of(batches, TEXT_BYTES):
+        for batch in groups_of(batches, SCORED_BYTES):
             if batch.num_rows:
                 columns = score_texts(model, raw_texts(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
