@@ -194,8 +194,9 @@ def dedupe_lines(
         .agg(F.collect_set("pos").alias("drop"))
     )
     gone = written(gone, "dropped").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "drop")
+    # A table that grows with the documents is merged at every size, never broadcast.
     whole = source.withColumn("th", F.xxhash64("text")).join(
-        gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left"
+        gone.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left"
     )
     return _outcome(whole, id_col)
 
