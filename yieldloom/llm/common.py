@@ -13,6 +13,7 @@ from yieldloom.sources.scratch import scratch_path
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_ROWS, BATCH_ROWS_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +34,19 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """Hand texts to Python workers a thousand rows at a time at most.
+
+    Spark's own setting counts rows only, and ten thousand long texts fill a worker.
+    A smaller setting of the session is left as it is.
+    """
+    conf = docs.sparkSession.conf
+    rows = int(conf.get(BATCH_ROWS_SETTING))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set(BATCH_ROWS_SETTING, BATCH_ROWS)
+    return docs
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

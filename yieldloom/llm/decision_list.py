@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import BLANKS
+from yieldloom.llm.common import BLANKS, small_batches
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -241,7 +241,8 @@ def fit(
     )
     # At most ``sample`` short rows.
     labelled = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        small_batches(docs)
+        .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_label", text_statistics("_text").alias("at"))
         .filter(~base_failed(F.col("at")))
@@ -265,7 +266,7 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
     columns are handed on untouched, whatever their names but ``_quality``.
     """
     at = F.col("_quality")
-    rows = docs.withColumn("_quality", text_statistics(F.col(text_col)))
+    rows = small_batches(docs).withColumn("_quality", text_statistics(F.col(text_col)))
     failed, rule = base_failed(at), chain(rules, at)
     return rows.withColumn(
         "_quality",

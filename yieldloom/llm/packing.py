@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import groups_of, raw_texts
+from yieldloom.llm.common import groups_of, raw_texts, small_batches
 
 CAPACITY, END_ID = 2048, 1
 #: Share of a bin that may stay empty before a piece is cut.
@@ -205,7 +205,7 @@ def pack(
             bins.finish()
             yield flush(bins, id_type)
 
-    packed = docs.select(id_col, text_col).mapInArrow(run, schema)
+    packed = small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
     return packed.select(
         F.col("id").alias(id_col),
         "start",
