@@ -50,13 +50,17 @@ def token_ids(tokenizer: str, ranks: str | None) -> Callable[[str], list[int]]:
     ``ranks`` names the same vocabulary as merge ranks, whose library gives the same
     ids several times faster. It is used for every text without the special token;
     without it, and where it fails (endless white space), the first library does all.
+    Either is loaded only where a text needs it.
     """
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(tokenizer)
+    @functools.lru_cache(maxsize=1)
+    def exact():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(tokenizer)
 
     def slow(text: str) -> list[int]:
-        return exact.encode(text, add_special_tokens=False).ids
+        return exact().encode(text, add_special_tokens=False).ids
 
     if ranks is None:
         return slow
