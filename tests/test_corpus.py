@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,46 @@ def test_captions_go_to_the_last_section_reached(spark):
     ]
 
 
+def test_captions_equal_brute_force_and_stay_linear(spark):
+    rng = random.Random(3)
+    rows = []
+    for d in range(40):
+        ordinals = sorted(rng.sample(range(12), rng.randint(0, 6)))
+        found = [(rng.choice([None, *range(-1, 15)]), f"c{i}", rng.choice(["ok", "error"])) for i in range(rng.randint(0, 8))]
+        rows.append((d, [(o, None, f"t{o}") for o in ordinals], found if d % 9 else None))
+    rows.append((99, [(o, None, "t") for o in range(3000)], [(o, "c", "ok") for o in range(3000)]))
+    docs = spark.createDataFrame(
+        rows, "doc_id int, sections array<struct<ordinal:int,heading:string,text:string>>, "
+        "captions array<struct<section:int,caption:string,status:string>>",
+    )
+    got = {r.doc_id: (r.n_captions, [s.text for s in r.sections]) for r in documents.merge_captions(docs).collect()}
+    for d, sections, found in rows[:-1]:
+        ok = [c for c in found or [] if c[2] == "ok"] if sections else []
+        want = [s[2] for s in sections]
+        for number, caption, _ in ok:
+            at = max(0, sum(s[0] <= number for s in sections) - 1) if number is not None else 0
+            want[at] += f"\n\n[그림 설명: {caption}]"
+        assert got[d] == (len(ok), want)
+    assert got[99] == (3000, ["t\n\n[그림 설명: c]"] * 3000)
+
+
+def test_bodies_are_split_once(spark, tmp_path):
+    columns = "doc_id string, slug string, title string, source string, url string, language string, doc_type string, body string"
+    docs = spark.createDataFrame([("d", "s", "t", "x", "u", "ko", "article", "## h\ntext"), ("e", "s", "t", "x", "u", "ko", "article", "")], columns)
+    docs.withColumn("captions", F.lit(None).cast("array<struct<section:int,caption:string,status:string>>")).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    built = documents.structure(stored)
+    assert [r.doc_id for r in built.collect()] == ["d"]
+    splits = [f._jdf.queryExecution().optimizedPlan().toString().count("split(body") for f in (built, stored.select(X.sections(F.col("body")).alias("s")))]
+    assert splits[0] == splits[1] > 0
+
+
+def test_dedupe_keeps_all_columns(spark):
+    blocks = spark.createDataFrame([(1, 3, "a", "p"), (1, 0, "a", "h"), (1, 1, "b", "p"), (2, 5, "a", None)], "page_id int, pos int, text string, kind string")
+    got = {tuple(r) for r in documents.block_dedupe(blocks).collect()}
+    assert got == {(1, 0, "a", "h"), (1, 1, "b", "p"), (2, 5, "a", None)}
+
+
 def test_quality_gate(spark):
     docs = spark.createDataFrame(
         [("short", "s", "article", "x"), ("flat", "s", "article", "x" * 600), ("ok", "s", "article", "## h\n" + "x" * 600), ("gloss", "s", "glossary", "x")],
@@ -168,6 +209,10 @@ def test_see_references_are_one_hop(spark):
     assert {r.id for r in corpus.resolve_see_refs(data).collect()} == {1, 5, 8}
     got = {tuple(r) for r in corpus.see_aliases(data).collect()}
     assert got == {("ball grid array", "BGA"), ("b", "A"), ("c", "B")}
+    assert {tuple(r) for r in corpus.absorbed_names(data).collect()} == {(1, "BGA"), (5, "B"), (8, "B")}
+    named = data.withColumn("aliases", F.array().cast("array<string>"))
+    kept = {r.id: r for r in corpus.with_absorbed_names(named).collect()}
+    assert set(kept) == {1, 5, 8} and "BGA" in kept[1].aliases and "B" in kept[8].aliases
     assert {r.state: r.n for r in corpus.see_report(data).collect()} == {"kept": 3, "absorbed": 3, "dropped": 2}
 
 

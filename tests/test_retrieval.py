@@ -162,7 +162,31 @@ def test_citation_is_containment_of_the_last_part(spark):
 
 
 def test_index_is_written_by_term(spark, tmp_path):
-    records = spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, text string")
-    retrieval.write_index(retrieval.bm25_postings(retrieval.placed_by_id(records)), str(tmp_path / "idx"), buckets=4)
-    back = spark.read.parquet(str(tmp_path / "idx"))
+    records = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, ""), (4, None)], "id long, text string")
+    retrieval.build_index(records, str(tmp_path / "idx"), buckets=4)
+    back = retrieval.read_postings(spark, str(tmp_path / "idx" / "postings"))
     assert {(r.id, r.term, r.tf, r.dl) for r in back.collect()} == {(1, "a", 2, 3), (1, "b", 1, 3), (2, "b", 1, 1)}
+    queries = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    for _ in range(2):
+        found = retrieval.search_index(spark, str(tmp_path / "idx"), queries, 5).collect()
+        assert [(r.query_id, r.id, r["rank"]) for r in found] == [(1, 1, 1)]
+
+
+def test_keyword_index_of_no_records(spark):
+    records = spark.createDataFrame([], "id string, text string")
+    queries = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    assert retrieval.bm25_topk(records, queries, 5).count() == 0
+
+
+def test_postings_move_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a")], "id long, text string").write.parquet(str(tmp_path / "t"))
+    plan = retrieval.bm25_postings(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_absorbed_names_lead_to_the_card(spark):
+    cards = spark.createDataFrame([(1, "ball grid array", None), (2, "die", ["chip"])], "id long, term string, aliases array<string>")
+    absorbed = spark.createDataFrame([(1, "BGA")], "id long, alias string")
+    queries = spark.createDataFrame([(7, "what is a bga")], "query_id long, text string")
+    got = retrieval.exact_term_match(retrieval.term_index(cards, absorbed), queries).collect()
+    assert [(r.card_id, r.key_chars) for r in got] == [(1, 3)]

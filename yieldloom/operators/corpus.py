@@ -132,6 +132,37 @@ def resolve_see_refs(cards: DataFrame) -> DataFrame:
     return cards.filter(see_target(F.col("definition")).isNull())
 
 
+def absorbed_names(cards: DataFrame) -> DataFrame:
+    """(id, alias): names that cards of their own take over from references, in long form."""
+    return (
+        resolve_see_refs(cards)
+        .select("canonical_term", "id")
+        .join(see_aliases(cards), "canonical_term")
+        .select("id", "alias")
+    )
+
+
+def with_absorbed_names(cards: DataFrame) -> DataFrame:
+    """Cards of their own, their aliases extended by the names of references to them, sorted.
+
+    The names are gathered per target before the join, so a target with many cards
+    multiplies no references.
+    """
+    none = F.array().cast("array<string>")
+    names = see_aliases(cards).groupBy("canonical_term").agg(
+        F.sort_array(F.collect_set("alias")).alias("_absorbed")
+    )
+    own = F.coalesce("aliases", none)
+    new = F.array_except(F.coalesce("_absorbed", none), F.array_append(own, F.col("term")))
+    return (
+        resolve_see_refs(cards)
+        .join(names, "canonical_term", "left")
+        .withColumn("aliases", F.concat(own, new))
+        .drop("_absorbed")
+        .select(cards.columns)
+    )
+
+
 def see_report(cards: DataFrame) -> DataFrame:
     """How many cards were kept, absorbed as an alias, or dropped without a target."""
     known = cards.select(F.col("canonical_term").alias("target")).distinct().withColumn(

@@ -20,8 +20,15 @@ def normalize_documents(docs: DataFrame) -> DataFrame:
 
 
 def block_dedupe(blocks: DataFrame) -> DataFrame:
-    """First of identical block texts inside each page; pre-aggregated before the shuffle."""
-    return blocks.groupBy("page_id", "text").agg(F.min("pos").alias("pos"))
+    """First of identical block texts inside each page, with all its columns; pre-aggregated."""
+    others = [c for c in blocks.columns if c not in ("page_id", "text")]
+    first = F.min_by(F.struct(*others), F.struct("pos", *[c for c in others if c != "pos"]))
+    return (
+        blocks.groupBy("page_id", "text")
+        .agg(first.alias("first"))
+        .select("page_id", "text", "first.*")
+        .select(blocks.columns)
+    )
 
 
 def quality_gate(docs: DataFrame) -> DataFrame:
@@ -73,43 +80,93 @@ def accepted(captions: Column) -> Column:
     return F.filter(captions, lambda c: (c["status"] == "ok") & (c["caption"] != ""))
 
 
-def with_captions(sections: Column, captions: Column) -> Column:
-    """Append accepted captions to the last section at or before their heading number."""
-    usable = F.coalesce(accepted(captions), F.array().cast("array<struct<section:int,caption:string,status:string>>"))
+def merge_captions(docs: DataFrame) -> DataFrame:
+    """Documents with ``sections`` and ``captions`` arrays -> sections with captions in place.
+
+    An accepted caption is appended to the last section at or before its heading number,
+    or to the first. Linear in sections and captions: a table leads from heading numbers
+    to sections, and the captions sorted by section fall into runs. Each step names the
+    column of the one before more than once, which keeps Spark from computing it anew
+    for every element.
+    """
+    none = F.array().cast("array<struct<section:int,caption:string,status:string>>")
+    slots, usable, placed, starts, tails = map(
+        F.col, ("_slots", "_usable", "_placed", "_starts", "_tails")
+    )
+
+    def numbers(section: Column, index: Column) -> Column:
+        """The section's index, once for each number up to the next section's."""
+        following = F.get(F.col("sections"), index + 1)["ordinal"]
+        return F.array_repeat(index, F.coalesce(following - section["ordinal"], F.lit(1)))
 
     def place(number: Column) -> Column:
-        at_or_before = F.size(F.filter(sections, lambda s: s["ordinal"] <= number))
-        return F.greatest(at_or_before - 1, F.lit(0))
-
-    def extend(section: Column, index: Column) -> Column:
-        own = F.filter(usable, lambda c: place(c["section"]) == index)
-        tail = F.array_join(
-            F.transform(
-                own, lambda c: F.concat(F.lit("\n\n" + CAPTION_PREFIX), c["caption"], F.lit("]"))
+        first = F.get(F.col("sections"), F.lit(0))["ordinal"]
+        at = F.least(F.coalesce(number, F.lit(0)) - first, F.size(slots) - 1)
+        return F.coalesce(F.get(slots, F.greatest(at, F.lit(0))), F.lit(0))
+
+    def run(start: Column, index: Column) -> Column:
+        """Empty tails for sections without a caption, then the joined captions of one section."""
+        before = F.coalesce(F.get(placed, F.get(starts, index - 1))["at"], F.lit(-1))
+        end = F.coalesce(F.get(starts, index + 1), F.size(placed))
+        texts = F.transform(
+            F.slice(placed, start + 1, end - start),
+            lambda c: F.concat(F.lit("\n\n" + CAPTION_PREFIX), c["caption"], F.lit("]")),
+        )
+        gap = F.array_repeat(F.lit(""), F.get(placed, start)["at"] - before - 1)
+        return F.concat(gap, F.array(F.array_join(texts, "")))
+
+    new = F.filter(
+        F.sequence(F.lit(0), F.size(placed) - 1),
+        lambda i: (i == 0) | (F.get(placed, i)["at"] != F.get(placed, i - 1)["at"]),
+    )
+    accepted_ones = F.coalesce(accepted(F.col("captions")), none)
+    extended = F.transform(
+        "sections",
+        lambda s, i: F.struct(
+            s["ordinal"].alias("ordinal"),
+            s["heading"].alias("heading"),
+            F.concat(
+                s["text"], F.when(i < F.size(tails), F.get(tails, i)).otherwise(F.lit(""))
+            ).alias("text"),
+        ),
+    )
+    return (
+        docs.withColumn("_usable", F.when(F.size("sections") > 0, accepted_ones).otherwise(none))
+        .withColumn("_slots", F.flatten(F.transform("sections", numbers)))
+        .withColumn(
+            "_placed",
+            F.sort_array(
+                F.transform(
+                    usable,
+                    lambda c, k: F.struct(
+                        place(c["section"]).alias("at"), k.alias("k"), c["caption"].alias("caption")
+                    ),
+                )
             ),
-            "",
         )
-        return F.struct(
-            section["ordinal"].alias("ordinal"),
-            section["heading"].alias("heading"),
-            F.concat(section["text"], tail).alias("text"),
+        .withColumn(
+            "_starts", F.when(F.size(placed) > 0, new).otherwise(F.array().cast("array<int>"))
         )
+        .withColumn("_tails", F.flatten(F.transform(starts, run)))
+        .withColumn("n_captions", F.size(usable))
+        .withColumn("sections", extended)
+        .drop("_usable", "_slots", "_placed", "_starts", "_tails")
+    )
 
-    return F.transform(sections, extend)
 
+def with_sections(docs: DataFrame, body: Column) -> DataFrame:
+    """Documents with at least one section, as an array.
 
-def merge_captions(docs: DataFrame) -> DataFrame:
-    """Documents with ``sections`` and ``captions`` arrays -> sections with captions in place."""
-    return docs.withColumn(
-        "n_captions",
-        F.when(F.size("sections") > 0, F.coalesce(F.size(accepted(F.col("captions"))), F.lit(0)))
-        .otherwise(0),
-    ).withColumn("sections", with_captions(F.col("sections"), F.col("captions")))
+    The generator of one row keeps the filter above it, so the body is split once;
+    below a plain projection Spark would split it in the filter as well.
+    """
+    once = F.inline_outer(F.array(F.struct(X.sections(body).alias("sections"))))
+    return docs.select("*", once).filter(F.size("sections") > 0)
 
 
 def structure(docs: DataFrame) -> DataFrame:
     """Sections, captions and metadata defaults of clean documents; empty ones are dropped."""
-    parsed = docs.withColumn("sections", X.sections(F.col("body"))).filter(F.size("sections") > 0)
+    parsed = with_sections(docs, F.col("body"))
     title = F.coalesce("title", "slug")
     return (
         merge_captions(parsed)
@@ -135,8 +192,7 @@ def internal_documents(docs: DataFrame) -> DataFrame:
     body = F.regexp_replace("body", r"\A# [^\n]+\n", "")
     none = F.lit(None).cast("string")
     return (
-        docs.withColumn("sections", X.sections(body))
-        .filter(F.size("sections") > 0)
+        with_sections(docs, body)
         .select(
             F.concat(F.lit("internal-"), "slug").alias("doc_id"),
             F.lit("internal_docs").alias("source"),

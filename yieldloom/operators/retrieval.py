@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
 from yieldloom.operators.joins import MAX_BROADCAST_ROWS, joined_side
 from yieldloom.operators.ranking import top_per_group
-from yieldloom.sources.scratch import checkpoint
+from yieldloom.sources.scratch import checkpoint, scratch_path
 
 # Shape of the keyword score, exact hits per query, context format.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 EXACT_LIMIT = 2
 MIN_KEY_CHARS = 2
+AFTER_OWN_NAMES = (1 << 31) - 1
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 EMPTY_CONTEXT = "관련 지식을 찾을 수 없습니다."
 
@@ -31,24 +33,35 @@ ANCHOR_LENGTHS = (2, 4, 8, 16, 32)
 MAX_KEYS_PER_ANCHOR = 32
 PIECE_CHARS = 512
 
-# Query vectors up to this many values are sent to the tasks; more go in blocks.
+# Query vectors are sent to the tasks, up to this many values at a time.
 MAX_BROADCAST_VALUES = 4_000_000
-ROWS_PER_BLOCK = 20_000
+# Records and queries of one matrix product.
+ROWS_PER_BLOCK = 10_000
 QUERIES_PER_BLOCK = 1_000
 
+# Term buckets of a written keyword index.
+INDEX_BUCKETS = 64
+
 DISTANCE_ROWS = "query_id long, kind string, id long, distance double"
 
 
 # --- exact terms --------------------------------------------------------------------------
 
 
-def term_index(cards: DataFrame) -> DataFrame:
-    """Normalised term and aliases -> card, for keys of at least two characters."""
+def term_index(cards: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
+    """Normalised term and aliases -> card, for keys of at least two characters.
+
+    ``absorbed`` has further names in long form (id, alias), after a card's own, so
+    that a card which very many names refer to stays many rows.
+    """
     names = F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))
-    return (
-        cards.select("id", F.posexplode(names).alias("pos", "name"))
-        .select(X.canonical_term(F.col("name")).alias("key"), "id", "pos")
-        .filter(F.length("key") >= MIN_KEY_CHARS)
+    listed = cards.select("id", F.posexplode(names).alias("pos", "name"))
+    if absorbed is not None:
+        listed = listed.unionByName(
+            absorbed.select("id", F.lit(AFTER_OWN_NAMES).alias("pos"), F.col("alias").alias("name"))
+        )
+    return listed.select(X.canonical_term(F.col("name")).alias("key"), "id", "pos").filter(
+        F.length("key") >= MIN_KEY_CHARS
     )
 
 
@@ -193,7 +206,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit_rows(values.reshape(len(column), -1))
 
 
-def _by_broadcast(records: DataFrame, query_rows: list, k: int) -> DataFrame:
+def _by_broadcast(records: DataFrame, query_rows: list, k: int, rows_per_block: int) -> DataFrame:
+    """Local top-k rows of every task; what a task multiplies at once is bounded on both sides."""
     query_ids = np.array([r.query_id for r in query_rows], dtype=np.int64)
     matrix = _unit_rows(np.array([r.vec for r in query_rows], dtype=np.float64))
     shared = records.sparkSession.sparkContext.broadcast((query_ids, matrix))
@@ -202,58 +216,42 @@ def _by_broadcast(records: DataFrame, query_rows: list, k: int) -> DataFrame:
         own_ids, own_matrix = shared.value
         best: pd.DataFrame | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = _nearest(
-                own_ids,
-                own_matrix,
-                batch.column("id").to_numpy(),
-                batch.column("kind").to_numpy(zero_copy_only=False),
-                _matrix(batch.column("vec")),
-                k,
-            )
-            best = near if best is None else pd.concat([best, near])
-            best = (
-                best.sort_values(["query_id", "kind", "distance", "id"])
-                .groupby(["query_id", "kind"], sort=False)
-                .head(k)
-            )
+            for start in range(0, batch.num_rows, rows_per_block):
+                part = batch.slice(start, rows_per_block)
+                ids, vectors = part.column("id").to_numpy(), _matrix(part.column("vec"))
+                kinds = part.column("kind").to_numpy(zero_copy_only=False)
+                near = [
+                    _nearest(own_ids[q : q + QUERIES_PER_BLOCK], own_matrix[q : q + QUERIES_PER_BLOCK], ids, kinds, vectors, k)
+                    for q in range(0, len(own_ids), QUERIES_PER_BLOCK)
+                ]
+                best = (
+                    pd.concat([*near] if best is None else [best, *near])
+                    .sort_values(["query_id", "kind", "distance", "id"])
+                    .groupby(["query_id", "kind"], sort=False)
+                    .head(k)
+                )
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     return records.select("id", "kind", "vec").mapInArrow(search, DISTANCE_ROWS)
 
 
-def _by_blocks(records: DataFrame, queries: DataFrame, k: int, rows_per_block: int) -> DataFrame:
-    """Every block of records meets every block of queries in one bounded task."""
-    record_blocks = max(1, math.ceil(records.count() / rows_per_block))
-    query_blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-
-    def blocked(frame: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int):
-        return frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))
-        )
-
-    left = blocked(records.select("id", "kind", "vec"), "id", "rb", record_blocks, "qb", query_blocks)
-    right = blocked(queries.select("query_id", "vec"), "query_id", "qb", query_blocks, "rb", record_blocks)
-
-    def search(record_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if record_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "kind": [], "id": [], "distance": []})
-        return _nearest(
-            query_rows["query_id"].to_numpy(),
-            _unit_rows(np.vstack(query_rows["vec"].to_numpy()).astype(np.float64)),
-            record_rows["id"].to_numpy(),
-            record_rows["kind"].to_numpy(),
-            _unit_rows(np.vstack(record_rows["vec"].to_numpy()).astype(np.float64)),
-            k,
-        )
+def _by_rounds(
+    records: DataFrame, queries: DataFrame, k: int, rounds: int, rows_per_block: int
+) -> DataFrame:
+    """One share of the queries after the other goes to all tasks; records are never moved.
 
-    return (
-        left.groupBy("rb", "qb")
-        .cogroup(right.groupBy("rb", "qb"))
-        .applyInPandas(search, DISTANCE_ROWS)
-    )
+    Each round reads the records once and writes its local top-k rows, so that only one
+    share is held at a time.
+    """
+    share = F.pmod(F.xxhash64("query_id"), F.lit(rounds))
+    placed = checkpoint(queries.select("query_id", "vec", share.alias("share")))
+    found = []
+    for number in range(rounds):
+        rows = placed.filter(F.col("share") == number).drop("share").collect()
+        if rows:
+            found.append(checkpoint(_by_broadcast(records, rows, k, rows_per_block)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def vector_topk(
@@ -265,9 +263,9 @@ def vector_topk(
 ) -> DataFrame:
     """Exact nearest records by cosine distance, per query and collection.
 
-    A query table that is small enough goes to every task and the records are
-    never moved. A larger one is matched block by block. Either way only local
-    top-k rows are shuffled. Records and queries without a vector have no neighbours
+    The records are never moved: queries go to every task, a large table of them in
+    shares of ``max_broadcast_values`` one after the other. Only local top-k rows are
+    shuffled. Records and queries without a vector have no neighbours
     (``without_vector`` counts them); vectors of different length are an error.
     """
     records, queries = records.filter("vec IS NOT NULL"), queries.filter("vec IS NOT NULL")
@@ -281,9 +279,12 @@ def vector_topk(
     if not size.n:
         near = records.sparkSession.createDataFrame([], DISTANCE_ROWS)
     elif size.n * size.dim <= max_broadcast_values:
-        near = _by_broadcast(records, queries.select("query_id", "vec").collect(), k)
+        near = _by_broadcast(
+            records, queries.select("query_id", "vec").collect(), k, rows_per_block
+        )
     else:
-        near = _by_blocks(records, queries, k, rows_per_block)
+        rounds = math.ceil(size.n / max(1, max_broadcast_values // size.dim))
+        near = _by_rounds(records, queries, k, rounds, rows_per_block)
     return top_per_group(near, ["query_id", "kind"], ["distance", "id"], k, "kind_rank")
 
 
@@ -361,34 +362,52 @@ def tokenize(records: DataFrame) -> DataFrame:
     return records.select("id", X.tokens(F.col("text")).alias("tokens"))
 
 
-def placed_by_id(records: DataFrame) -> DataFrame:
-    """Whole texts moved once; whatever is grouped by id afterwards stays in place."""
-    return records.select("id", "text").repartition("id")
-
-
-def bm25_postings(placed: DataFrame) -> DataFrame:
-    """Postings (term, id, tf, dl) of all records in one index.
+def bm25_postings(records: DataFrame) -> DataFrame:
+    """Postings (term, id, tf, dl) of all records, counted inside each record.
 
-    With records placed by id, counting terms per record needs no shuffle of
-    its own, and moving a text is cheaper than moving its counted terms.
+    A record is one row, so its sorted tokens fall into runs of equal ones and no
+    text or token is shuffled. Each step names the column of the one before more
+    than once, which keeps Spark from computing it anew for every element.
     """
+    tokens, starts = F.col("tokens"), F.col("starts")
+    length = F.size(tokens)
+    new = F.filter(
+        F.sequence(F.lit(0), length - 1),
+        lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)),
+    )
+    runs = F.transform(
+        starts,
+        lambda start, i: F.struct(
+            F.get(tokens, start).alias("term"),
+            (F.coalesce(F.get(starts, i + 1), length) - start).cast("long").alias("tf"),
+        ),
+    )
     return (
-        tokenize(placed)
-        .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        tokenize(records)
+        .withColumn("tokens", F.sort_array("tokens"))
+        .withColumn("starts", F.when(length > 0, new).otherwise(F.array().cast("array<int>")))
+        .select("id", length.alias("dl"), F.inline_outer(runs))
         .filter(F.col("term").isNotNull())
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .select("term", "id", "tf", "dl")
     )
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
+def term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_index(postings: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
     """Postings by term bucket; rebalancing splits the bucket of a frequent term into files."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
-    postings.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy(
+    postings.withColumn("bucket", term_bucket(buckets)).hint("rebalance", "bucket").write.partitionBy(
         "bucket"
     ).mode("errorifexists").parquet(path)
 
 
+def read_postings(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    schema = f"term string, id {id_type}, tf bigint, dl int, bucket int"
+    return spark.read.schema(schema).parquet(path)
+
+
 def idf_table(frequencies: DataFrame, n_records: int) -> DataFrame:
     """Inverse document frequency per term; a negative one becomes a share of the mean."""
     raw = frequencies.withColumn(
@@ -400,48 +419,47 @@ def idf_table(frequencies: DataFrame, n_records: int) -> DataFrame:
     ).drop("raw_idf")
 
 
-def document_frequencies(records: DataFrame) -> DataFrame:
-    """How many records hold a term; each record counts once before the shuffle.
-
-    ``opened`` adds up the lengths of the records whose first token is the term,
-    so its total over all terms is the length of the corpus.
-    """
-    return (
-        tokenize(records)
-        .select(
-            F.size("tokens").alias("dl"),
-            F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term"),
-        )
-        .filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(
-            F.count(F.lit(1)).alias("df"),
-            F.sum(F.when(F.col("pos") == 0, F.col("dl")).otherwise(0)).alias("opened"),
-        )
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """How many records hold a term, and how often it occurs."""
+    return postings.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
     )
 
 
 def bm25_index(records: DataFrame) -> DataFrame:
     """Vocabulary of the index: document frequency, total frequency, idf."""
-    vocabulary = bm25_postings(placed_by_id(records)).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")
+    return idf_table(checkpoint(term_frequencies(bm25_postings(records))), records.count())
+
+
+def build_index(records: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Write a keyword index: postings by term bucket, frequencies per term, totals.
+
+    Texts are read and cut into tokens once; the rest comes from the postings.
+    """
+    spark = records.sparkSession
+    write_index(bm25_postings(records), f"{path}/postings", buckets)
+    postings = read_postings(spark, f"{path}/postings", dict(records.dtypes)["id"])
+    term_frequencies(postings).write.parquet(f"{path}/terms")
+    totals = spark.read.parquet(f"{path}/terms").agg(
+        F.coalesce(F.sum("total_tf"), F.lit(0)).alias("tokens")
     )
-    return idf_table(checkpoint(vocabulary), records.count())
+    totals.select(
+        "tokens", F.lit(records.count()).alias("records"), F.lit(buckets).alias("buckets")
+    ).write.parquet(f"{path}/totals")
 
 
-def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def search_index(
+    spark: SparkSession, path: str, queries: DataFrame, n: int, id_type: str = "bigint"
+) -> DataFrame:
     """Best records per query by keyword score; only positive scores are returned.
 
-    Records are placed by id once and stay there: counting terms, meeting the
-    query terms and adding up scores all reuse that placement, and only local
-    top-n rows leave their task. Repeated query terms count each time. Query terms
-    are counted first and broadcast only when they are few.
+    Only the postings in the buckets of the query terms are read. Repeated query
+    terms count each time. Query terms are counted first and broadcast only when
+    they are few.
     """
-    # Written out: its rows, its mean and its total length are all needed.
-    vocabulary = checkpoint(document_frequencies(records))
-    n_records = records.count()
-    mean_length = (vocabulary.agg(F.sum("opened")).first()[0] or 1) / max(n_records, 1)
-    idf = idf_table(vocabulary.drop("opened"), n_records)
+    totals = spark.read.parquet(f"{path}/totals").first()
+    mean_length = (totals.tokens or 1) / max(totals.records, 1)
+    idf = idf_table(spark.read.parquet(f"{path}/terms"), totals.records)
     query_terms = (
         queries.select("query_id", F.explode_outer(X.tokens(F.col("text"))).alias("term"))
         .filter(F.col("term").isNotNull())
@@ -455,22 +473,16 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")),
         n_terms,
     )
-    terms = joined_side(query_terms.select("term").distinct(), n_terms)
-    counted = (
-        tokenize(placed_by_id(records))
-        .select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .join(terms, "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    # At most one number per bucket of the index.
+    present = [r[0] for r in query_terms.select(term_bucket(totals.buckets)).distinct().collect()]
+    postings = read_postings(spark, f"{path}/postings", id_type).filter(
+        F.col("bucket").isin(present)
     )
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(mean_length)
-    saturated = counted.select(
-        "id",
-        "term",
-        (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length)).alias("gain"),
-    )
+    gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length)
     scores = (
-        saturated.join(wanted, "term")
+        postings.select("id", "term", gain.alias("gain"))
+        .join(wanted, "term")
         .groupBy("id", "query_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
         .filter(F.col("score") > 0)
@@ -480,6 +492,13 @@ def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     )
 
 
+def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The index of ``records`` written to the shared folder and searched."""
+    path = scratch_path(records.sparkSession, "keyword-index")
+    build_index(records, path)
+    return search_index(records.sparkSession, path, queries, n, dict(records.dtypes)["id"])
+
+
 # --- fusion and scoring -------------------------------------------------------------------
 
 

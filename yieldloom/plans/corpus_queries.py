@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
-from yieldloom.operators import captions, corpus, documents, manifest, pages
+from yieldloom.operators import captions, corpus, documents, manifest, pages, retrieval
 from yieldloom.sources import corpus_files, tables
 
 TITLE_INCLUDE = ("ring", "widget", "plate")
@@ -287,6 +287,20 @@ def resolve_see_refs(spark: SparkSession, folder: str) -> DataFrame:
     return kept.unionByName(absorbed)
 
 
+def see_embedding_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of the cards with the names they absorb."""
+    cards = corpus.with_absorbed_names(tables.part_cards(spark, folder))
+    text = corpus.embedding_text_card(F.col("term"), F.col("aliases"), F.col("definition"))
+    return cards.select("id", F.size("aliases").alias("n_aliases"), F.md5(text).alias("text"))
+
+
+def see_term_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that lead to a card, absorbed names included."""
+    cards = tables.part_cards(spark, folder)
+    index = retrieval.term_index(corpus.resolve_see_refs(cards), corpus.absorbed_names(cards))
+    return index.select("key", "id")
+
+
 def see_report(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.see_report(tables.part_cards(spark, folder))
 
@@ -355,6 +369,8 @@ QUERIES = {
         cards_from_glossary,
         cards_from_footnotes,
         resolve_see_refs,
+        see_embedding_text,
+        see_term_index,
         see_report,
         chunk_sections,
         assign_corpus_ids,
@@ -477,6 +493,11 @@ CARDS_SQL = """cards AS (
          CASE WHEN p_size <= 10 THEN lower(p_name || ' Brand#1') END AS target,
          CASE WHEN p_size <= 25 THEN 'parsed' ELSE 'footnote' END AS extracted_by FROM part)"""
 
+ABSORBED_SQL = """kept AS (SELECT * FROM cards WHERE target IS NULL),
+absorbed AS (
+  SELECT DISTINCT k.id, c.term AS alias FROM cards c JOIN kept k ON k.canonical_term = c.target
+  WHERE c.target <> c.canonical_term)"""
+
 # Greedy packing one paragraph at a time, all documents in step.
 CHUNKS_SQL = f"""{MD_SQL}, RECURSIVE_paras AS (
   SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, length(p) // 2 AS cost
@@ -723,6 +744,16 @@ SELECT 'card' AS kind, canonical_term, term AS value, id FROM cards WHERE target
 UNION ALL
 SELECT DISTINCT 'alias', target, term, NULL FROM cards
 WHERE target <> canonical_term AND target IN (SELECT canonical_term FROM cards)""",
+    "see_embedding_text": f"""WITH {CARDS_SQL}, {ABSORBED_SQL}, listed AS (
+  SELECT id, count(alias) AS n, string_agg(alias, ', ' ORDER BY alias) AS names
+  FROM absorbed GROUP BY id)
+SELECT k.id, (2 + coalesce(n, 0))::INT AS n_aliases,
+  md5(term || ' (' || p_brand || ', ' || p_type || coalesce(', ' || names, '') || '): ' || definition) AS text
+FROM kept k LEFT JOIN listed USING (id)""",
+    "see_term_index": f"""WITH {CARDS_SQL}, {ABSORBED_SQL}
+SELECT lower(name) AS key, id FROM (
+  SELECT id, unnest([term, p_brand, p_type]) AS name FROM kept
+  UNION ALL SELECT id, alias FROM absorbed)""",
     "see_report": f"""WITH {CARDS_SQL}
 SELECT CASE WHEN target IS NULL THEN 'kept'
             WHEN target <> canonical_term AND target IN (SELECT canonical_term FROM cards)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
-from yieldloom.operators import evals, qa, specs, telemetry
+from yieldloom.operators import evals, qa, specs, telemetry, yields
+from yieldloom.operators.joins import broadcast_if_small
 from yieldloom.plans import yield_queries
 from yieldloom.plans.yield_queries import (
     DEFECT_SQL,
@@ -91,17 +92,21 @@ def tool_choice_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_defect_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Worst steps, labels and violations of the lots and items that events name, no others."""
+    events = tables.defect_events(spark, folder)
+    event_lots = tables.defect_event_lots(spark, folder)
+    lots = event_lots.select("lot_id").distinct()
+    readings = tables.readings(spark, folder).join(lots, "lot_id", "left_semi")
+    items = broadcast_if_small(events.select(F.col("root_cause_item").alias("key")).distinct())
     violations = specs.spec_violations(
-        tables.readings(spark, folder),
-        tables.recipe_mapping(spark, folder),
+        readings.join(items, "key", "left_semi"),
+        tables.recipe_mapping(spark, folder).join(lots, "lot_id", "left_semi"),
         specs.check_spec_keys(tables.recipe_specs(spark)),
     )
-    rows = evals.verify_defect_cases(
-        tables.defect_events(spark, folder),
-        tables.defect_event_lots(spark, folder),
-        yield_queries.lot_defect_type(spark, folder),
-        violations,
+    defects = yields.lot_defect_type(
+        tables.lot_steps(spark, folder).join(lots, "lot_id", "left_semi"), readings
     )
+    rows = evals.verify_defect_cases(events, event_lots, defects, violations)
     return rows.withColumn("expected_keywords", _groups("expected_keywords"))
 
 
