@@ -451,33 +451,47 @@ def build_index(records: DataFrame, path: str, buckets: int = INDEX_BUCKETS) ->
 def search_index(
     spark: SparkSession, path: str, queries: DataFrame, n: int, id_type: str = "bigint"
 ) -> DataFrame:
-    """Best records per query by keyword score; only positive scores are returned.
-
-    Only the postings in the buckets of the query terms are read. Repeated query
-    terms count each time. Query terms are counted first and broadcast only when
-    they are few.
-    """
+    """Best records per query; only the postings in the buckets of the query terms are read."""
     totals = spark.read.parquet(f"{path}/totals").first()
-    mean_length = (totals.tokens or 1) / max(totals.records, 1)
-    idf = idf_table(spark.read.parquet(f"{path}/terms"), totals.records)
-    query_terms = (
+    # At most one number per bucket of the index.
+    present = [
+        r[0]
+        for r in _query_terms(queries).select(term_bucket(totals.buckets)).distinct().collect()
+    ]
+    postings = read_postings(spark, f"{path}/postings", id_type).filter(
+        F.col("bucket").isin(present)
+    )
+    terms = spark.read.parquet(f"{path}/terms")
+    return _best(postings, terms, totals.records, totals.tokens, queries, n)
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf): repeated terms of a query count each time."""
+    return (
         queries.select("query_id", F.explode_outer(X.tokens(F.col("text"))).alias("term"))
         .filter(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
+
+
+def _best(
+    postings: DataFrame, terms: DataFrame, n_records: int, n_tokens: int, queries: DataFrame, n: int
+) -> DataFrame:
+    """Best records per query by keyword score; only positive scores are returned.
+
+    Only postings of query terms move. Query terms are counted first and broadcast
+    only when they are few.
+    """
+    mean_length = (n_tokens or 1) / max(n_records, 1)
+    query_terms = _query_terms(queries)
     n_terms = query_terms.limit(MAX_BROADCAST_ROWS + 1).count()
     wanted = joined_side(
         joined_side(query_terms, n_terms)
-        .join(idf, "term")
+        .join(idf_table(terms, n_records), "term")
         .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")),
         n_terms,
     )
-    # At most one number per bucket of the index.
-    present = [r[0] for r in query_terms.select(term_bucket(totals.buckets)).distinct().collect()]
-    postings = read_postings(spark, f"{path}/postings", id_type).filter(
-        F.col("bucket").isin(present)
-    )
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(mean_length)
     gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length)
     scores = (
@@ -493,10 +507,18 @@ def search_index(
 
 
 def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The index of ``records`` written to the shared folder and searched."""
-    path = scratch_path(records.sparkSession, "keyword-index")
-    build_index(records, path)
-    return search_index(records.sparkSession, path, queries, n, dict(records.dtypes)["id"])
+    """One search without an index: postings are written as they come, in no order, and read back.
+
+    For more searches over the same records, ``build_index`` and ``search_index``.
+    """
+    spark, path = records.sparkSession, scratch_path(records.sparkSession, "postings")
+    counted = bm25_postings(records)
+    counted.write.parquet(path)
+    postings = spark.read.schema(counted.schema).parquet(path)
+    # Written out: its rows, its mean and its total are all needed.
+    terms = checkpoint(term_frequencies(postings))
+    n_tokens = terms.agg(F.sum("total_tf")).first()[0]
+    return _best(postings, terms, records.count(), n_tokens, queries, n)
 
 
 # --- fusion and scoring -------------------------------------------------------------------

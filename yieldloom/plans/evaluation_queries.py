@@ -95,7 +95,7 @@ def verify_defect_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Worst steps, labels and violations of the lots and items that events name, no others."""
     events = tables.defect_events(spark, folder)
     event_lots = tables.defect_event_lots(spark, folder)
-    lots = event_lots.select("lot_id").distinct()
+    lots = broadcast_if_small(event_lots.select("lot_id").distinct())
     readings = tables.readings(spark, folder).join(lots, "lot_id", "left_semi")
     items = broadcast_if_small(events.select(F.col("root_cause_item").alias("key")).distinct())
     violations = specs.spec_violations(

@@ -9,6 +9,7 @@ from yieldloom import schemas
 from yieldloom.operators import retrieval
 from yieldloom.operators.ranking import top_per_group
 from yieldloom.sources import tables
+from yieldloom.sources.scratch import scratch_path
 
 TOP_N = 10
 RESULTS = 3
@@ -79,6 +80,13 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _keyword(spark, folder)
 
 
+def keyword_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search through a keyword index that is written by term and read back."""
+    path = scratch_path(spark, "keyword-index")
+    retrieval.build_index(tables.text_records(spark, folder), path)
+    return retrieval.search_index(spark, path, tables.text_queries(spark, folder), TOP_N)
+
+
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
     pool = schemas.HYBRID_POOL
     vector = retrieval.vector_ranking(_topk(spark, folder, pool))
@@ -164,6 +172,7 @@ QUERIES = {
         tokenize,
         bm25_index,
         bm25_topk,
+        keyword_index,
         rrf_fuse,
         retrieval_rank,
         retrieval_metrics,
@@ -289,6 +298,7 @@ FROM benchmark LEFT JOIN blocks ON query_id = item_id GROUP BY item_id""",
 SELECT id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM toks""",
     "bm25_index": f"WITH {TOKENS_SQL} SELECT term, df, total_tf, round(idf, 6) AS idf FROM idfs",
     "bm25_topk": f"WITH {keyword_sql(TOP_N)} SELECT * FROM keyword_list",
+    "keyword_index": f"WITH {keyword_sql(TOP_N)} SELECT * FROM keyword_list",
     "rrf_fuse": f"""WITH {topk_sql(schemas.HYBRID_POOL)}, {keyword_sql(schemas.HYBRID_POOL)}, {FUSED_SQL}
 SELECT query_id, id, score, rank FROM fused""",
     "retrieval_rank": f"""WITH {topk_sql(schemas.HYBRID_POOL)}, {keyword_sql(schemas.HYBRID_POOL)},
