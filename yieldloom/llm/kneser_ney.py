@@ -28,6 +28,8 @@ from yieldloom.sources.scratch import scratch_path
 START, END = b"< s >", b"< /s >"
 #: Text that a task counts, and scores, at once: scoring holds a dozen numbers a token.
 TEXT_BYTES, SCORED_BYTES = 6 << 20, 3 << 20
+#: Different pairs that a task adds up before it hands them on.
+PAIRS_AT_ONCE = 1 << 21
 #: Tokens for which there is one more bucket of pairs.
 BUCKET = 1_000_000
 WORD_BITS = 32
@@ -189,6 +191,13 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, values[starts]
 
 
+def _added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in their order, and the sum of ``n`` over each."""
+    order = np.argsort(codes, kind="stable")
+    starts, codes = _runs(codes[order])
+    return codes, np.add.reduceat(n[order], starts)
+
+
 def _by_bucket(
     batches: Iterator[pa.RecordBatch],
 ) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -252,12 +261,19 @@ def vocabulary(texts: DataFrame, folder: str) -> tuple[tuple[int, ...], int]:
 
 
 def _count_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: tuple[np.ndarray, np.ndarray] | None = None
     for batch in groups_of(batches, TEXT_BYTES):
         if batch.num_rows:
             words, tokens, counts = numbered(raw_texts(batch.column(0)))
             ids = model.ids(hashed(words))
             codes = pair_codes(ids[previous(tokens, counts)], ids[tokens])
-            yield _table(PAIRS, *np.unique(codes, return_counts=True))
+            found = np.unique(codes, return_counts=True)
+            held = _added(*map(np.concatenate, zip(held, found))) if held else found
+            if len(held[0]) >= PAIRS_AT_ONCE:
+                yield _table(PAIRS, *held)
+                held = None
+    if held:
+        yield _table(PAIRS, *held)
 
 
 def _write_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,16 +294,11 @@ def _write_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         small = np.uint32 if counts.max() < 1 << 32 else np.uint64
         save(f"{model.folder}/pairs/{bucket}-count.npy", counts.astype(small))
         first, second = pair_words(codes)
-        # Words before: how many different ones follow, once, twice and more often.
-        order = np.argsort(first, kind="stable")
-        at, words = _runs(first[order])
-        often = np.minimum(counts[order], 3)
-        follow = [np.add.reduceat((often == k).astype(np.int64), at) for k in (1, 2, 3)]
-        yield stats(words, np.zeros(len(words)), *follow)
-        # Words after: how many different ones come before.
-        words, before = np.unique(second, return_counts=True)
-        none = np.zeros(len(words))
-        yield stats(words, before, none, none, none)
+        # Of each word: how many different ones come before, and how many follow once,
+        # twice and more often.
+        words, place = np.unique(np.concatenate([second, first]), return_inverse=True)
+        often = np.concatenate([np.zeros(len(second), np.int64), np.minimum(counts, 3)])
+        yield stats(words, *[np.bincount(place[often == k], minlength=len(words)) for k in range(4)])
         yield stats(np.array([-1]), *[np.array([(counts == k).sum()]) for k in (1, 2, 3, 4)])
 
 
@@ -328,13 +339,13 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     model = Model(folder, starts, bits, tokens, max(0, starts[-1] - 1), 0, flat, flat, 1.0)
     if not tokens:
         return model
+    pair_range = F.shiftright("hash", 64 - bits)
     level = (
         texts.mapInArrow(lambda b: _count_pairs(model, b), PAIRS)
-        .withColumn("bucket", F.shiftright("hash", 64 - bits))
-        .select("bucket", "hash", "n")
-        .repartition(partitions, "bucket")
-        # Buckets are ranges of the hash, so its order is theirs.
+        # Buckets are ranges of the hash, so its order is theirs, and they need no column yet.
+        .repartition(partitions, pair_range)
         .sortWithinPartitions("hash")
+        .select(pair_range.alias("bucket"), "hash", "n")
         .mapInArrow(lambda b: _write_pairs(model, b), STATS)
         .repartition(partitions, "bucket")
         .sortWithinPartitions("id")
