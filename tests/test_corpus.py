@@ -254,6 +254,27 @@ def test_page_blocks(spark):
     assert [tuple(r) for r in pages.page_images(blocks).collect()] == [(1, 2, 1, "a.png", "A")]
 
 
+NEWS = """<html><body><h2 class="post-title">My&nbsp;title</h2><div class="post-contents">
+<h3 class="sub-title">One</h3><p>text<span style="color: red;">*</span></p><p>with <img src="a.png" alt="A"> picture</p>
+<p class="footnote">T1: d1<br>T2: d2</p><p class="caption">Figure (ⓒ Owner)<br>출처: site</p>
+<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table><p>end</p></div></body></html>"""
+SHOP = """<html><head><title>Shop</title></head><main><h1>Line</h1><ul><li>outer <p>inner</p></li><li>x</li><li>y</li></ul>
+<h3>Sub</h3><p>inner</p><p>more</p><button><p>buy</p></button></main></html>"""
+
+
+def test_clean_documents(spark):
+    frame = spark.createDataFrame([(1, NEWS), (2, "<p>no root</p>"), (3, None), (4, "")], "page_id long, html string")
+    got = {r.page_id: (r.title, r.body) for r in pages.clean_documents(frame, pages.NEWSROOM).collect()}
+    body = "## One\n\ntext\n\n※ T1: d1\n※ T2: d2\n\nFigure\n\n| a | b |\n| c |\n\nend"
+    assert got == {1: ("My title", body), 2: ("", ""), 3: ("", ""), 4: ("", "")}
+    frame = spark.createDataFrame([(1, SHOP)], "page_id long, html string")
+    got = pages.clean_documents(frame, pages.PRODUCT).first()
+    assert (got.title, got.body) == ("Shop", "## Line\n\ninner\n\n- x\n- y\n\n### Sub\n\nmore")
+    blocks = pages.page_blocks(frame, pages.PRODUCT).orderBy("pos").collect()
+    assert [b.text for b in blocks] == ["Line", "inner", "x", "y", "Sub", "more"]
+    assert pages.clean_documents(frame.limit(0), pages.PRODUCT).count() == 0
+
+
 def test_glossary_pairs_stop_at_the_next_heading(spark):
     html = '<body><h3 class="m-heading-type3">A</h3><h3 class="m-heading-type3">B</h3><p>x</p><div class="m-text">b def</div></body>'
     frame = spark.createDataFrame([(1, html)], "page_id long, html string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -14,22 +16,39 @@ from yieldloom.functions import text as X
 from yieldloom.operators.ranking import running_total
 from yieldloom.sources.scratch import checkpoint
 
+CLEAN = "page_id long, title string, kinds array<string>, texts array<string>, ends array<boolean>"
+PAGES_AT_ONCE = 32
 BLOCKS = "page_id long, pos int, section int, kind string, text string, src string, alt string"
 CELL = "\x1f"  # start of a table cell while a row is read
+ITEM = "\x1e"  # between the texts of a page while they are normalised; the parser removes it from texts
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 @dataclass(frozen=True)
 class SiteRules:
-    """Which elements of a site's pages count: 'tag' or 'tag.class'."""
+    """Which elements of a site's pages count: 'tag' or 'tag.class'.
+
+    ``mark_style`` is the style of spans that are dropped, ``leaves`` drops elements around
+    paragraphs and items, ``unique`` repeats of a text, and ``figure_text`` tells
+    whether a paragraph with an image keeps its text.
+    """
 
     root: str
     kinds: dict[str, str]
     drop: tuple[str, ...] = ()
     headings: tuple[str, ...] = field(default=("heading",))
-
-
-# Element rules of the three page layouts, and of plain articles.
+    title: str = "title"
+    mark_style: str | None = None
+    leaves: bool = False
+    unique: bool = False
+    figure_text: bool = True
+
+
+# Interactive elements, credits in captions, line openings of the clean
+# document, and element rules of the three page layouts and of plain articles.
+INTERACTIVE = ("nav", "form", "button", "script", "style", "noscript")
+CREDIT, CREDIT_LINE = re.compile(r"\(ⓒ[^)]*\)"), "출처"
+OPENINGS = {"heading": "\n## ", "subheading": "\n### ", "footnote": "※ ", "list_item": "- "}
 NEWSROOM = SiteRules(
     root="div.post-contents",
     kinds={
@@ -41,6 +60,9 @@ NEWSROOM = SiteRules(
         "img": "image",
     },
     drop=("div.post-intro",),
+    title="h2.post-title",
+    mark_style="color: red",
+    figure_text=False,
 )
 PRODUCT = SiteRules(
     root="main",
@@ -53,7 +75,9 @@ PRODUCT = SiteRules(
         "li": "list_item",
         "img": "image",
     },
-    drop=("nav", "form", "button", "script", "style", "noscript"),
+    drop=INTERACTIVE,
+    leaves=True,
+    unique=True,
 )
 GLOSSARY = SiteRules(root="body", kinds={"h3.m-heading-type3": "heading", "div.m-text": "definition"})
 ARTICLE = SiteRules(
@@ -66,7 +90,7 @@ ARTICLE = SiteRules(
         "li": "list_item",
         "img": "image",
     },
-    drop=("nav", "script", "style", "noscript", "form", "button"),
+    drop=INTERACTIVE,
 )
 
 
@@ -78,6 +102,11 @@ class _BlockReader(HTMLParser):
         self.rules = rules
         self.blocks: list[tuple[int, str, str, str | None, str | None]] = []
         self.section = 0
+        self.title: str | None = None
+        self.ends: set[int] = set()
+        self._title_tag: str | None = None
+        self._title: list[str] = []
+        self._seen: set[str] = set()
         self._inside_root = 0
         self._root_tag = rules.root.split(".")[0]
         self._dropped: list[str] = []
@@ -95,11 +124,15 @@ class _BlockReader(HTMLParser):
             if tag == self._dropped[-1] and tag not in VOID_TAGS:
                 self._dropped.append(tag)
             return
+        if self.title is None and self._title_tag is None and self._matches(names, self.rules.title):
+            self._title_tag = tag
         if not self._inside_root:
             if self._matches(names, self.rules.root):
                 self._inside_root = 1
             return
-        if self._matches(names, self.rules.drop):
+        mark = self.rules.mark_style
+        marked = mark is not None and tag == "span" and mark in (values.get("style") or "")
+        if marked or self._matches(names, self.rules.drop):
             if tag not in VOID_TAGS:
                 self._dropped.append(tag)
             return
@@ -107,10 +140,14 @@ class _BlockReader(HTMLParser):
             self._inside_root += 1
         kind = next((self.rules.kinds[n] for n in names if n in self.rules.kinds), None)
         if kind == "image":
+            if self._kind == "paragraph" and not self.rules.figure_text:
+                self._kind, self._text = None, []
             src = values.get("src") or ""
             if src and not src.startswith("data:"):
                 self.blocks.append((self.section, kind, "", src, values.get("alt") or ""))
         elif kind is not None:
+            if self.rules.leaves and tag in ("p", "li"):
+                self._kind = None
             self._close()
             self._kind, self._tag = kind, tag
         elif tag == "br":
@@ -123,7 +160,12 @@ class _BlockReader(HTMLParser):
             if tag == self._dropped[-1]:
                 self._dropped.pop()
             return
+        if tag == self._title_tag:
+            self.title, self._title_tag = " ".join("".join(self._title).split()), None
         if self._inside_root:
+            if tag == "table":
+                self._close()
+                self.ends.add(len(self.blocks) - 1)
             if self._kind is not None and tag == self._tag:
                 self._close()
             if tag == self._root_tag:
@@ -132,24 +174,40 @@ class _BlockReader(HTMLParser):
                     self._close()
 
     def handle_data(self, data: str) -> None:
+        if self._title_tag is not None:
+            self._title.append(data)
         if self._kind is not None and not self._dropped and self._inside_root:
             self._text.append(data)
 
     def _close(self) -> None:
         if self._kind is not None:
             text = "".join(self._text)
+            if self._kind == "caption":
+                lines = [" ".join(line.split()) for line in CREDIT.sub("", text).split("\n")]
+                text = " ".join(x for x in lines if not x.startswith(CREDIT_LINE))
             parts = text.split("\n") if self._kind == "footnote" else [text]
             for part in parts:
                 clean = " ".join(part.split())
                 if self._kind == "table_row":
                     cells = [" ".join(cell.split()) for cell in part.split(CELL)[1:]]
                     clean = f"| {' | '.join(cells)} |"
-                if clean:
+                if clean and self._new(clean):
                     if self._kind in self.rules.headings:
                         self.section += 1
                     self.blocks.append((self.section, self._kind, clean, None, None))
+            if self._kind == "footnote":
+                self.ends.add(len(self.blocks) - 1)
         self._kind, self._text = None, []
 
+    def _new(self, text: str) -> bool:
+        """Whether a text counts: all do but repeats where texts are to be unique."""
+        if not self.rules.unique:
+            return True
+        key = " ".join(unicodedata.normalize("NFC", text).replace("/p>", "").split())
+        known = key in self._seen
+        self._seen.add(key)
+        return not known
+
     def read(self, html: str) -> list[tuple[int, str, str, str | None, str | None]]:
         self.feed(html)
         self.close()
@@ -157,6 +215,14 @@ class _BlockReader(HTMLParser):
         return self.blocks
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, str]]]:
+    """(page_id, html) of a few pages at a time, so that little output is held at once."""
+    for batch in batches:
+        pages = list(zip(batch["page_id"], batch["html"], strict=True))
+        for start in range(0, len(pages), PAGES_AT_ONCE):
+            yield [(page_id, html or "") for page_id, html in pages[start : start + PAGES_AT_ONCE]]
+
+
 def page_blocks(pages: DataFrame, rules: SiteRules) -> DataFrame:
     """(page_id, html) -> ordered blocks with the number of the section they are in.
 
@@ -165,11 +231,11 @@ def page_blocks(pages: DataFrame, rules: SiteRules) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for piece in _pieces(batches):
             rows = [
                 (page_id, pos, *block)
-                for page_id, html in zip(batch["page_id"], batch["html"], strict=True)
-                for pos, block in enumerate(_BlockReader(rules).read(html or ""))
+                for page_id, html in piece
+                for pos, block in enumerate(_BlockReader(rules).read(html))
             ]
             yield pd.DataFrame(
                 rows, columns=["page_id", "pos", "section", "kind", "text", "src", "alt"]
@@ -179,6 +245,44 @@ def page_blocks(pages: DataFrame, rules: SiteRules) -> DataFrame:
     return blocks.withColumn("text", X.normalize_text(F.col("text")))
 
 
+def clean_documents(pages: DataFrame, rules: SiteRules) -> DataFrame:
+    """(page_id, html) -> page_id, title, body: one clean text per page, without a shuffle.
+
+    Headings open with ``##`` or ``###``, items with ``-``, footnotes with ``※``; an empty
+    line follows a paragraph, a caption, the footnotes of an element and a table. A page
+    without the root element, or without HTML, has an empty body; one without a title
+    element an empty title.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in _pieces(batches):
+            rows = []
+            for page_id, html in piece:
+                page = _BlockReader(rules)
+                texts = [(i, b) for i, b in enumerate(page.read(html)) if b[1] != "image"]
+                kinds, lines = [b[1] for _, b in texts], [b[2] for _, b in texts]
+                rows.append((page_id, page.title or "", kinds, lines, [i in page.ends for i, _ in texts]))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "kinds", "texts", "ends"])
+
+    parsed = pages.select("page_id", "html").mapInPandas(read, CLEAN)
+    # One normalisation for all texts of a page; none crosses the separator.
+    texts = F.split(X.normalize_text(F.array_join("texts", ITEM)), ITEM, -1)
+    blocks = F.arrays_zip("kinds", F.transform(texts, X.strip).alias("texts"), "ends")
+
+    def line(block: F.Column) -> F.Column:
+        kind, opened = block["kinds"], F.lit("")
+        for name, opening in OPENINGS.items():
+            opened = F.when(kind == name, opening).otherwise(opened)
+        closes = block["ends"] | kind.isin("heading", "subheading", "paragraph", "caption", "definition")
+        return F.concat(opened, block["texts"], F.when(closes, "\n").otherwise(""))
+
+    kept = F.filter(blocks, lambda b: b["kinds"].isNotNull() & (b["texts"] != ""))
+    body = F.regexp_replace(F.array_join(F.transform(kept, line), "\n"), "\n{3,}", "\n\n")
+    return parsed.select(
+        "page_id", X.normalize_text(F.col("title")).alias("title"), X.strip(body).alias("body")
+    )
+
+
 def page_images(blocks: DataFrame) -> DataFrame:
     """Images with the section they stand in; the parser carries the section number."""
     return blocks.filter(F.col("kind") == "image").select("page_id", "pos", "section", "src", "alt")

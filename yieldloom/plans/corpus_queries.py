@@ -167,6 +167,28 @@ def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("page_id", "pos", "section", "kind", "text")
 
 
+def _clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean documents of the pages with their metadata."""
+    meta = tables.page_listing(spark, folder).select("page_id", "url", "source")
+    clean = pages.clean_documents(tables.article_pages(spark, folder), pages.ARTICLE)
+    return clean.join(meta, "page_id").withColumn("doc_type", F.lit("article"))
+
+
+def clean_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _clean(spark, folder)
+
+
+def clean_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality gate on documents made from pages."""
+    return documents.quality_gate(_clean(spark, folder).withColumnRenamed("page_id", "doc_id"))
+
+
+def clean_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of documents made from pages."""
+    docs = _clean(spark, folder).withColumnRenamed("page_id", "doc_id")
+    return documents.split_sections(docs).select("doc_id", "ordinal", "heading", _md5("text").alias("text_md5"))
+
+
 def block_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return documents.block_dedupe(tables.line_blocks(spark, folder))
 
@@ -353,6 +375,9 @@ QUERIES = {
         apply_exclusions,
         normalize_text,
         page_blocks,
+        clean_documents,
+        clean_gate,
+        clean_sections,
         block_dedupe,
         page_images,
         glossary_pairs,
@@ -625,7 +650,28 @@ built AS (
                         ORDER BY ordinal))
   FROM internal JOIN internal_sections USING (slug) GROUP BY slug)"""
 
+CLEAN_SQL = f"""{blocks_sql(0)},
+bodies AS (
+  SELECT page_id, string_agg(CASE tag WHEN 'h1' THEN chr(10) || '## ' ELSE '' END || text || chr(10), chr(10)
+                             ORDER BY before) AS body FROM blocks WHERE text <> '' GROUP BY page_id),
+clean AS (
+  SELECT page_id, 'article' AS doc_type,
+         {strip_sql("regexp_replace(nfc_normalize(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&')), '[[:space:]]+', ' ', 'g')")} AS title,
+         {strip_sql("regexp_replace(coalesce(body, ''), '[[:cntrl:]]{{3,}}', chr(10) || chr(10), 'g')")} AS body,
+         regexp_replace(regexp_replace(url, '[?#].*$', ''), '//(m|blog)\\.', '//') AS url,
+         regexp_extract(url, '//([^/]+)/', 1) AS source
+  FROM pages LEFT JOIN bodies USING (page_id))"""
+
 ORACLES = {
+    "clean_documents": f"WITH {CLEAN_SQL} SELECT * FROM clean",
+    "clean_gate": f"""WITH {CLEAN_SQL}, counted AS (
+  SELECT *, length(body)::INT AS chars,
+         len(regexp_extract_all(chr(10) || body, '\\n## [^\\n]'))::INT AS n FROM clean)
+SELECT page_id AS doc_id, source, chars, n AS sections, chars >= 500 AS include,
+  CASE WHEN chars < 500 THEN 'too_short' WHEN n = 0 THEN 'no_sections' END AS reason FROM counted""",
+    "clean_sections": f"""WITH {CLEAN_SQL}, docs AS (SELECT *, page_id AS doc_id FROM clean),
+{sections_sql('docs', 'doc_id')}
+SELECT doc_id, ordinal, heading, md5(text) AS text_md5 FROM sections""",
     "page_blocks": f"""WITH {blocks_sql(0)}
 SELECT page_id, before AS pos, through AS section,
   CASE tag WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS kind, text FROM blocks WHERE text <> ''""",
