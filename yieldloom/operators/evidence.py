@@ -27,23 +27,24 @@ def evidence_terms(
     """Ordered, de-duplicated search terms per lot.
 
     Order: violated items with their direction, worst step, defect label, words
-    for the strip pattern. Violations are reduced to distinct (item, direction)
-    first, so the list per lot is bounded by the recipe.
+    for the strip pattern. Entries are made distinct before they are shuffled, once and
+    by lot, so what arrives for a lot is bounded by its recipe however many violations
+    it has.
     """
-    kinds = violations.groupBy("lot_id", "key", "state").agg(F.count(F.lit(1)).alias("n"))
 
-    def term(ordinal: int, text: F.Column) -> F.Column:
-        return F.struct(F.lit(ordinal).alias("ordinal"), text.alias("term"))
+    def entry(block: int, terms: F.Column, sub: F.Column | None = None) -> F.Column:
+        """Terms of one place; entries sort by block, then by ``sub``."""
+        sub = F.lit("") if sub is None else sub
+        return F.struct(F.lit(block).alias("block"), sub.alias("sub"), terms.alias("terms"))
 
-    from_specs = kinds.select(
-        "lot_id",
-        F.concat_ws("/", "key", "state").alias("sub"),
-        F.inline(F.array(term(1, F.col("key")), term(2, F.col("state")))),
+    from_specs = violations.select(
+        "lot_id", entry(1, F.array("key", "state"), F.concat_ws("/", "key", "state")).alias("entry")
     )
     from_steps = defects.select(
         "lot_id",
-        F.lit("").alias("sub"),
-        F.inline(F.array(term(3, F.col("step_name")), term(4, F.col("defect_type")))),
+        F.explode(
+            F.array(entry(3, F.array("step_name")), entry(4, F.array("defect_type")))
+        ).alias("entry"),
     )
     words = F.create_map(
         *[
@@ -54,19 +55,13 @@ def evidence_terms(
     )
     from_strips = worst_strips.select(
         F.col("lot_id").cast("long").alias("lot_id"),
-        F.posexplode(F.element_at(words, F.col("pattern"))).alias("pos", "term"),
-    ).select(
-        "lot_id", F.lit("").alias("sub"), (F.col("pos") + 5).alias("ordinal"), "term"
-    )
-    terms = from_specs.unionByName(from_steps).unionByName(from_strips)
-    first = (
-        terms.withColumn("term", F.trim("term"))
-        .filter(F.col("term") != "")
-        .withColumn("place", F.struct(F.when(F.col("ordinal") <= 2, 1).otherwise(F.col("ordinal")).alias("block"), "sub", "ordinal"))
-        .groupBy("lot_id", "term")
-        .agg(F.min("place").alias("place"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("place", "term")))
-    return first.groupBy("lot_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["term"]), " ").alias("terms")
+        entry(5, F.element_at(words, F.col("pattern"))).alias("entry"),
+    ).filter(F.col("entry.terms").isNotNull())
+    entries = from_specs.unionByName(from_steps).unionByName(from_strips)
+    placed = F.array_sort(F.collect_set("entry"))
+    terms = F.transform(F.flatten(F.transform(placed, lambda x: x["terms"])), F.trim)
+    return (
+        entries.groupBy("lot_id")
+        .agg(F.array_join(F.array_distinct(F.filter(terms, lambda t: t != "")), " ").alias("terms"))
+        .filter(F.col("terms") != "")
     )
