@@ -291,7 +291,8 @@ def _write_pairs(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         starts, codes = _runs(codes)
         counts = np.add.reduceat(n, starts)
         save(f"{model.folder}/pairs/{bucket}-hash.npy", codes)
-        small = np.uint32 if counts.max() < 1 << 32 else np.uint64
+        # Most buckets need a byte or two a count.
+        small = np.min_scalar_type(int(counts.max()))
         save(f"{model.folder}/pairs/{bucket}-count.npy", counts.astype(small))
         first, second = pair_words(codes)
         # Of each word: how many different ones come before, and how many follow once,
