@@ -2,7 +2,8 @@
 
 A vocabulary built on ordinary text needs many tokens for a random string. Runs of
 key characters with few characters per token are reported, unless they are digests of
-a known length, identifiers or numbers.
+a known length, identifiers or numbers. Where a run as a whole is ordinary, the stretches
+of its parts that are not are tested, so a key is found behind a path or a name too.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ IDENTIFIER = re.compile(
 )
 CAMEL = re.compile(r"([A-Z]?[a-z]{2,}|[A-Z]{2,})([A-Z][a-z]{2,})*[0-9]{0,4}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
+PART = re.compile(r"[A-Za-z0-9]+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -63,6 +65,52 @@ def ratio(run: str, ranks: str) -> float:
     return len(run) / len(vocabulary(ranks).encode_ordinary(run))
 
 
+def stretches(run: str, ranks: str, max_ratio: float) -> list[tuple[int, int]]:
+    """Disjoint stretches of the parts of a run, the odd ones together (Ruzzo and Tompa).
+
+    A part weighs what its tokens are more than its characters allow; a stretch has
+    the greatest sum that its ends can give it. Linear in the number of parts.
+    """
+    total, found = 0.0, []
+    for m in PART.finditer(run):
+        weight = max_ratio * len(vocabulary(ranks).encode_ordinary(m[0])) - len(m[0])
+        before, total = total, total + weight
+        if weight <= 0:
+            continue
+        start, left, right = m.start(), before, total
+        while True:
+            at = len(found) - 1
+            while at >= 0 and found[at][2] >= left:
+                at = found[at][4]
+            if at < 0 or found[at][3] >= right:
+                found.append((start, m.end(), left, right, at))
+                break
+            start, left = found[at][0], found[at][2]
+            del found[at:]
+    return [(a, b) for a, b, *_ in found]
+
+
+def odd_parts(run: str, ranks: str, max_ratio: float) -> list[tuple[int, int, float]]:
+    """(start, end, ratio) of what is random in a run: all of it, or stretches, or parts."""
+
+    def tested(start: int, end: int) -> list[tuple[int, int, float]]:
+        piece = run[start:end]
+        if len(piece) < MIN_RUN or known(piece):
+            return []
+        found = ratio(piece, ranks)
+        return [(start, end, found)] if found <= max_ratio else []
+
+    if len(run) < MIN_RUN or known(run):
+        return []
+    found = tested(0, len(run))
+    if not found:
+        for a, b in stretches(run, ranks, max_ratio):
+            found += tested(a, b) or [
+                x for m in PART.finditer(run, a, b) for x in tested(m.start(), m.end())
+            ]
+    return found
+
+
 def base_spans(text: str) -> list[Span]:
     """The fixed patterns: leftmost matches of each kind that don't overlap, and pass its test."""
     spans = []
@@ -85,11 +133,10 @@ def secrets(text: str | None, ranks: str, max_ratio: float = MAX_RATIO) -> list[
     spans = base_spans(text)
     taken = Taken(spans)
     for m in RUN.finditer(text):
-        if taken.free(m.start(), m.end()) and not m[0].isalpha() and not known(m[0]):
-            found = ratio(m[0], ranks)
-            if found <= max_ratio:
+        for start, end in taken.gaps(m.start(), m.end()):
+            for a, b, found in odd_parts(text[start:end], ranks, max_ratio):
                 score = round(min(1.0, 1 - found / (2 * max_ratio)), 6)
-                spans.append(Span("random", m.start(), m.end(), score, False))
+                spans.append(Span("random", start + a, start + b, score, False))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -35,6 +37,20 @@ class Taken:
         at = bisect_right(self.borders, (end - 1, float("inf")))
         return not at or self.borders[at - 1][1] <= start
 
+    def gaps(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """The pieces of a stretch that no span covers."""
+        at = bisect_right(self.borders, (start, float("inf")))
+        if at:
+            start = max(start, self.borders[at - 1][1])
+        for a, b in itertools.islice(self.borders, at, None):
+            if a >= end:
+                break
+            if a > start:
+                yield start, a
+            start = max(start, b)
+        if start < end:
+            yield start, end
+
 
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the given order."""
