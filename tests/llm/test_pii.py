@@ -80,5 +80,20 @@ def test_context_and_checksums(text, kinds):
     assert [s.kind for s in pii.personal_data(text)] == kinds
 
 
+@pytest.mark.parametrize(("text", "codes"), [
+    ("AT61 1904 3002 3457 3201 BIC X", ["AT61 1904 3002 3457 3201"]),
+    ("AT611904300234573201 EUR 500", ["AT611904300234573201"]),
+    ("ES9121000418450200051332 BANK x", ["ES9121000418450200051332"]),
+    ("IBAN BE68 5390 0754 7034 2024", ["BE68 5390 0754 7034"]),
+    ("AT611904300234573201 INTERNATIONALE", ["AT611904300234573201"]),
+    ("AT61 1904 3002 3457 3201 BE68 5390 0754 7034", ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"]),
+    ("AB12 CODE USED AT61 1904 3002 3457 3201", ["AT61 1904 3002 3457 3201"]),
+    ("AT62 1904 3002 3457 3201 BIC X", []),
+    ("DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]),
+])
+def test_account_numbers_before_other_words(text, codes):
+    assert [text[s.start : s.end] for s in pii.personal_data(text) if s.kind == "iban"] == codes
+
+
 def test_empty_table(spark, empty):
     assert queries.op10_personal_data(spark, empty).collect() == []

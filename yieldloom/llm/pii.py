@@ -87,6 +87,38 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+#: Characters of an account number by country (ISO 13616).
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        part.split(":")
+        for part in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV "
+            "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
+
+
+def whole_match(m: re.Match) -> list[int]:
+    return [m.end()]
+
+
+def iban_ends(m: re.Match) -> list[int]:
+    """Where the code may end: its country's length first, then the whole match.
+
+    The pattern also takes upper-case words and numbers behind the code. Other shorter ends
+    count only for countries whose length is not known.
+    """
+    ends = [m.end(), *(m.end() - len(m[0]) + x.start() for x in reversed([*re.finditer(" ", m[0])]))]
+    size = IBAN_LENGTHS.get(m[0][:2])
+    right = [e for e in ends if e - m.start() - m.string.count(" ", m.start(), e) == size]
+    return [*right, *ends] if size is None else [*right, m.end()]
+
+
 class Kind(NamedTuple):
     """A proposed kind: pattern, checksum, score without any context, words that speak for it."""
 
@@ -95,6 +127,7 @@ class Kind(NamedTuple):
     confirmed: Callable[[str], bool]
     score: float
     context: re.Pattern
+    ends: Callable[[re.Match], list[int]] = whole_match
 
 
 def _iban(match: str) -> bool:
@@ -123,6 +156,7 @@ PROPOSED = (
         _iban,
         0.8,
         re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
+        iban_ends,
     ),
     Kind(
         "card_short",
@@ -148,20 +182,33 @@ PROPOSED = (
 )
 
 
+def matches(kind: Kind, text: str, taken: Taken) -> Iterator[tuple[int, int]]:
+    """(start, end) of what a kind's checksum confirms, in the order of the text.
+
+    What follows a shorter end, or a match without any, is searched again.
+    """
+    at = 0
+    while m := kind.pattern.search(text, at):
+        start, at = m.start(), m.end() if kind.ends is whole_match else m.start() + 1
+        for end in kind.ends(m):
+            if taken.free(start, end) and kind.confirmed(text[start:end]):
+                yield start, end
+                at = end
+                break
+
+
 def personal_data(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """All spans of a text, by kind as listed and then start; null counts as empty."""
     text = text or ""
     spans = base_spans(text)
     for kind in PROPOSED:
         taken = Taken(spans)
-        for m in kind.pattern.finditer(text):
-            if not taken.free(m.start(), m.end()) or not kind.confirmed(m[0]):
-                continue
-            near = text[max(0, m.start() - NEAR) : m.end() + NEAR]
+        for start, end in matches(kind, text, taken):
+            near = text[max(0, start - NEAR) : end + NEAR]
             score = kind.score + 0.3 * bool(kind.context.search(near))
             score -= 0.2 * bool(UNLIKELY.search(near))
             if score >= threshold:
-                spans.append(Span(kind.name, m.start(), m.end(), round(min(score, 1.0), 6), False))
+                spans.append(Span(kind.name, start, end, round(min(score, 1.0), 6), False))
     return sorted(spans, key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 
 
