@@ -17,10 +17,13 @@ from yieldloom.llm import (
     pii,
     secret_scan,
     simhash,
+    token_alignment,
 )
+from yieldloom.llm.common import written
 from yieldloom.llm.spans import base_digest, counted, listed
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +163,35 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def both_tokenizers() -> tuple[str, str, str]:
+    return tuple(map(public_tokenizers.path, (TOKENIZER, RANKS, PIECES)))
+
+
+def aligned(docs: DataFrame) -> DataFrame:
+    """Groups and links of two tokenizers, with counts over all of ``docs``."""
+    files, groups = both_tokenizers(), F.col("groups")
+    digest = F.when(F.col("n_a") > 0, F.sha2(groups.cast("binary"), 256)).otherwise("")
+    rows = token_alignment.align(docs, *files).withColumn("groups_sha256", digest).drop("groups")
+    rows = written(rows, "aligned")
+    counts = token_alignment.link_counts(rows, *files)
+    return token_alignment.with_counts(rows, counts, *files).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        "groups_sha256",
+        "n_overlaps",
+    )
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in each document."""
+    return aligned(documents(spark, sf_dir))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -206,5 +238,6 @@ QUERIES = {
         op8_kneser_ney,
         op9_neighbour_quality,
         op10_personal_data,
+        op11_token_alignment,
     )
 }
