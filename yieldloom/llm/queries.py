@@ -10,6 +10,7 @@ from yieldloom.llm import (
     decision_list,
     exact_dedup,
     kneser_ney,
+    license_scan,
     line_runs,
     mixing,
     neighbour_quality,
@@ -192,6 +193,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(documents(spark, sf_dir))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in each document."""
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("notices")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -223,6 +229,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, text_sha256
 FROM digests WINDOW same AS (PARTITION BY text_sha256)
 """,
+    "op12_license_scan": license_scan.oracle(license_scan.template_grams()),
 }
 
 QUERIES = {
@@ -239,5 +246,6 @@ QUERIES = {
         op9_neighbour_quality,
         op10_personal_data,
         op11_token_alignment,
+        op12_license_scan,
     )
 }
