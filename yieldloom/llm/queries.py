@@ -15,6 +15,7 @@ from yieldloom.llm import (
     mixing,
     neighbour_quality,
     packing,
+    phrases,
     pii,
     secret_scan,
     simhash,
@@ -198,6 +199,11 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("notices")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -229,6 +235,7 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, text_sha256
 FROM digests WINDOW same AS (PARTITION BY text_sha256)
 """,
+    "op13_phrase_collocations": phrases.oracle(),
     "op12_license_scan": license_scan.oracle(license_scan.template_grams()),
 }
 
@@ -247,5 +254,6 @@ QUERIES = {
         op10_personal_data,
         op11_token_alignment,
         op12_license_scan,
+        op13_phrase_collocations,
     )
 }
