@@ -69,3 +69,13 @@ def test_noise_gives_no_rules():
 
 def test_empty_table(spark, empty):
     assert queries.op3_decision_list(spark, empty).collect() == []
+
+
+def test_only_chosen_texts_are_counted(spark, folder):
+    """The counting step stands above the join with the sample, not below it."""
+    docs, labels = queries.documents(spark, folder), queries.labels(spark, folder)
+    rows = dl.chosen_statistics(docs, labels, "doc_id", "text", "quality", 7)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("ArrowEvalPython") < plan.index("BroadcastHashJoin")
+    assert plan.count("ArrowEvalPython") == 1
+    assert rows.count() <= 7

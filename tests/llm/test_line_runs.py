@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,23 @@ def test_runs_compact_and_settled_lines_stay_out(spark):
 
 def test_empty_table(spark, empty):
     assert queries.op4_line_runs(spark, empty).collect() == []
+
+
+def test_repeated_ids_count_row_by_row(spark, tmp_path):
+    """A line in three rows of one id and in two others is in five documents, in SQL as well."""
+    line = "this line is shared and has more than forty characters"
+    rows = [(1, f"{line}\na{i}", "s") for i in range(3)] + [(2, line, "s"), (3, f"b\n{line}", "s"), (None, line, "s")]
+    folder = write(tmp_path / "sf", rows, clashes=False)
+    got = queries.op4_line_runs(spark, folder).collect()
+    assert multiset(map(tuple, got)) == multiset(brute(rows))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    assert multiset(connection.execute(queries.ORACLES["op4_line_runs"]).fetchall()) == multiset(map(tuple, got))
+    assert sum(r["n_dropped"] for r in got) == 5
+
+
+def test_small_table_against_sql(spark, folder):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = connection.execute(queries.ORACLES["op4_line_runs"]).fetchall()
+    assert multiset(want) == multiset(map(tuple, queries.op4_line_runs(spark, folder).collect()))

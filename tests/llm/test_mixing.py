@@ -83,3 +83,12 @@ def test_equal_sizes_and_empty_table(spark, empty):
     out = mixing.fly(np.full(7, 4), np.full(7, 0.5), np.random.default_rng(0).random)
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert queries.op2_cube_mixing(spark, empty).collect() == []
+
+
+def test_ids_come_back_as_they_are(spark, tmp_path):
+    big = 1 << 60
+    rows = [(big + k, "w " * (5 + k), "s") for k in (1, 3, 5, 7, 9)] + [(None, "w w w", "s")]
+    docs = queries.documents(spark, write(tmp_path / "sf", rows, clashes=False))
+    got = mixing.mix(docs, carry=["n_chars"]).collect()
+    assert multiset(r["doc_id"] for r in got) == multiset(r[0] for r in rows)
+    assert all(r["n_chars"] == 2 * r["size"] or r["doc_id"] is None for r in got)

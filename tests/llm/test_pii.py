@@ -90,6 +90,8 @@ def test_context_and_checksums(text, kinds):
     ("AB12 CODE USED AT61 1904 3002 3457 3201", ["AT61 1904 3002 3457 3201"]),
     ("AT62 1904 3002 3457 3201 BIC X", []),
     ("DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]),
+    ("Invoice: DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("Order 5 DE89370400440532013000", ["DE89370400440532013000"]),
 ])
 def test_account_numbers_before_other_words(text, codes):
     assert [text[s.start : s.end] for s in pii.personal_data(text) if s.kind == "iban"] == codes

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,9 +8,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from tests.llm import test_line_runs, test_simhash
-from tests.llm.tables import SHARED, multiset, words
-from yieldloom.llm import decision_list, queries
+from tests.llm import test_line_runs
+from tests.llm.tables import SHARED, multiset, prose, words
+from tests.llm.test_shingle_sets import brute_set, similar
+from yieldloom.llm import decision_list, mixing, queries
 from yieldloom.llm.common import written
 
 
@@ -52,16 +53,66 @@ def test_line_dedup_drops_shared_lines(stages):
 
 def test_near_dedup_keeps_one_of_each_group(stages):
     before, after = stages["near_dedup"]
-    fps = [test_simhash.brute_fingerprint(r["text"]) for r in before]
-    groups = defaultdict(list)
-    for r, root in zip(before, test_simhash.brute_components(fps)):
-        groups[root].append(r["doc_id"])
-    want = []
-    for ids in groups.values():
-        known = [i for i in ids if i is not None]
-        want += [min(known)] * (known.count(min(known))) if known else []
-        want += [None] * (len(ids) - len(known))
+    want = brute_near_dedup([(r["doc_id"], r["text"]) for r in before])
     assert multiset(r["doc_id"] for r in after) == multiset(want)
+    assert len(after) < len(before)
+
+
+def brute_near_dedup(rows):
+    """Ids of what stays: groups by flooding over exact similarities of five-word sets."""
+    whole, left, out = [brute_set(t) for _, t in rows], set(range(len(rows))), []
+    while left:
+        group, front = [], [left.pop()]
+        while front:
+            a = front.pop()
+            group.append(rows[a][0])
+            near = {b for b in left if whole[a] == whole[b] or similar(whole[a], whole[b])}
+            left -= near
+            front += near
+        out.append(min(group, key=lambda i: (i is None, i or 0)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Ids of several texts, null ids, repeated rows."""
+    a, b, c = prose(601, 300), prose(602, 300), prose(603, 300)
+    b2 = b.replace("ban", "bar", 1) + " once"
+    rows = [(1, a), (2, a), (2, b), (4, b2), (5, c), (5, c), (5, c), (None, c), (None, prose(604, 90))]
+    rows += [(None, prose(604, 90)), (6, prose(605, 300)), (6, prose(606, 300)), ((1 << 60) + 1, prose(607, 80))]
+    rows += [(7, None), (8, ""), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    records = [(i, t, "en", f"s{len(t or '') % 2}", len(t or "")) for i, t in rows]
+    return written(spark.createDataFrame(records, kind).repartition(3), "shared-ids")
+
+
+def test_near_dedup_decides_rows_not_ids(spark, shared_ids):
+    before = [(r["doc_id"], r["text"]) for r in shared_ids.collect()]
+    after = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, shared_ids, "").collect()]
+    assert multiset(r[0] for r in after) == multiset(brute_near_dedup(before))
+    assert set(after) <= set(before) and (2, prose(602, 300)) in after
+    # A table that comes from no files is taken too, and decided alike.
+    loose = spark.createDataFrame(shared_ids.collect(), shared_ids.schema)
+    again = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, loose, "").collect()]
+    assert multiset(again) == multiset(after)
+
+
+def test_mix_takes_each_row_as_often_as_it_says(spark, shared_ids):
+    plan = mixing.mix(shared_ids).collect()
+    after = corpus_pipeline.mix_sources(spark, shared_ids, "").collect()
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"], r["size"]] += r["repeats"]
+    got = Counter((r["doc_id"], len(words(r["text"]))) for r in after)
+    assert got == +want
+    assert {r["doc_id"] for r in plan} == {r["doc_id"] for r in shared_ids.collect()}
+
+
+def test_stages_leave_the_session_as_it_is(spark, shared_ids):
+    before = dict(spark.conf.getAll)
+    corpus_pipeline.near_dedup(spark, shared_ids, "").collect()
+    queries.packed(shared_ids).collect()
+    assert dict(spark.conf.getAll) == before
 
 
 def test_mix_repeats_whole_documents(stages):

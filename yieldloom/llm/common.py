@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from yieldloom.sources.scratch import scratch_path
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-BATCH_ROWS, BATCH_ROWS_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,17 +34,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """Hand texts to Python workers a thousand rows at a time at most.
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with two longs, ``_file`` and ``_row``, that together name one of its rows.
 
-    Spark's own setting counts rows only, and ten thousand long texts fill a worker.
-    A smaller setting of the session is left as it is.
+    They say which file a row was read from and which row of it that is, so they are the same
+    each time the table is read, whatever its ids. A table that does not come straight from
+    files is written first.
     """
-    conf = docs.sparkSession.conf
-    rows = int(conf.get(BATCH_ROWS_SETTING))
-    if not 0 < rows <= BATCH_ROWS:
-        conf.set(BATCH_ROWS_SETTING, BATCH_ROWS)
-    return docs
+
+    def keyed(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select(
+            "*", F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_row")
+        )
+
+    try:
+        return keyed(docs)
+    except AnalysisException:
+        return keyed(written(docs, "rows"))
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

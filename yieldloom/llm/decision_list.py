@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldloom.llm.common import BLANKS, small_batches
+from yieldloom.llm.common import BLANKS
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -219,19 +219,10 @@ def chain(rules: list[Rule], at: Column) -> Column:
     return verdict
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    sample: int = SAMPLE,
-) -> list[Rule]:
-    """Learn the list from at most ``sample`` labelled documents (label 0: bad).
-
-    The sample takes ids in the order of a hash. An id with several labels has the
-    smallest; null ids and labels are left out. Only statistics reach the driver.
-    """
+def chosen_statistics(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int
+) -> DataFrame:
+    """(_id, _label, statistics, _failed, _part) of the documents that ``fit`` learns from."""
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -240,17 +231,37 @@ def fit(
         .limit(sample)
     )
     # At most ``sample`` short rows.
-    labelled = (
-        small_batches(docs)
-        .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return (
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_label")
+        .agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+        # Counted above the aggregate, where no filter on the counts reaches all texts.
         .select("_id", "_label", text_statistics("_text").alias("at"))
-        .filter(~base_failed(F.col("at")))
-        .select("_id", "_label", "at.*")
-        .dropDuplicates(["_id"])
+        .select("_id", "_label", "at.*", base_failed(F.col("at")).alias("_failed"))
         .withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(3)) == 0)
     )
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample: int = SAMPLE,
+) -> list[Rule]:
+    """Learn the list from at most ``sample`` labelled documents (label 0: bad).
+
+    The sample takes ids in the order of a hash. An id with several labels has the
+    smallest; of several texts with one id, the one whose hash is smallest counts; null
+    ids and labels are left out. Conditions of equal gain: the first in the order of
+    features and borders. Only the chosen texts are counted, and only statistics reach
+    the driver. Null and empty texts fail the fixed rules and teach nothing.
+    """
+    labelled = chosen_statistics(docs, labels, id_col, text_col, label_col, sample)
     rows = labelled.toPandas().sort_values("_id", kind="stable")
+    rows = rows[~rows["_failed"].to_numpy(dtype=bool)]
     if not len(rows):
         return []
     return learn(
@@ -266,7 +277,7 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
     columns are handed on untouched, whatever their names but ``_quality``.
     """
     at = F.col("_quality")
-    rows = small_batches(docs).withColumn("_quality", text_statistics(F.col(text_col)))
+    rows = docs.withColumn("_quality", text_statistics(F.col(text_col)))
     failed, rule = base_failed(at), chain(rules, at)
     return rows.withColumn(
         "_quality",

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,21 +121,25 @@ def land(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return out
 
 
-def _round(last: bool, seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def decide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "order", "id"], ascending=[False, True, True])
-        sizes, chances = group["size"].to_numpy(np.int64), group["chance"].to_numpy(float)
-        rng = np.random.default_rng([seed, zlib.crc32(f"{key[0]}|{int(key[1])}".encode())])
-        draws = iter(rng.random(2 * len(group) + 8).tolist())
+def _round(last: bool, seed: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Decide one group. Only sizes, chances and the order are looked at; the rest is handed on."""
+
+    def decide(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("order", "ascending")])
+        sizes, chances = table["size"].to_numpy(), table["chance"].to_numpy().copy()
+        source, cell = (k.as_py() for k in key)
+        rng = np.random.default_rng([seed, zlib.crc32(f"{source}|{int(cell)}".encode())])
+        draws = iter(rng.random(2 * len(sizes) + 8).tolist())
         # Sizes from the largest to the smallest stay open, so that the landing's outcomes
         # lie close together.
-        open_ones = np.linspace(0, len(group) - 1, min(LANDING, len(group))).round().astype(int)
-        flying = np.ones(len(group), bool)
+        open_ones = np.linspace(0, len(sizes) - 1, min(LANDING, len(sizes))).round().astype(int)
+        flying = np.ones(len(sizes), bool)
         flying[open_ones] = False
         chances[flying] = fly(sizes[flying], chances[flying], lambda: next(draws))
         if last:
             chances = land(sizes, chances)
-        return group.assign(chance=chances)
+        at = table.column_names.index("chance")
+        return table.set_column(at, "chance", pa.array(chances)).drop_columns(["cell"])
 
     return decide
 
@@ -150,14 +154,20 @@ def mix(
     most: float = MOST,
     seed: int = 7,
     group: int = GROUP,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, repeats.
+    """One row per document: id, size, source_size, target, repeats, and the columns in ``carry``.
 
     ``repeats`` (0 up to ``most``, rounded up) is how often the document goes into the mix: its
     chance's whole part, and one more if the sample takes it. Documents without words
-    take no part (repeats 0). Groups and draws depend on the rows alone, so a rerun on
-    any cluster agrees. Rows with the same id are documents of their own; a null source
-    is a source; a null text has no words; an empty table gives no rows.
+    take no part (repeats 0). Groups and draws depend on ids, texts and sources alone, so a
+    rerun on any cluster agrees; rows equal in all three may trade places. Rows with the
+    same id are documents of their own; a null source is a source; a null text has no
+    words; texts are read whole; an empty table gives no rows.
+
+    Chances are kept in expectation by the flight. The landing is not random: it takes
+    the outcome nearest to the totals, and for that ``LANDING`` documents of every group,
+    spread over its sizes, stay out of the flight and go to the next round.
 
     The text is read once, for its word counts; only (id, source, size) moves.
     """
@@ -166,6 +176,8 @@ def mix(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.lit(seed), id_col, text_col).alias("order"),
+            F.struct(F.lit(True).alias("_"), *carry).alias("carried"),
         ),
         "sizes",
     )
@@ -181,11 +193,9 @@ def mix(
     placed = placed.withColumn("chance", F.when(F.col("size") > 0, chance).otherwise(0.0))
     # Whole repeats first; what is left over is a chance below one.
     whole = F.floor(F.col("chance") + EDGE)
-    order = F.xxhash64(F.lit(seed), "id", "size")
     open_rows = placed.withColumn("repeats", whole).withColumn(
         "chance", F.greatest(F.col("chance") - whole, F.lit(0.0))
     )
-    open_rows = open_rows.withColumn("order", order)
     schema = open_rows.schema
     done = open_rows.filter(F.col("chance") <= EDGE)
     flying = open_rows.filter(F.col("chance") > EDGE)
@@ -197,7 +207,7 @@ def mix(
         decided = written(
             flying.withColumn("cell", cell)
             .groupBy("source", "cell")
-            .applyInPandas(_grouped(last, seed + level), schema),
+            .applyInArrow(_round(last, seed + level), schema),
             f"flight-{level}",
         )
         if last:
@@ -214,13 +224,5 @@ def mix(
         "source_size",
         "target",
         (F.col("repeats") + F.round("chance")).cast("long").alias("repeats"),
+        *[F.col("carried").getField(c).alias(c) for c in carry],
     )
-
-
-def _grouped(last: bool, seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    decide = _round(last, seed)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return decide(key, frame).drop(columns="cell")
-
-    return run

@@ -162,6 +162,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[counted(spans, kind).alias(f"n_{kind}") for kind in pii.BASE],
         base_digest(spans).alias("base_sha256"),
         listed(spans).alias("spans"),
+        F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
@@ -208,24 +209,24 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 ORACLES = {
     "op4_line_runs": f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+WITH rows AS (
+  SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, rid, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM rows
 ), keyed AS (
-  SELECT doc_id, line, pos,
+  SELECT doc_id, rid, line, pos,
          {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
   FROM lines
 ), shared AS (
   SELECT key, max(doc_id) AS keeper FROM keyed
-  WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5
 ), marked AS (
-  SELECT k.doc_id, k.line, k.pos, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone
+  SELECT k.doc_id, k.rid, k.line, k.pos, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone
   FROM keyed k LEFT JOIN shared s USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY doc_id, rid
 """,
     "op5_exact_dedup": f"""
 WITH digests AS (

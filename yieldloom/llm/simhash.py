@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldloom.llm.common import groups_of, raw_texts, small_batches, written
+from yieldloom.llm.common import groups_of, raw_texts, written
 from yieldloom.llm.components import components
 
 BITS, DISTANCE = 64, 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             fps = pa.array([fingerprint(t, shingle) for t in raw_texts(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
 
-    rows = small_batches(docs).select(id_col, text_col)
+    rows = docs.select(id_col, text_col)
     return rows.mapInArrow(run, f"id {ids}, fp long")
 
 
