@@ -48,9 +48,16 @@ def parse_period(start: str, end: str) -> Period:
     return period
 
 
-def check_overlap(steps: DataFrame, *periods: Period) -> tuple[Period, ...]:
-    """Refuse periods that miss the data; one min/max row comes back to the driver."""
-    low, high = steps.agg(
+def check_overlap(
+    steps: DataFrame | None,
+    *periods: Period,
+    bounds: tuple[dt.date | None, dt.date | None] | None = None,
+) -> tuple[Period, ...]:
+    """Refuse periods that miss the data; one min/max row comes back to the driver.
+
+    ``bounds`` gives first and last day where they are known, so that no step is read.
+    """
+    low, high = bounds or steps.agg(
         F.min("track_out_time").cast("date"), F.max("track_out_time").cast("date")
     ).first()
     for period in periods:

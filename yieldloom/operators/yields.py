@@ -84,6 +84,26 @@ def lot_defect_type(steps: DataFrame, readings: DataFrame) -> DataFrame:
     return worst.join(labels, ["lot_id", "eqp_id"], "left")
 
 
+def stored_defect_type(steps: DataFrame, readings: DataFrame) -> DataFrame:
+    """``lot_defect_type`` on tables stored by lot: nothing is shuffled.
+
+    The join key is the lot alone, so that the buckets serve; the equipment is compared
+    as a range, which Spark does not take for a second key.
+    """
+    labels = (
+        readings.filter(F.col("key") == "DEFECT_TYPE")
+        .groupBy("lot_id", "eqp_id")
+        .agg(F.min_by("value", F.struct("ts", "value")).alias("defect_type"))
+        .select("lot_id", F.col("eqp_id").alias("label_eqp"), "defect_type")
+    )
+    worst = lot_worst_step(steps).select("lot_id", "eqp_id", "step_name")
+    same = F.col("eqp_id").between(F.col("label_eqp"), F.col("label_eqp"))
+    joined = worst.alias("w").join(
+        labels.hint("merge").alias("l"), (F.col("w.lot_id") == F.col("l.lot_id")) & same, "left"
+    )
+    return joined.select("w.lot_id", "eqp_id", "step_name", "defect_type")
+
+
 def data_period(steps: DataFrame) -> DataFrame:
     return steps.agg(
         F.min("track_out_time").cast("date").cast("string").alias("first_day"),
@@ -212,13 +232,13 @@ def yield_totals(steps: DataFrame, by: str, period: Period) -> DataFrame:
 def yield_by_group(
     steps: DataFrame, by: str, period: Period, limit: int | None = None
 ) -> DataFrame:
-    """Weighted yield per group: weakest first, months in time order; cut after the count.
+    """Weighted yield per group: weakest first, months in time order; cut after the count."""
+    return ranked_groups(yield_totals(steps, by, period), by, limit)
 
-    One row per group is written out, so that the count does not read the steps again.
-    """
-    groups = checkpoint(
-        yield_totals(steps, by, period).filter(F.col("yield_pct").isNotNull())
-    )
+
+def ranked_groups(totals: DataFrame, by: str, limit: int | None = None) -> DataFrame:
+    """Groups with a yield in their order; one row per group is written out and counted."""
+    groups = checkpoint(totals.filter(F.col("yield_pct").isNotNull()))
     order = ["group_key"] if by == "month" else ["yield_pct", "group_key"]
     total = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
     return ranked(groups, order, limit).withColumn("total_groups", total)
@@ -228,7 +248,8 @@ def period_pairs(steps: DataFrame, by: str, first: Period, second: Period) -> Da
     """Both periods side by side from one scan with conditional totals.
 
     The first grouping is by lot as well, so that distinct lots are counted
-    without a row expansion and a large group is added up in many tasks.
+    without a row expansion and a large group is added up in many tasks. Rows without
+    a lot count in the totals and are no lot.
     """
     if by == "month":
         raise ValueError("months cannot be compared between periods")
@@ -242,7 +263,7 @@ def period_pairs(steps: DataFrame, by: str, first: Period, second: Period) -> Da
             F.sum(F.when(inside, F.col("out_qty"))).alias(f"{label}_out"),
         ]
         totals += [
-            F.count_if(F.col(f"{label}_rows") > 0).alias(f"{label}_lots"),
+            F.count_if((F.col(f"{label}_rows") > 0) & F.col("lot_id").isNotNull()).alias(f"{label}_lots"),
             F.sum(f"{label}_in").alias(f"{label}_in"),
             F.sum(f"{label}_out").alias(f"{label}_out"),
         ]
@@ -260,7 +281,11 @@ def period_pairs(steps: DataFrame, by: str, first: Period, second: Period) -> Da
 
 
 def period_deltas(steps: DataFrame, by: str, first: Period, second: Period) -> DataFrame:
-    pairs = period_pairs(steps, by, first, second)
+    return deltas_of(period_pairs(steps, by, first, second))
+
+
+def deltas_of(pairs: DataFrame) -> DataFrame:
+    """Groups with a yield in both periods, and its change."""
     return pairs.filter(
         F.col("p1_yield").isNotNull() & F.col("p2_yield").isNotNull()
     ).withColumn("delta", F.round(F.col("p2_yield") - F.col("p1_yield"), 2) + F.lit(0.0))
@@ -290,7 +315,10 @@ def yield_trend_counts(steps: DataFrame, by: str, first: Period, second: Period)
 
 def period_only_groups(steps: DataFrame, by: str, first: Period, second: Period) -> DataFrame:
     """Groups with a yield in one period only; groups without any yield are in neither list."""
-    pairs = period_pairs(steps, by, first, second)
+    return only_in_one(period_pairs(steps, by, first, second))
+
+
+def only_in_one(pairs: DataFrame) -> DataFrame:
     only = F.when(
         F.col("p1_yield").isNotNull() & F.col("p2_yield").isNull(), "period1"
     ).when(F.col("p2_yield").isNotNull() & F.col("p1_yield").isNull(), "period2")

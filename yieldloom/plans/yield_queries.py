@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom.functions.guards import Period, check_overlap, parse_period
-from yieldloom.operators import evidence, lookups, specs, strips, yields
-from yieldloom.sources import tables
+from yieldloom.operators import evidence, lookups, rollup, specs, strips, yields
+from yieldloom.sources import lot_store, tables
+from yieldloom.sources.scratch import scratch_path
 
 YEAR_RANGE = ("1996-01-01", "1998-12-31")
 FIRST_HALF = ("1996-01-01", "1997-12-31")
 SECOND_HALF = ("1998-01-01", "1999-12-31")
 FIRST_DAYS = ("1996-03-01", "1996-03-04")
 SECOND_DAYS = ("1996/09/01", "1996/09/04")
+CUT_RANGE = ("1996-01-11", "1998-09-04")
 
 
 def _periods(steps: DataFrame, *bounds: tuple[str, str]) -> tuple[Period, ...]:
@@ -212,6 +214,59 @@ def period_only_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _lot_store(spark: SparkSession, folder: str) -> lot_store.LotStore:
+    return lot_store.write_store(
+        {"steps": tables.lot_steps(spark, folder), "readings": tables.readings(spark, folder)}
+    )
+
+
+def stored_lot_defect_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Worst step and label of each lot, from tables stored by lot."""
+    return _lot_store(spark, folder).per_lot(yields.stored_defect_type, "steps", "readings")
+
+
+def stored_lot_final_yield(spark: SparkSession, folder: str) -> DataFrame:
+    """Final yield of each lot, from tables stored by lot."""
+    return _lot_store(spark, folder).per_lot(yields.lot_final_yield, "steps")
+
+
+def _rollup(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rollup, steps); the rollup is written by month and read back."""
+    steps, path = tables.lot_steps(spark, folder), scratch_path(spark, "months")
+    rollup.write_rollup(steps, path)
+    return rollup.read_rollup(spark, path), steps
+
+
+def rollup_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Yield per equipment of whole months, from the rollup alone."""
+    months, _ = _rollup(spark, folder)
+    period, = check_overlap(None, parse_period(*YEAR_RANGE), bounds=rollup.stored_period(months))
+    return rollup.yield_by_group(months, "equipment", period)
+
+
+def rollup_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    months, _ = _rollup(spark, folder)
+    return rollup.yield_by_group(months, "month", parse_period(*YEAR_RANGE))
+
+
+def rollup_cut_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Yield per step of a period that cuts its first and last month."""
+    months, steps = _rollup(spark, folder)
+    return rollup.yield_by_group(months, "step", parse_period(*CUT_RANGE), steps)
+
+
+def rollup_period_compare(spark: SparkSession, folder: str) -> DataFrame:
+    months, _ = _rollup(spark, folder)
+    periods = (parse_period(*FIRST_HALF), parse_period(*SECOND_HALF))
+    return rollup.yield_period_compare(months, "equipment", *periods, limit=50)
+
+
+def rollup_only_groups(spark: SparkSession, folder: str) -> DataFrame:
+    months, steps = _rollup(spark, folder)
+    periods = (parse_period(*FIRST_DAYS), parse_period(*SECOND_DAYS))
+    return rollup.period_only_groups(months, "equipment", *periods, steps)
+
+
 def evidence_terms(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.evidence_terms(
         specs.spec_violations(*_spec_inputs(spark, folder)),
@@ -254,6 +309,13 @@ QUERIES = {
         yield_period_compare,
         yield_trend_counts,
         period_only_groups,
+        stored_lot_defect_type,
+        stored_lot_final_yield,
+        rollup_by_group,
+        rollup_by_month,
+        rollup_cut_months,
+        rollup_period_compare,
+        rollup_only_groups,
         evidence_terms,
     )
 }
@@ -362,12 +424,12 @@ worst_strips AS (
     FROM per_strip s JOIN patterns p USING (strip_id)) WHERE rn = 1)"""
 
 
-def _groups_sql(key: str, order: str) -> str:
+def _groups_sql(key: str, order: str, bounds: tuple[str, str] = YEAR_RANGE) -> str:
     return f"""WITH {STEPS_SQL}, g AS (
   SELECT {key} AS group_key, count(DISTINCT lot_id) AS lot_count, sum(in_qty)::BIGINT AS in_qty,
          sum(reject)::BIGINT AS reject, sum(out_qty)::BIGINT AS out_qty,
          {pct_sql('sum(out_qty)', 'sum(in_qty)')} AS yield_pct
-  FROM steps WHERE d BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1)
+  FROM steps WHERE d BETWEEN DATE '{bounds[0]}' AND DATE '{bounds[1]}' GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY {order}) AS rank, count(*) OVER () AS total_groups
 FROM g ORDER BY {order}"""
 
@@ -511,3 +573,13 @@ terms AS (
 firsts AS (SELECT lot_id, term, min((block, sub, n)) AS place FROM terms GROUP BY ALL)
 SELECT lot_id, string_agg(term, ' ' ORDER BY place) AS terms FROM firsts GROUP BY lot_id""",
 }
+
+ORACLES |= {
+    "stored_lot_defect_type": ORACLES["lot_defect_type"],
+    "stored_lot_final_yield": ORACLES["lot_final_yield"],
+    "rollup_by_group": ORACLES["yield_by_group"],
+    "rollup_by_month": ORACLES["yield_by_month"],
+    "rollup_cut_months": _groups_sql("step_name", "yield_pct, group_key", CUT_RANGE),
+    "rollup_period_compare": ORACLES["yield_period_compare"],
+    "rollup_only_groups": ORACLES["period_only_groups"],
+}
