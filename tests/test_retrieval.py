@@ -27,20 +27,36 @@ def test_exact_terms_equal_brute_force_over_long_texts(spark):
     rng = np.random.default_rng(5)
     letters = np.array(list("ab cde"))
     keys = sorted({"".join(rng.choice(letters, rng.integers(2, 45))).strip() for _ in range(150)})
-    # Many keys with one prefix take the path over whole keys.
+    # Many keys with one prefix differ in their rarest gram only; one is very long.
     keys += [f"shared prefix of many keys no {i}" for i in range(100)]
     texts = ["".join(rng.choice(letters, n)) for n in (3, 500, 1600, 3000)]
     texts += ["a shared prefix of many keys no 55 and shared prefix of many keys no 7"]
     texts.append(texts[2][:505] + keys[-1] + " " + keys[40] + texts[1])
+    keys += [texts[3].strip(), "never met " + texts[3], "".join(rng.choice(letters, 3000)) + "q", "é" * 3, "日本"]
+    texts += ["x" + keys[-3] + "y", "ÉÉÉ 日本", "", None]
     cards = spark.createDataFrame([(i, k, []) for i, k in enumerate(keys)], "id long, term string, aliases array<string>")
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
     index = retrieval.term_index(cards)
     keyed = {r.key: r.id for r in index.collect()}
     got = {(r.query_id, r.card_id) for r in retrieval.exact_term_match(index, queries, limit=1000).collect()}
-    want = {(q, i) for q, t in enumerate(texts) for k, i in keyed.items() if k in " ".join(t.split())}
+    want = {(q, i) for q, t in enumerate(texts) for k, i in keyed.items() if k in " ".join((t or "").split()).lower()}
     assert got == want and want
 
 
+def test_long_keys_and_many_of_them_are_not_broadcast(spark, monkeypatch):
+    keys = [f"{i:04d} " + "long words of a key " * 60 for i in range(30)] + ["of a"]
+    cards = spark.createDataFrame([(i, k, []) for i, k in enumerate(keys)], "id long, term string, aliases array<string>")
+    queries = spark.createDataFrame([(1, keys[3] + keys[4]), (2, "nothing of all that")], "query_id long, text string")
+    index = retrieval.term_index(cards)
+    whole = retrieval.exact_term_match(index, queries, limit=10).collect()
+    assert {(r.query_id, r.card_id) for r in whole} == {(1, 3), (1, 4), (1, 30), (2, 30)}
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_BYTES", 0)
+    assert retrieval.exact_term_match(index, queries, limit=10).collect() == whole
+    anchors = {r.key: r.gram for r in retrieval.anchored_keys(index.select("key").distinct(), queries).collect()}
+    # Keys that no text can hold are left out; the others have a gram of their own.
+    assert set(anchors) == {"of a", *[" ".join(keys[i].split()) for i in (3, 4)]}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(1)

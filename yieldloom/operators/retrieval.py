@@ -27,11 +27,10 @@ AFTER_OWN_NAMES = (1 << 31) - 1
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 EMPTY_CONTEXT = "관련 지식을 찾을 수 없습니다."
 
-# Keys are found by their longest prefix of one of these lengths; where more keys than this
-# share a prefix, by the whole key.
-ANCHOR_LENGTHS = (2, 4, 8, 16, 32)
-MAX_KEYS_PER_ANCHOR = 32
-PIECE_CHARS = 512
+# Characters of the gram that a key is looked up by, and of a key that offer grams.
+GRAM, ANCHOR_CHARS = 4, 1_024
+PIECE_CHARS = 256
+MAX_BROADCAST_BYTES = 16 << 20
 
 # Query vectors are sent to the tasks, up to this many values at a time.
 MAX_BROADCAST_VALUES = 4_000_000
@@ -65,87 +64,99 @@ def term_index(cards: DataFrame, absorbed: DataFrame | None = None) -> DataFrame
     )
 
 
-def _prefix(key: Column) -> Column:
-    length = F.lit(ANCHOR_LENGTHS[0])
-    for size in ANCHOR_LENGTHS[1:]:
-        length = F.when(F.length(key) >= size, size).otherwise(length)
-    return F.substr(key, F.lit(1), length)
+def _substrings(column: str, last: Column, step: int, size: int) -> Column:
+    """Substrings of ``size`` characters from every ``step``-th position up to ``last``."""
+    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))
+    return F.transform(starts, lambda at: F.substr(F.col(column), at, F.lit(size)))
+
 
+def _grams(rows: DataFrame, column: str, sizes: tuple[int, ...]) -> DataFrame:
+    """A row with ``gram`` for each substring of these sizes; the other columns stay.
 
-def anchored_keys(keys: DataFrame) -> DataFrame:
-    """(key) -> (key, anchor, whole): a prefix that few keys share, or the key itself."""
-    prefixed = keys.withColumn("prefix", _prefix(F.col("key")))
-    crowded = (
-        prefixed.groupBy("prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > MAX_KEYS_PER_ANCHOR)
-        .select("prefix", F.lit(True).alias("whole"))
+    Texts are cut into overlapping pieces first, so that taking a substring never walks a
+    whole text.
+    """
+    others, most = [c for c in rows.columns if c != column], max(sizes)
+    pieces = rows.select(
+        *others,
+        F.explode_outer(
+            _substrings(column, F.length(column), PIECE_CHARS, PIECE_CHARS + most - 1)
+        ).alias("piece"),
     )
-    whole = F.coalesce("whole", F.lit(False))
-    return prefixed.join(crowded, "prefix", "left").select(
-        "key", F.when(whole, F.col("key")).otherwise(F.col("prefix")).alias("anchor"), whole.alias("whole")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("piece"), F.lit(PIECE_CHARS))))
+    longest = pieces.select(*others, "piece", F.explode(places).alias("at")).select(
+        *others, F.substr("piece", "at", F.lit(most)).alias("gram")
     )
+    if len(sizes) > 1:
+        cut = [F.when(F.length("gram") >= n, F.substr(F.col("gram"), F.lit(1), F.lit(n))) for n in sizes]
+        longest = longest.select(*others, F.explode(F.array(*cut)).alias("gram"))
+    return longest.filter(F.length("gram") >= min(sizes))
 
 
-def _substrings(column: str, last: Column, step: int, size: int) -> Column:
-    """Substrings of ``size`` characters from every ``step``-th position up to ``last``."""
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))
-    return F.transform(starts, lambda at: F.substr(F.col(column), at, F.lit(size)))
+def text_grams(queries: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(query_id, gram) for the substrings of each normalised text, repeats included."""
+    texts = queries.select("query_id", X.canonical_term(F.col("text")).alias("q"))
+    return _grams(texts, "q", sizes)
+
+
+def anchored_keys(keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """(key, gram): the gram of each key that is rarest in the texts, by count.
+
+    Keys of a gram's size or less are their own gram. A key with a gram that no text
+    holds is in no text, and is left out. Of a long key the first ``ANCHOR_CHARS``
+    characters offer grams; any gram of a key would do.
+    """
+    often = text_grams(queries, (GRAM,)).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    long_keys = keys.filter(F.length("key") > GRAM).withColumn(
+        "head", F.substr(F.col("key"), F.lit(1), F.lit(ANCHOR_CHARS))
+    )
+    each = _grams(long_keys, "head", (GRAM,)).distinct()
+    rarest = (
+        each.join(often, "gram", "left")
+        .groupBy("key")
+        .agg(
+            F.min_by("gram", F.struct("often", "gram")).alias("gram"),
+            F.bool_and(F.col("often").isNotNull()).alias("possible"),
+        )
+        .filter("possible")
+        .select("key", "gram")
+    )
+    short_keys = keys.filter(F.length("key") <= GRAM).select("key", F.col("key").alias("gram"))
+    return rarest.unionByName(short_keys)
+
+
+def _holding(met: DataFrame, queries: DataFrame) -> DataFrame:
+    """Those pairs (query_id, key) whose text holds a key longer than a gram."""
+    texts = queries.select(F.col("query_id").alias("_id"), X.canonical_term(F.col("text")).alias("q"))
+    longer = met.filter(F.length("key") > GRAM)
+    held = longer.join(texts, F.col("query_id").eqNullSafe(F.col("_id"))).filter(
+        F.contains(F.col("q"), F.col("key"))
+    )
+    return held.select("query_id", "key").distinct()
 
 
 def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     """Cards whose key occurs in the query text: longest key first, ``limit`` cards per query.
 
-    Containment is an equi-join: every key has an anchor (its prefix of length
-    2, 4, 8, 16 or 32), every query position offers its substrings of those
-    lengths, and the rest of the key is compared afterwards. Keys in a crowd with
-    the same prefix are their own anchor, so a substring never meets more than a
-    few keys. Of a key shared by many cards only the first ``limit`` can ever be
-    returned, so each key keeps just those before the join.
+    Containment is an equi-join: a key is looked up by its gram of ``GRAM`` characters that is
+    rarest in the texts, and the text is then searched for the whole key. Of a key
+    shared by many cards only the first ``limit`` can ever be returned, so each key keeps
+    just those before the join.
     """
-    placed = index.groupBy("key", "id").agg(F.min("pos").alias("pos"))
+    # Written once: the index is needed for the keys and for their cards.
+    placed = checkpoint(index.groupBy("key", "id").agg(F.min("pos").alias("pos")))
     first = placed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"))
     per_key = top_per_group(placed, ["key"], ["id"], limit, "_n").join(first, "key").select(
         "key", F.col("id").alias("card_id"), "first"
     )
-    anchored = checkpoint(anchored_keys(first.select("key")))
-    size = anchored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.length("key")).alias("longest"),
-        F.collect_set(F.when(F.col("whole"), F.length("key"))).alias("whole_lengths"),
-    ).first()
-    longest = size.longest or MIN_KEY_CHARS
-    lengths = sorted({*ANCHOR_LENGTHS, *size.whole_lengths})
-    keys = joined_side(anchored.select("key", "anchor"), size.n)
-
-    # Long texts are cut into overlapping pieces first, so that taking a substring
-    # never walks the whole text.
-    text = X.canonical_term(F.col("text"))
-    pieces = queries.select("query_id", text.alias("q")).select(
-        "query_id",
-        F.explode_outer(_substrings("q", F.length("q"), PIECE_CHARS, PIECE_CHARS + longest - 1)).alias("piece"),
-    )
-    windows = pieces.select(
-        "query_id",
-        F.explode_outer(
-            _substrings("piece", F.least(F.length("piece"), F.lit(PIECE_CHARS)), 1, longest)
-        ).alias("tail"),
-    )
-    grams = windows.filter(F.length("tail") >= MIN_KEY_CHARS).select(
-        "query_id",
-        "tail",
-        F.explode_outer(
-            F.array_distinct(
-                F.array(*[F.substr(F.col("tail"), F.lit(1), F.lit(n)) for n in lengths])
-            )
-        ).alias("anchor"),
-    )
-    found = (
-        grams.join(keys, "anchor")
-        .filter(F.startswith(F.col("tail"), F.col("key")))
-        .select("query_id", "key")
-        .distinct()
-    )
+    anchored = checkpoint(anchored_keys(first.select("key"), queries))
+    size = anchored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    # Few keys may still be long ones.
+    small = size.n <= MAX_BROADCAST_ROWS and (size.bytes or 0) <= MAX_BROADCAST_BYTES
+    keys = F.broadcast(anchored) if small else anchored.hint("merge")
+    sizes = tuple(range(MIN_KEY_CHARS, GRAM + 1))
+    met = checkpoint(text_grams(queries, sizes).join(keys, "gram").select("query_id", "key").distinct())
+    found = met.filter(F.length("key") <= GRAM).unionByName(_holding(met, queries))
     order = F.struct((-F.length("key")).alias("length"), "first")
     cards = (
         found.join(per_key, "key")

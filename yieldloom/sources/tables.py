@@ -425,7 +425,7 @@ def word_cards(spark: SparkSession, folder: str) -> DataFrame:
 def user_questions(spark: SparkSession, folder: str) -> DataFrame:
     """User turns of the conversations, by conversation and turn."""
     return (
-        read_table(spark, folder, "conversations")
+        spread(read_table(spark, folder, "conversations"), "conv_id", "turn")
         .filter(F.col("role") == "user")
         .select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     )
