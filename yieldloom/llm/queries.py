@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +27,13 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
+def vocabulary(name: str) -> str:
+    """Where a vocabulary file is; the other queries work without this package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -44,7 +50,7 @@ def fold(id_col: Column) -> Column:
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces with their ids and checksum."""
     rows = packing.pack(
-        docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
+        docs, vocabulary(TOKENIZER), vocabulary(RANKS)
     )
     return rows.select(
         "doc_id",
@@ -115,7 +121,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in each document."""
     spans = F.col("spans")
-    found = secret_scan.scan_secrets(documents(spark, sf_dir), public_tokenizers.path(RANKS))
+    found = secret_scan.scan_secrets(documents(spark, sf_dir), vocabulary(RANKS))
     return found.select(
         "doc_id",
         *[counted(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
@@ -167,7 +173,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both_tokenizers() -> tuple[str, str, str]:
-    return tuple(map(public_tokenizers.path, (TOKENIZER, RANKS, PIECES)))
+    return tuple(map(vocabulary, (TOKENIZER, RANKS, PIECES)))
 
 
 def aligned(docs: DataFrame) -> DataFrame:
