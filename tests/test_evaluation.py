@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from yieldloom.operators import evals, qa, telemetry
-from yieldloom.sources import tables
+from yieldloom.sources import corpus_files, tables
 from yieldloom.sources.scratch import checkpoint_folder, scratch_path
 from yieldloom.streaming import kpi
 
@@ -165,3 +166,29 @@ def test_sources_without_type_or_name_keep_their_rows(spark):
     out = qa.apply_split(rows, qa.leakage_safe_split(rows))
     qa.check_split_total(rows, out)
     assert out.columns == [*rows.columns, "split"]
+
+
+def test_turn_case_files_are_read_back(spark, tmp_path):
+    case = {
+        "description": "x",
+        "conversations": [
+            {
+                "id": "MT-1",
+                "turns": [
+                    {"query": "which?", "expect_intent": "data", "expect_tool": "t", "expect_answer_contains": ["M1", "M2"]},
+                    {"query": "and its \"first\"\nlot?", "expect_intent": "data", "expect_lot_id": "L7", "expect_tool_input": {"eqp": "M1", "n": 5}},
+                ],
+            },
+            {"id": "MT-2", "turns": []},
+            {"id": "MT-3"},
+            {"id": "MT-4", "turns": [{"query": "é", "expect_intent": "none", "expect_answer_contains": []}]},
+        ],
+    }
+    for name, text in {"a": json.dumps(case, indent=2), "b": "no json", "c": "{}", "d": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    got = [tuple(r) for r in corpus_files.read_turn_cases(spark, str(tmp_path)).orderBy("conv_id", "turn").collect()]
+    assert got == [
+        ("MT-1", 1, "which?", "data", None, "t", None, ["M1", "M2"]),
+        ("MT-1", 2, 'and its "first"\nlot?', "data", "L7", None, {"eqp": "M1", "n": "5"}, None),
+        ("MT-4", 1, "é", "none", None, None, None, []),
+    ]

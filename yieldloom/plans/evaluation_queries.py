@@ -137,6 +137,20 @@ def turn_checks(spark: SparkSession, folder: str) -> DataFrame:
     return evals.turn_checks(tables.conversation_turns(spark, folder))
 
 
+def file_turn_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks with what is expected read from case files, which are written and read back."""
+    path = scratch_path(spark, "cases")
+    tables.turn_case_files(spark, folder).write.text(path)
+    cases = corpus_files.parse_turn_cases(spark.read.text(path).select(F.col("value").alias("content")))
+    answers = tables.answered_turns(spark, folder).drop(*[c for c in cases.columns if c.startswith("expect_")])
+    joined = answers.alias("a").join(
+        cases.alias("c"),
+        (F.col("a.conv_id").cast("string") == F.col("c.conv_id")) & (F.col("a.place") == F.col("c.turn")),
+    )
+    expected = [f"c.{c}" for c in cases.columns if c.startswith("expect_")]
+    return evals.turn_checks(joined.select("a.*", *expected))
+
+
 def conversation_pass(spark: SparkSession, folder: str) -> DataFrame:
     return evals.conversation_pass(turn_checks(spark, folder))
 
@@ -207,6 +221,7 @@ QUERIES = {
         eval_summary,
         judge_tally,
         turn_checks,
+        file_turn_checks,
         conversation_pass,
         error_run_filter,
         kpi_totals,
@@ -396,6 +411,7 @@ long AS (
 SELECT criterion, count(*) AS total, count(*) FILTER (ok) AS ok,
   round(count(*) FILTER (ok) * 1e0 / count(*), 4) AS rate FROM long GROUP BY criterion""",
     "turn_checks": f"WITH {TURNS_SQL} SELECT * FROM checks",
+    "file_turn_checks": f"WITH {TURNS_SQL} SELECT * FROM checks",
     "conversation_pass": f"""WITH {TURNS_SQL}, c AS (
   SELECT conv_id, bool_and(passed) AS passed FROM checks GROUP BY conv_id)
 SELECT (SELECT count(*) FROM c) AS n_conversations, count(*) AS n_turns,

@@ -110,6 +110,52 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What a turn of a case file may expect, by the name the checks use for it. Fixed names of the format.
+TURN_FIELDS = {
+    "query": ("query", "string"),
+    "expect_label": ("expect_intent", "string"),
+    "expect_lot_id": ("expect_lot_id", "string"),
+    "expect_tool": ("expect_tool", "string"),
+    "expect_input": ("expect_tool_input", "map<string,string>"),
+    "expect_words": ("expect_answer_contains", "array<string>"),
+}
+
+
+def parse_turn_cases(files: DataFrame) -> DataFrame:
+    """Case files {"conversations": [{"id", "turns": [...]}]} in a text column -> one row per turn.
+
+    ``turn`` counts from 1 in the order of the file. What a turn does not state is null and
+    is not checked. A file that is no JSON, or holds no conversations, gives no rows; so does
+    a conversation without turns.
+    """
+    table = files.sparkSession.tvf
+    conversations = files.select(F.try_parse_json("content").alias("v")).select(
+        F.try_variant_get("v", "$.conversations", "variant").alias("list")
+    )
+    each = conversations.lateralJoin(table.variant_explode(F.col("list").outer()).select(F.col("value").alias("c")))
+    turns = each.select(
+        F.try_variant_get("c", "$.id", "string").alias("conv_id"),
+        F.try_variant_get("c", "$.turns", "variant").alias("turns"),
+    )
+    rows = turns.lateralJoin(
+        table.variant_explode(F.col("turns").outer()).select(
+            (F.col("pos") + 1).alias("turn"), F.col("value").alias("t")
+        )
+    )
+    return rows.select(
+        "conv_id",
+        "turn",
+        *[F.try_variant_get("t", f"$.{field}", kind).alias(name) for name, (field, kind) in TURN_FIELDS.items()],
+    )
+
+
+def read_turn_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Conversation case files, each read whole."""
+    return parse_turn_cases(
+        spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
+    )
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
     """One folder per split; rebalancing spreads a split that is most of the data."""
     rows.hint("rebalance", "split").write.partitionBy("split").mode("errorifexists").json(path)

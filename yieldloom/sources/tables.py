@@ -6,7 +6,7 @@ filters and column pruning of the operators reach the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
@@ -654,6 +654,34 @@ def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def answered_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns with their place in the conversation, as a case file counts them."""
+    # A window over one conversation's turns.
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return conversation_turns(spark, folder).withColumn("place", F.row_number().over(order))
+
+
+def turn_case_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A case file per conversation with what its turns expect; nothing is stated for a null."""
+    stated = F.struct(
+        F.concat(F.lit("question "), F.col("place").cast("string")).alias("query"),
+        F.col("expect_label").alias("expect_intent"),
+        "expect_lot_id",
+        "expect_tool",
+        F.col("expect_input").alias("expect_tool_input"),
+        F.col("expect_words").alias("expect_answer_contains"),
+    )
+    # The turns of one conversation are one file.
+    turns = F.sort_array(F.collect_list(F.struct("place", F.to_json(stated).alias("json"))))["json"]
+    text = '{"conversations": [{"id": "%s", "turns": [%s]}]}'
+    return (
+        answered_turns(spark, folder)
+        .groupBy(F.col("conv_id").cast("string").alias("id"))
+        .agg(turns.alias("turns"))
+        .select(F.format_string(text, "id", F.array_join("turns", ", ")).alias("content"))
+    )
+
+
 def run_results(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a user as the rows of one evaluation run."""
     return read_table(spark, folder, "events").select(
