@@ -355,3 +355,18 @@ def test_case_and_corpus_files(spark, tmp_path):
     (tmp_path / "cards.jsonl").write_text('{"id": "card-0001", "term": "x", "aliases": ["y"], "definition": "z"}\n')
     row = corpus_files.read_corpus_jsonl(spark, str(tmp_path / "cards.jsonl"), schemas.CARD).first()
     assert (row.id, row.aliases, row.source) == ("card-0001", ["y"], None)
+
+
+def test_manifest_carries_details_and_failures(spark):
+    kind = "source string, url string, content string, seq long, status string, title string, fetched_at string, note string"
+    old = spark.createDataFrame([("s", "http://x/a", "old", 1, "downloaded", "A", "2026-01-01", None), ("s", "http://x/b", "b", 1, "downloaded", "B", "2026-01-01", "kept")], kind)
+    new = spark.createDataFrame([("s", "http://x/a", None, 2, "downloaded", "A2", "2026-02-01", "status 500"), ("s", "http://x/c", "c", 3, "downloaded", None, "2026-02-02", None)], kind)
+    old, new = manifest.fetch_records(old), manifest.fetch_records(new)
+    got = {r.url[-1]: (r.file, r.bytes, r.status, r.title, r.fetched_at, r.note) for r in manifest.manifest_upsert(old, new).collect()}
+    assert got == {
+        "a": (None, 0, "failed", "A2", "2026-02-01", "status 500"),
+        "b": ("s/b.html", 1, "downloaded", "B", "2026-01-01", "kept"),
+        "c": ("s/c.html", 1, "downloaded", None, "2026-02-02", None),
+    }
+    kept = {r.url[-1]: r.status for r in manifest.manifest_upsert(old, new, "keep").collect()}
+    assert kept == {"a": "downloaded", "b": "downloaded", "c": "downloaded"}

@@ -23,34 +23,45 @@ DOMAIN_KEYWORDS = (
 )
 
 
+#: What a record says of a fetch besides its content.
+DETAILS = ("title", "fetched_at", "note")
+
+
 def fetch_records(pages: DataFrame) -> DataFrame:
-    """Manifest fields of fetched content: (source, url, content, seq, status)."""
+    """Manifest fields of fetched content: (source, url, content, seq, status) and ``DETAILS``.
+
+    A detail that is missing is null. Without content a fetch has failed: no file, no
+    digest, no bytes, status ``failed``, and the note says why.
+    """
+    got = F.col("content").isNotNull()
+    file = F.concat("source", F.lit("/"), X.url_slug(F.col("url")), F.lit(".html"))
     return pages.select(
         "source",
         "url",
-        F.concat("source", F.lit("/"), X.url_slug(F.col("url")), F.lit(".html")).alias("file"),
+        F.when(got, file).alias("file"),
         F.sha2("content", 256).alias("sha256"),
-        F.octet_length("content").cast("long").alias("bytes"),
-        "status",
+        F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"),
+        F.when(got, F.col("status")).otherwise("failed").alias("status"),
         "seq",
+        *[(F.col(c) if c in pages.columns else F.lit(None)).cast("string").alias(c) for c in DETAILS],
     )
 
 
 def manifest_upsert(existing: DataFrame, fetched: DataFrame, mode: str = "replace") -> DataFrame:
-    """One record per URL: the latest fetch replaces, or the existing record stays.
+    """One record per URL, whole: the latest fetch replaces, or the existing record stays.
 
     A pre-aggregated maximum instead of a sort per URL, so a URL that was
     fetched very often stays cheap.
     """
     old, new = (0, 1) if choose(mode, ["replace", "keep"], "mode") == "replace" else (1, 0)
     rows = existing.withColumn("_level", F.lit(old)).unionByName(
-        fetched.withColumn("_level", F.lit(new))
+        fetched.withColumn("_level", F.lit(new)), allowMissingColumns=True
     )
     if mode == "replace":
         rank = F.struct("_level", "seq", "sha256")
     else:
         rank = F.struct("_level", (-F.col("seq")).alias("early"), "sha256")
-    record = F.struct("source", "file", "sha256", "bytes", "status", "seq")
+    record = F.struct(*[c for c in rows.columns if c not in ("url", "_level")])
     return rows.groupBy("url").agg(F.max_by(record, rank).alias("r")).select("url", "r.*")
 
 

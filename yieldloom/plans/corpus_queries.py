@@ -71,15 +71,20 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     existing = manifest.fetch_records(
         listing.select(
             "source", "url", F.col("title").alias("content"), F.col("page_id").alias("seq"),
-            F.lit("candidate").alias("status"),
+            F.lit("candidate").alias("status"), "title",
         )
     )
+    skipped = F.col("title").contains("%%%")
+    day = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("page_id") % 365).cast("int"))
     picked = listing.filter(F.col("tag").isin("en", "fr", "de")).select(
         "source",
         "url",
         "content",
         F.col("page_id").alias("seq"),
-        F.when(F.col("title").contains("%%%"), "candidate_skipped").otherwise("downloaded").alias("status"),
+        F.when(skipped, "candidate_skipped").otherwise("downloaded").alias("status"),
+        "title",
+        day.cast("string").alias("fetched_at"),
+        F.when(skipped, F.concat(F.lit("tag "), F.col("tag"))).alias("note"),
     )
     return manifest.manifest_upsert(existing, manifest.fetch_records(picked))
 
@@ -451,14 +456,17 @@ PAGE_SQL = """listing AS (
          regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html FROM pages)"""
 
 MANIFEST_SQL = f"""{PAGE_SQL}, records AS (
-  SELECT 0 AS level, 'candidate' AS status, page_id AS seq, source, url, title AS content FROM listing
+  SELECT 0 AS level, 'candidate' AS status, page_id AS seq, source, url, title AS content, title,
+         CAST(NULL AS VARCHAR) AS fetched_at, CAST(NULL AS VARCHAR) AS note FROM listing
   UNION ALL
   SELECT 1, CASE WHEN contains(title, '%%%') THEN 'candidate_skipped' ELSE 'downloaded' END,
-         page_id, source, url, html FROM listing WHERE tag IN ('en', 'fr', 'de')),
+         page_id, source, url, html, title,
+         strftime(DATE '2025-01-01' + (page_id % 365)::INT, '%Y-%m-%d'),
+         CASE WHEN contains(title, '%%%') THEN 'tag ' || tag END FROM listing WHERE tag IN ('en', 'fr', 'de')),
 manifest AS (
   SELECT url, source,
          source || '/' || CASE WHEN slug = '' THEN 'index' ELSE slug END || '.html' AS file,
-         sha256(content) AS sha256, strlen(content)::BIGINT AS bytes, status, seq
+         sha256(content) AS sha256, strlen(content)::BIGINT AS bytes, status, seq, title, fetched_at, note
   FROM (SELECT *, regexp_replace(regexp_extract(
                     regexp_replace(regexp_extract(url, '^[^:]+://[^/]*(.*)$', 1), '/+$', ''),
                     '([^/]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g') AS slug,
