@@ -96,6 +96,14 @@ def term_keyword_filter(
     return terms.filter(F.lower("term").rlike(term_pattern(keywords)))
 
 
+def term_filter_totals(
+    terms: DataFrame, keywords: Sequence[str] = DOMAIN_KEYWORDS
+) -> DataFrame:
+    """How many terms were found and how many the keyword filter keeps, in one pass."""
+    kept = F.lower("term").rlike(term_pattern(keywords))
+    return terms.agg(F.count(F.lit(1)).alias("found"), F.count_if(kept).alias("kept"))
+
+
 def listing_dedupe(listing: DataFrame, held: DataFrame) -> DataFrame:
     """First listing row per URL by (tag, page, pos), without URLs that are already held."""
     place = F.struct("tag", "page", "pos")

@@ -102,9 +102,16 @@ def leakage_safe_split(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def apply_split(rows: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Rows with the split of their source; a null source is a source."""
+    """Rows with the split of their source; a null source is a source.
+
+    A row whose source has no split ends the job that computes it, so none is lost in
+    silence and no second pass counts them. ``leakage_safe_split`` has one row per source;
+    for an assignment from elsewhere ``check_split_total`` finds sources in two splits.
+    """
     named = assignment.withColumnRenamed("source_id", "_source_id")
-    return rows.join(named, F.col("source_id").eqNullSafe(F.col("_source_id"))).drop("_source_id")
+    joined = rows.join(named, F.col("source_id").eqNullSafe(F.col("_source_id")), "left")
+    missing = F.raise_error(F.concat(F.lit("no split for source "), F.coalesce("source_id", F.lit("null"))))
+    return joined.withColumn("split", F.coalesce("split", missing)).drop("_source_id")
 
 
 def check_split_total(rows: DataFrame, split_rows: DataFrame) -> None:

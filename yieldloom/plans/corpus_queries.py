@@ -105,10 +105,11 @@ def keyword_select(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_keyword_filter(spark: SparkSession, folder: str) -> DataFrame:
-    terms = tables.documents(spark, folder).select(
-        "doc_id", X.first_line(F.col("text")).alias("term")
-    )
-    return manifest.term_keyword_filter(terms, TERM_WORDS)
+    return manifest.term_keyword_filter(tables.text_lines(spark, folder), TERM_WORDS)
+
+
+def term_filter_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.term_filter_totals(tables.text_lines(spark, folder), TERM_WORDS)
 
 
 def listing_dedupe(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +147,7 @@ def corpus_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def caption_risk_class(spark: SparkSession, folder: str) -> DataFrame:
     rows = captions.caption_risk_class(tables.page_captions(spark, folder), CAPTION_PATTERNS)
-    return rows.select("src", "slug", "category", "priority")
+    return rows.select("src", "slug", "section", "category", "priority")
 
 
 def caption_status_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,12 +155,16 @@ def caption_status_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def apply_exclusions(spark: SparkSession, folder: str) -> DataFrame:
-    toxic = tables.read_table(spark, folder, "labels").filter(F.col("toxic") == 1)
-    listed = toxic.join(tables.documents(spark, folder), "doc_id").select(
-        F.concat(F.lit("/img/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("src")
+    rows = captions.apply_exclusions(
+        tables.page_captions(spark, folder), tables.toxic_images(spark, folder)
+    )
+    return rows.select("src", "slug", "section", "status")
+
+
+def exclusion_report(spark: SparkSession, folder: str) -> DataFrame:
+    return captions.exclusion_report(
+        tables.page_captions(spark, folder), tables.toxic_images(spark, folder)
     )
-    rows = captions.apply_exclusions(tables.page_captions(spark, folder), listed)
-    return rows.select("src", "slug", "status")
 
 
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,12 +377,14 @@ QUERIES = {
         manifest_status_summary,
         keyword_select,
         term_keyword_filter,
+        term_filter_totals,
         listing_dedupe,
         replace_by_source,
         corpus_titles,
         caption_risk_class,
         caption_status_summary,
         apply_exclusions,
+        exclusion_report,
         normalize_text,
         page_blocks,
         clean_documents,
@@ -474,13 +481,17 @@ manifest AS (
                                   sha256(content) DESC) AS rn
         FROM records) WHERE rn = 1)"""
 
-CAPTIONS_SQL = f"""captions AS (
-  SELECT '/img/' || source || '/' || doc_id || '.png' AS src, source, 'doc-' || doc_id AS slug,
-         {FIRST} AS caption,
+LINES_SQL = """lines AS (
+  SELECT * EXCLUDE (text), unnest(string_split(text, chr(10))) AS caption,
+         (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS section FROM documents)"""
+
+CAPTIONS_SQL = LINES_SQL + """, captions AS (
+  SELECT '/img/' || source || '/' || doc_id || '/' || section || '.png' AS src, 'doc-' || doc_id AS slug,
+         section, caption, doc_id,
          CASE WHEN lang = 'de' THEN 'download_failed' WHEN lang = 'es' THEN 'error: ' || source
-              WHEN n_chars < 200 THEN 'svg_skipped' ELSE 'ok' END AS status FROM documents),
+              WHEN n_chars < 200 THEN 'svg_skipped' ELSE 'ok' END AS status FROM lines),
 classed AS (
-  SELECT *, CASE WHEN length(caption) < 50 OR regexp_matches(caption, 'token|@|[0-9]{{4}}') THEN 'suspect'
+  SELECT *, CASE WHEN length(caption) < 50 OR regexp_matches(caption, 'token|@|[0-9]{4}') THEN 'suspect'
                  WHEN regexp_matches(caption, 'and |puis|dann') THEN 'flow'
                  WHEN regexp_matches(caption, 'the |der |les ') THEN 'structure'
                  ELSE 'other' END AS category
@@ -670,6 +681,22 @@ clean AS (
          regexp_extract(url, '//([^/]+)/', 1) AS source
   FROM pages LEFT JOIN bodies USING (page_id))"""
 
+TERM_SQL = "regexp_matches(lower(caption), '(^|[^a-z])(the|und|que|los)([^a-z]|$)')"
+
+FOOTNOTES_SQL = rf"""notes AS (
+  SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^※\s*(.+?)\s*[:：]\s*(.+)$', 1)) AS raw,
+         unnest(regexp_extract_all(t, '(?m)^※\s*(.+?)\s*[:：]\s*(.+)$', 2)) AS def
+  FROM (SELECT doc_id, '※ ' || replace(replace(text, ',', ':'), chr(10), chr(10) || '※ ') AS t
+        FROM documents)),
+bracketed AS (
+  SELECT *, regexp_matches(raw, '^.*?\S\s*[（(][^）)]+[）)]\s*$') AS has_alias FROM notes),
+named AS (
+  SELECT *, CASE WHEN has_alias THEN {strip_sql(r"regexp_extract(raw, '^(.*?)\s*[（(]([^）)]+)[）)]\s*$', 1)")}
+                 ELSE {strip_sql('raw')} END AS term,
+         CASE WHEN has_alias THEN string_split(replace(
+           regexp_extract(raw, '^(.*?)\s*[（(]([^）)]+)[）)]\s*$', 2), '/', ','), ',') ELSE [] END AS aliases
+  FROM bracketed)"""
+
 ORACLES = {
     "clean_documents": f"WITH {CLEAN_SQL} SELECT * FROM clean",
     "clean_gate": f"""WITH {CLEAN_SQL}, counted AS (
@@ -705,8 +732,10 @@ SELECT status, count(*) AS n FROM manifest GROUP BY status""",
   CASE WHEN regexp_matches(p_name, '(?i)ring|widget|plate')
         AND NOT regexp_matches(p_name, '(?i)red|hot') THEN 'selected'
        ELSE 'candidate_skipped' END AS status FROM part""",
-    "term_keyword_filter": f"""SELECT doc_id, {FIRST} AS term FROM documents
-WHERE regexp_matches(lower({FIRST}), '(^|[^a-z])(the|und|que|los)([^a-z]|$)')""",
+    "term_keyword_filter": f"""WITH {LINES_SQL}
+SELECT doc_id, section AS line, caption AS term FROM lines WHERE {TERM_SQL}""",
+    "term_filter_totals": f"""WITH {LINES_SQL}
+SELECT count(*) AS found, count(*) FILTER ({TERM_SQL}) AS kept FROM lines""",
     "listing_dedupe": f"""WITH {PAGE_SQL}
 SELECT url, tag, 1 AS page, page_id AS pos, title FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY tag, page_id) AS rn FROM listing)
@@ -725,17 +754,20 @@ SELECT 'd' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR E
     "corpus_titles": f"""SELECT 'd' || CASE WHEN doc_id < 999 THEN lpad((doc_id + 1)::VARCHAR, 3, '0')
   ELSE (doc_id + 1)::VARCHAR END || chr(9) || source || chr(9) || {FIRST} AS line FROM documents""",
     "caption_risk_class": f"""WITH {CAPTIONS_SQL}
-SELECT src, slug, category, CASE category WHEN 'flow' THEN 1 WHEN 'structure' THEN 2
+SELECT src, slug, section, category, CASE category WHEN 'flow' THEN 1 WHEN 'structure' THEN 2
   WHEN 'suspect' THEN 3 ELSE 4 END AS priority FROM classed""",
     "caption_status_summary": f"""WITH {CAPTIONS_SQL}
 SELECT 'status' AS kind, CASE WHEN starts_with(status, 'error') THEN 'api_failed' ELSE status END
   AS name, count(*) AS n FROM captions GROUP BY ALL
 UNION ALL SELECT 'class', category, count(*) FROM classed GROUP BY ALL""",
-    "apply_exclusions": f"""WITH {CAPTIONS_SQL}, listed AS (
-  SELECT '/img/' || source || '/' || doc_id || '.png' AS src
-  FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)
-SELECT src, slug, CASE WHEN status = 'ok' AND src IN (SELECT src FROM listed)
+    "apply_exclusions": f"""WITH {CAPTIONS_SQL}
+SELECT src, slug, section,
+  CASE WHEN status = 'ok' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
   THEN 'excluded_manual' ELSE status END AS status FROM captions""",
+    "exclusion_report": f"""WITH {CAPTIONS_SQL}, toxic AS (
+  SELECT * FROM captions WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT 'changed' AS name, count(*) FILTER (status = 'ok') AS n FROM toxic
+UNION ALL SELECT 'requested', count(DISTINCT src) FROM toxic""",
     "normalize_text": f"""SELECT doc_id, length(t)::INT AS chars, md5(t) AS text_md5
 FROM (SELECT doc_id, {NORMALIZED} AS t FROM documents)""",
     "block_dedupe": """SELECT page_id, text, pos::INT AS pos FROM (
@@ -782,15 +814,7 @@ UNION ALL
 SELECT lower({strip_sql(r"regexp_replace(base, '\s+', ' ', 'g')")}), {strip_sql('base')},
   lang || '|' || source, md5({strip_sql('text')}), source, doc_id, 0
 FROM glossary WHERE source NOT IN ('src1', 'src2')""",
-    "cards_from_footnotes": rf"""WITH notes AS (
-  SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^※\s*(.+?)\s*[:：]\s*(.+)$', 1)) AS raw,
-         unnest(regexp_extract_all(t, '(?m)^※\s*(.+?)\s*[:：]\s*(.+)$', 2)) AS def
-  FROM (SELECT doc_id, '※ ' || replace(replace(text, ',', ':'), chr(10), chr(10) || '※ ') AS t
-        FROM documents)),
-named AS (
-  SELECT *, CASE WHEN regexp_matches(raw, '^.*?\S\s*[（(][^）)]+[）)]\s*$')
-                 THEN {strip_sql(r"regexp_extract(raw, '^(.*?)\s*[（(]([^）)]+)[）)]\s*$', 1)")}
-                 ELSE {strip_sql('raw')} END AS term FROM notes)
+    "cards_from_footnotes": rf"""WITH {FOOTNOTES_SQL}
 SELECT doc_id AS source_doc, lower({strip_sql(r"regexp_replace(term, '\s+', ' ', 'g')")}) AS canonical_term,
   term, md5({strip_sql('def')}) AS definition_md5 FROM named""",
     "resolve_see_refs": f"""WITH {CARDS_SQL}

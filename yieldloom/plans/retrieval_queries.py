@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldloom import schemas
-from yieldloom.operators import retrieval
+from yieldloom.operators import corpus, retrieval
 from yieldloom.operators.ranking import top_per_group
+from yieldloom.plans.corpus_queries import FOOTNOTES_SQL
 from yieldloom.sources import tables
 from yieldloom.sources.scratch import scratch_path
 
@@ -15,18 +16,22 @@ TOP_N = 10
 RESULTS = 3
 
 
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the cards that the lines of whole texts define, under their document."""
+    cards = corpus.cards_from_footnotes(tables.footnote_docs(spark, folder))
+    return retrieval.term_index(cards.select(F.col("source_doc").alias("id"), "term", "aliases"))
+
+
 def term_index(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.term_index(tables.word_cards(spark, folder)).select("key", "id")
+    return _index(spark, folder).select("key", "id")
 
 
 def exact_term_match(spark: SparkSession, folder: str) -> DataFrame:
-    index = retrieval.term_index(tables.word_cards(spark, folder))
-    return retrieval.exact_term_match(index, tables.user_questions(spark, folder))
+    return retrieval.exact_term_match(_index(spark, folder), tables.user_questions(spark, folder))
 
 
 def _exact_for_items(spark: SparkSession, folder: str) -> DataFrame:
-    index = retrieval.term_index(tables.word_cards(spark, folder))
-    return retrieval.exact_term_match(index, tables.text_queries(spark, folder))
+    return retrieval.exact_term_match(_index(spark, folder), tables.text_queries(spark, folder))
 
 
 def _topk(spark: SparkSession, folder: str, k: int = TOP_N) -> DataFrame:
@@ -137,26 +142,38 @@ def retrieval_rank(spark: SparkSession, folder: str) -> DataFrame:
     return _ranks(spark, folder).select("query_id", "source_id", "vector_rank", "hybrid_rank")
 
 
+BREAKDOWNS = ["phrasing", "source_type", "question_type"]
+
+
 def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     vector = retrieval.vector_ranking(_topk(spark, folder))
     ranked = retrieval.retrieval_rank(_expected(spark, folder), vector, "vector_rank")
-    return retrieval.retrieval_metrics(
-        ranked, "vector_rank", ["phrasing", "source_type", "question_type"]
-    )
+    return retrieval.retrieval_metrics(ranked, "vector_rank", BREAKDOWNS)
+
+
+def hybrid_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The same figures for the fused list of vector and keyword search."""
+    ranked = retrieval.retrieval_rank(_expected(spark, folder), _fused(spark, folder), "hybrid_rank")
+    return retrieval.retrieval_metrics(ranked, "hybrid_rank", BREAKDOWNS)
 
 
 def doc_cited(spark: SparkSession, folder: str) -> DataFrame:
-    """Does the first word of the question occur in a title of its best keyword records?"""
+    """Which words of the question occur in a line of its best keyword records?
+
+    Lines are the section titles of a record. Each question has at most ``TOP_N`` records.
+    """
     titles = (
         _keyword(spark, folder)
-        .join(tables.record_texts(spark, folder).select("id", "title"), "id")
+        .join(tables.record_texts(spark, folder).select("id", F.split("content", "\n").alias("lines")), "id")
         .groupBy("query_id")
-        .agg(F.collect_list("title").alias("titles"))
+        .agg(F.flatten(F.collect_list("lines")).alias("titles"))
     )
-    cases = tables.text_queries(spark, folder).join(titles, "query_id", "left").select(
-        "query_id",
-        "titles",
-        F.concat(F.lit("Guide > "), F.substring_index("text", " ", 1)).alias("related_doc"),
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    cases = (
+        tables.text_queries(spark, folder)
+        .join(titles, "query_id", "left")
+        .select("query_id", "titles", F.explode_outer(words).alias("word"))
+        .select("query_id", "titles", F.concat(F.lit("Guide > "), "word").alias("related_doc"))
     )
     return retrieval.doc_cited(cases).select("query_id", "related_doc", "cited")
 
@@ -176,28 +193,29 @@ QUERIES = {
         rrf_fuse,
         retrieval_rank,
         retrieval_metrics,
+        hybrid_metrics,
         doc_cited,
     )
 }
 
 CANON = r"lower(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
 
-INDEX_SQL = f"""words AS (
-  SELECT doc_id, string_split(regexp_replace(string_split(text, chr(10))[1], '[.,]', '', 'g'), ' ') AS w
-  FROM documents),
+INDEX_SQL = f"""{FOOTNOTES_SQL},
+names AS (
+  SELECT doc_id AS id, term AS name, 0 AS pos FROM named
+  UNION ALL SELECT doc_id, unnest(aliases), generate_subscripts(aliases, 1) FROM named),
 idx AS (
-  SELECT key, id, pos FROM (
-    SELECT {CANON.format('w[1]')} AS key, doc_id AS id, 0 AS pos FROM words
-    UNION ALL SELECT {CANON.format('w[2]')}, doc_id, 1 FROM words WHERE len(w) > 1)
+  SELECT key, id, pos FROM (SELECT {CANON.format('name')} AS key, id, pos FROM names)
   WHERE length(key) >= 2)"""
 
 
 def exact_sql(queries: str) -> str:
-    return f"""{INDEX_SQL}, q AS ({queries}),
+    return f"""{INDEX_SQL}, q AS MATERIALIZED (
+  SELECT query_id, {CANON.format('text')} AS text FROM ({queries})),
 firsts AS (SELECT key, min((id, pos)) AS first FROM idx GROUP BY key),
 hits AS (
   SELECT q.query_id, i.id AS card_id, min((-length(f.key), f.first)) AS place
-  FROM q JOIN firsts f ON contains({CANON.format('q.text')}, f.key) JOIN idx i ON i.key = f.key
+  FROM q JOIN firsts f ON contains(q.text, f.key) JOIN idx i ON i.key = f.key
   GROUP BY ALL),
 exact AS (
   SELECT query_id, card_id, rank, -place[1] AS key_chars FROM (
@@ -277,6 +295,25 @@ MERGED_SQL = f"""merged AS (
           FROM topk WHERE (query_id, id) NOT IN (SELECT (query_id, card_id) FROM exact))
         WHERE place <= {RESULTS}))"""
 
+def metrics_sql(found: str) -> str:
+    return f"""ranked AS (
+  SELECT CASE WHEN contains(text, chr(10)) THEN 'casual' ELSE 'formal' END AS phrasing,
+         CASE WHEN label < 5 THEN 'glossary_card' ELSE 'article_chunk' END AS source_type,
+         'label-' || label AS question_type, v.rank
+  FROM expected e LEFT JOIN {found} v ON v.query_id = e.query_id AND v.id = source_id),
+long AS (
+  SELECT 'overall' AS dimension, '' AS value, rank FROM ranked
+  UNION ALL SELECT 'phrasing', phrasing, rank FROM ranked
+  UNION ALL SELECT 'source_type', source_type, rank FROM ranked
+  UNION ALL SELECT 'question_type', question_type, rank FROM ranked)
+SELECT dimension, value, count(*) AS n,
+  round(count(*) FILTER (rank <= 1) * 1e0 / count(*), 4) AS accuracy_1,
+  round(count(*) FILTER (rank <= 3) * 1e0 / count(*), 4) AS accuracy_3,
+  round(count(*) FILTER (rank <= 5) * 1e0 / count(*), 4) AS accuracy_5,
+  round(avg(CASE WHEN rank <= 10 THEN 1e0 / log2(rank + 1) ELSE 0e0 END), 4) AS ndcg_10
+FROM long GROUP BY ALL"""
+
+
 ORACLES = {
     "term_index": f"WITH {INDEX_SQL} SELECT key, id FROM idx",
     "exact_term_match": "WITH " + exact_sql(
@@ -308,26 +345,15 @@ SELECT query_id, id, score, rank FROM fused""",
 SELECT e.query_id, source_id, v.rank AS vector_rank, f.rank AS hybrid_rank
 FROM expected e LEFT JOIN vector_10 v ON v.query_id = e.query_id AND v.id = source_id
 LEFT JOIN fused f ON f.query_id = e.query_id AND f.id = source_id""",
-    "retrieval_metrics": f"""WITH {topk_sql(TOP_N)}, {EXPECTED_SQL}, ranked AS (
-  SELECT CASE WHEN contains(text, chr(10)) THEN 'casual' ELSE 'formal' END AS phrasing,
-         CASE WHEN label < 5 THEN 'glossary_card' ELSE 'article_chunk' END AS source_type,
-         'label-' || label AS question_type, v.rank
-  FROM expected e LEFT JOIN vector_list v ON v.query_id = e.query_id AND v.id = source_id),
-long AS (
-  SELECT 'overall' AS dimension, '' AS value, rank FROM ranked
-  UNION ALL SELECT 'phrasing', phrasing, rank FROM ranked
-  UNION ALL SELECT 'source_type', source_type, rank FROM ranked
-  UNION ALL SELECT 'question_type', question_type, rank FROM ranked)
-SELECT dimension, value, count(*) AS n,
-  round(count(*) FILTER (rank <= 1) * 1e0 / count(*), 4) AS accuracy_1,
-  round(count(*) FILTER (rank <= 3) * 1e0 / count(*), 4) AS accuracy_3,
-  round(count(*) FILTER (rank <= 5) * 1e0 / count(*), 4) AS accuracy_5,
-  round(avg(CASE WHEN rank <= 10 THEN 1e0 / log2(rank + 1) ELSE 0e0 END), 4) AS ndcg_10
-FROM long GROUP BY ALL""",
-    "doc_cited": f"""WITH {keyword_sql(TOP_N)}
-SELECT item_id AS query_id, 'Guide > ' || string_split(b.text, ' ')[1] AS related_doc,
-  coalesce(bool_or(contains(string_split(d.text, chr(10))[1], trim(string_split(b.text, ' ')[1]))), false)
-    AS cited
-FROM benchmark b LEFT JOIN keyword_list k ON k.query_id = b.item_id
-LEFT JOIN documents d ON d.doc_id = k.id GROUP BY ALL""",
+    "retrieval_metrics": f"""WITH {topk_sql(TOP_N)}, {EXPECTED_SQL}, {metrics_sql('vector_list')}""",
+    "hybrid_metrics": f"""WITH {topk_sql(schemas.HYBRID_POOL)}, {keyword_sql(schemas.HYBRID_POOL)},
+{FUSED_SQL}, {EXPECTED_SQL}, {metrics_sql('fused')}""",
+    "doc_cited": f"""WITH {keyword_sql(TOP_N)}, words AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\S+')) AS word FROM benchmark),
+titles AS (
+  SELECT k.query_id, unnest(string_split(d.text, chr(10))) AS title
+  FROM keyword_list k JOIN documents d ON d.doc_id = k.id)
+SELECT item_id AS query_id, 'Guide > ' || word AS related_doc,
+  coalesce(bool_or(contains(title, word)), false) AS cited
+FROM words LEFT JOIN titles ON query_id = item_id GROUP BY ALL""",
 }

@@ -364,24 +364,45 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def image_src(line: F.Column) -> F.Column:
+    """Address of the image that a line of a document describes."""
+    return F.concat(
+        F.lit("/img/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), line.cast("string"), F.lit(".png")
+    )
+
+
 def page_captions(spark: SparkSession, folder: str) -> DataFrame:
-    """First lines of the documents as captions with a fetch status per language."""
+    """Every line of the documents as a caption with a fetch status per language."""
     status = (
         F.when(F.col("lang") == "de", "download_failed")
         .when(F.col("lang") == "es", F.concat(F.lit("error: "), "source"))
         .when(F.col("n_chars") < 200, "svg_skipped")
         .otherwise("ok")
     )
-    return documents(spark, folder).select(
-        F.concat(F.lit("/img/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("src"),
+    lines = texts(spark, folder).select(
+        "doc_id", "source", status.alias("status"), F.posexplode_outer(F.split("text", "\n")).alias("section", "caption")
+    )
+    return lines.select(
+        image_src(F.col("section")).alias("src"),
         "source",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
-        F.lit(0).alias("section"),
-        F.substring_index("text", "\n", 1).alias("caption"),
-        status.alias("status"),
+        "section",
+        "caption",
+        "status",
     )
 
 
+def toxic_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of all lines of the documents that are marked as toxic."""
+    toxic = read_table(spark, folder, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    lines = (
+        texts(spark, folder)
+        .join(toxic, "doc_id", "left_semi")
+        .select("doc_id", "source", F.posexplode_outer(F.split("text", "\n")).alias("section", "caption"))
+    )
+    return lines.select(image_src(F.col("section")).alias("src"))
+
+
 # --- retrieval -----------------------------------------------------------------------------
 
 
@@ -412,13 +433,10 @@ def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(vectors, "query_id")
 
 
-def word_cards(spark: SparkSession, folder: str) -> DataFrame:
-    """One card per document: its first word, with its second word as alias."""
-    words = F.split(F.regexp_replace(F.substring_index("text", "\n", 1), "[.,]", ""), " ")
-    return documents(spark, folder).select(
-        F.col("doc_id").alias("id"),
-        F.get(words, F.lit(0)).alias("term"),
-        F.slice(words, 2, 1).alias("aliases"),
+def text_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of the documents as a term."""
+    return texts(spark, folder).select(
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "term")
     )
 
 
@@ -455,20 +473,23 @@ def qa_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def qa_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Question rows: formal ones for longer texts, casual ones for most sources."""
+    """Question rows for every line: formal ones for longer texts, casual ones for most sources."""
     card = F.col("lang") == "en"
-    first = F.substring_index("text", "\n", 1)
+    line = F.col("line")
 
     def row(phrasing: str, question: F.Column) -> F.Column:
         return F.struct(F.lit(phrasing).alias("phrasing"), question.alias("question"))
 
     rows = F.array_compact(
         F.array(
-            F.when(F.col("n_chars") >= 300, row("formal", first)),
-            F.when(F.col("source") != "src3", row("casual", F.concat(first, F.lit("?")))),
+            F.when(F.col("n_chars") >= 300, row("formal", line)),
+            F.when(F.col("source") != "src3", row("casual", F.concat(line, F.lit("?")))),
         )
     )
-    return texts(spark, folder).select(
+    lines = texts(spark, folder).select(
+        "doc_id", "lang", "source", "n_chars", F.explode_outer(F.split("text", "\n")).alias("line")
+    )
+    return lines.select(
         F.concat(F.when(card, "card-").otherwise("chunk-"), F.col("doc_id").cast("string")).alias("source_id"),
         F.when(card, "glossary_card").otherwise("article_chunk").alias("source_type"),
         F.when(F.col("lang") == "fr", "flow")
@@ -570,13 +591,23 @@ def answer_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_case_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Case files with one case per benchmark item; keywords mix texts and lists."""
+    """Case files with one case per benchmark item: all its words are keywords.
+
+    Of every three words the first is a text and the next two are one list.
+    """
     words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    word = [F.get(words, F.lit(i)) for i in range(3)]
-    keywords = F.concat(
-        F.lit('["'), word[0], F.lit('", ["'), word[1], F.lit('", "'), word[2], F.lit('"]]')
-    )
-    return read_table(spark, folder, "benchmark").select(
+    quoted = F.transform(words, lambda w: F.regexp_replace(F.to_json(F.array(w)), r"^\[|\]$", ""))
+
+    def group(start: F.Column) -> F.Column:
+        pair = F.slice("quoted", start + 2, 2)
+        listed = F.concat(F.lit(", ["), F.array_join(pair, ", "), F.lit("]"))
+        return F.concat(
+            F.get(F.col("quoted"), start), F.when(F.size(pair) > 0, listed).otherwise(F.lit(""))
+        )
+
+    starts = F.sequence(F.lit(0), F.size("quoted") - 1, F.lit(3))
+    keywords = F.concat(F.lit("["), F.array_join(F.transform(starts, group), ", "), F.lit("]"))
+    return read_table(spark, folder, "benchmark").select("item_id", quoted.alias("quoted")).select(
         F.concat(
             F.lit('{"cases": [{"id": "c'),
             F.col("item_id").cast("string"),
