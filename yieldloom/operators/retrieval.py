@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
-from yieldloom.operators.joins import MAX_BROADCAST_ROWS, joined_side
+from yieldloom.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, joined_side
 from yieldloom.operators.ranking import top_per_group
 from yieldloom.sources.scratch import checkpoint, scratch_path
+from yieldloom.sources.spread import spread
 
 # Shape of the keyword score, exact hits per query, context format.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -31,6 +32,8 @@ EMPTY_CONTEXT = "관련 지식을 찾을 수 없습니다."
 GRAM, ANCHOR_CHARS = 4, 1_024
 PIECE_CHARS = 256
 MAX_BROADCAST_BYTES = 16 << 20
+# Kinds of grams; each is four characters and a count.
+MAX_BROADCAST_GRAMS = 200_000
 
 # Query vectors are sent to the tasks, up to this many values at a time.
 MAX_BROADCAST_VALUES = 4_000_000
@@ -104,13 +107,17 @@ def anchored_keys(keys: DataFrame, queries: DataFrame) -> DataFrame:
 
     Keys of a gram's size or less are their own gram. A key with a gram that no text
     holds is in no text, and is left out. Of a long key the first ``ANCHOR_CHARS``
-    characters offer grams; any gram of a key would do.
+    characters offer grams; any gram of a key would do. Few kinds of grams are broadcast, so
+    that a key's grams are reduced where they are cut; many are joined by shuffle.
     """
-    often = text_grams(queries, (GRAM,)).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    often = broadcast_if_small(
+        checkpoint(text_grams(queries, (GRAM,)).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))),
+        MAX_BROADCAST_GRAMS,
+    )
     long_keys = keys.filter(F.length("key") > GRAM).withColumn(
         "head", F.substr(F.col("key"), F.lit(1), F.lit(ANCHOR_CHARS))
     )
-    each = _grams(long_keys, "head", (GRAM,)).distinct()
+    each = _grams(long_keys, "head", (GRAM,))
     rarest = (
         each.join(often, "gram", "left")
         .groupBy("key")
@@ -145,11 +152,12 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
     """
     # Written once: the index is needed for the keys and for their cards.
     placed = checkpoint(index.groupBy("key", "id").agg(F.min("pos").alias("pos")))
-    first = placed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first"))
+    first = checkpoint(placed.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first")))
     per_key = top_per_group(placed, ["key"], ["id"], limit, "_n").join(first, "key").select(
         "key", F.col("id").alias("card_id"), "first"
     )
-    anchored = checkpoint(anchored_keys(first.select("key"), queries))
+    # Keys are small but cutting them is not, so they are spread over all cores.
+    anchored = checkpoint(anchored_keys(spread(first.select("key"), "key"), queries))
     size = anchored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
     # Few keys may still be long ones.
     small = size.n <= MAX_BROADCAST_ROWS and (size.bytes or 0) <= MAX_BROADCAST_BYTES
