@@ -147,6 +147,61 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert got == {tuple(r) for r in batch.filter("scope <> 'total'").collect()}
 
 
+def test_stream_totals_leave_two_folders_and_take_a_trigger(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert kpi.read_totals(spark, out).collect() == []
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = kpi.start_totals(tables.runs_from_events(source), out, state, trigger={"processingTime": "0 seconds"})
+    query.processAllAvailable()
+    query.stop()
+    assert kpi.batches(spark, out) == [3, 4]
+    batch = telemetry.kpi_totals(telemetry.with_calls(tables.runs_from_events(events)))
+    assert {tuple(r) for r in kpi.read_totals(spark, out).collect()} == {tuple(r) for r in batch.filter("scope <> 'total'").collect()}
+
+
+def test_streamed_windows_equal_the_batch_figures_in_any_order(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # Newest first, so that the first file already holds most of the answer; one run comes twice.
+    newest = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
+    parts = [newest, events.filter("event_id % 3 = 1"), events.filter("event_id % 3 = 0"), events.filter("event_id % 3 = 2")]
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    whole = tables.runs_from_events(events.unionByName(newest))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    runs = tables.runs_from_events(source)
+    assert kpi.read_latest(spark, out, runs).count() == 0
+    kpi.start_latest(runs, out, state).awaitTermination()
+    kept = kpi.read_latest(spark, out, runs)
+    assert len(kpi.batches(spark, out)) == 2 and kept.count() == 100
+    assert telemetry.kpi_latency(kept).collect() == telemetry.kpi_latency(whole).collect()
+    assert sorted(telemetry.kpi_recent(kept).collect()) == sorted(telemetry.kpi_recent(whole).collect())
+
+
+def test_a_repeated_batch_counts_nothing_twice(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), tmp_path / "state"
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    runs = tables.runs_from_events(source)
+    kpi.start_latest(runs, out, str(state)).awaitTermination()
+    first = sorted(kpi.read_latest(spark, out, runs).collect(), key=str)
+    # As if the job had been lost after the last table was written, before the batch was noted.
+    last = max(kpi.batches(spark, out))
+    (state / "commits" / str(last)).unlink()
+    (state / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    kpi.start_latest(runs, out, str(state)).awaitTermination()
+    assert sorted(kpi.read_latest(spark, out, runs).collect(), key=str) == first
+
+
+def test_a_row_without_a_split_ends_the_job(spark, questions):
+    assignment = qa.leakage_safe_split(questions).filter("source_id <> 'c3'")
+    with pytest.raises(Exception, match="no split for source c3"):
+        qa.apply_split(questions, assignment).collect()
+
+
 def test_scratch_is_below_the_session_checkpoint_folder(spark):
     assert scratch_path(spark, "x").startswith(checkpoint_folder(spark))
 

@@ -88,6 +88,10 @@ def test_strips_without_a_map_stay_out_of_the_pool(spark, files):
     per_strip = strips.strip_yield(strips.parse_strip_files(files))
     row = strips.lot_die_yield(listed, per_strip).first()
     assert (row.strip_count, row.missing_maps, row.total_die, row.fail_die) == (3, 1, 2 * ROWS * COLS, 60)
+    named = strips.missing_strip_maps(listed, per_strip).collect()
+    assert [tuple(r) for r in named] == [(7, "lost", 3)]
+    unmapped = strips.lot_die_yield(listed.filter("strip_id = 'lost'"), per_strip).first()
+    assert (unmapped.strip_count, unmapped.missing_maps, unmapped.total_die, unmapped.die_yield) == (1, 1, None, None)
     worst = strips.lot_worst_strip(listed, per_strip, strips.strip_fail_pattern(files)).first()
     assert (worst.strip_id, worst.pattern) == ("center", "center")
 

@@ -161,7 +161,10 @@ def strip_fail_pattern(files: DataFrame) -> DataFrame:
 
 
 def lot_die_yield(strips: DataFrame, per_strip: DataFrame) -> DataFrame:
-    """Pooled die yield per lot over strips that have a map; the others are counted apart."""
+    """Pooled die yield per lot over strips that have a map; the others are counted apart.
+
+    ``missing_strip_maps`` names them. A lot without any map has null dies and no yield.
+    """
     pooled = (
         strips.join(per_strip, "strip_id", "left")
         .groupBy("lot_id")
@@ -182,6 +185,11 @@ def lot_die_yield(strips: DataFrame, per_strip: DataFrame) -> DataFrame:
     )
 
 
+def missing_strip_maps(strips: DataFrame, per_strip: DataFrame) -> DataFrame:
+    """The strips without a map by name, in long form, so that a lot may miss very many."""
+    return strips.join(per_strip, "strip_id", "left_anti").select("lot_id", "strip_id", "position")
+
+
 def lot_worst_strip(strips: DataFrame, per_strip: DataFrame, patterns: DataFrame) -> DataFrame:
     """Strip with the lowest yield per lot, earliest position on ties, with its pattern."""
     worst = (

@@ -171,16 +171,30 @@ def kpi_recent(spark: SparkSession, folder: str) -> DataFrame:
 
 def kpi_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event table read as a stream until all of it has been counted."""
-    schema = tables.read_table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
     path = scratch_path(spark, "kpi-totals")
     query = kpi.start_totals(
-        tables.runs_from_events(events), path, scratch_path(spark, "kpi-checkpoint")
+        tables.streamed_runs(spark, folder), path, scratch_path(spark, "kpi-checkpoint")
     )
     query.awaitTermination()
     return kpi.read_totals(spark, path)
 
 
+def _streamed_latest(spark: SparkSession, folder: str) -> DataFrame:
+    path, runs = scratch_path(spark, "kpi-latest"), tables.streamed_runs(spark, folder)
+    kpi.start_latest(runs, path, scratch_path(spark, "kpi-checkpoint")).awaitTermination()
+    return kpi.read_latest(spark, path, runs)
+
+
+def kpi_stream_latency(spark: SparkSession, folder: str) -> DataFrame:
+    """Latency figures from the runs that a stream has kept."""
+    return telemetry.kpi_latency(_streamed_latest(spark, folder))
+
+
+def kpi_stream_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest runs from those that a stream has kept."""
+    return telemetry.kpi_recent(_streamed_latest(spark, folder))
+
+
 def intent_share(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.intent_share(tables.runs(spark, folder))
 
@@ -226,6 +240,8 @@ QUERIES = {
         kpi_latency,
         kpi_recent,
         kpi_stream,
+        kpi_stream_latency,
+        kpi_stream_recent,
         intent_share,
         compact_history,
         compact_short_history,
@@ -435,9 +451,15 @@ SELECT scope, count(*) AS queries, sum(fn_calls)::BIGINT AS fn_calls,
   sum(rag_calls)::BIGINT AS rag_calls FROM long GROUP BY scope""",
     "kpi_latency": f"""WITH {RUNS_SQL}, w AS (
   SELECT list(latency_ms ORDER BY latency_ms) AS ms FROM newest WHERE back <= 100)
+SELECT len(ms)::INT AS n, round_even(list_sum(ms) * 1e0 / len(ms), 0)::BIGINT AS avg_ms,
+  ms[(len(ms) * 95) // 100 + 1] AS p95_ms FROM w""",
+    "kpi_stream_latency": f"""WITH {RUNS_SQL}, w AS (
+  SELECT list(latency_ms ORDER BY latency_ms) AS ms FROM newest WHERE back <= 100)
 SELECT len(ms)::INT AS n, round_even(list_sum(ms) * 1e0 / len(ms), 0)::BIGINT AS avg_ms,
   ms[(len(ms) * 95) // 100 + 1] AS p95_ms FROM w""",
     "kpi_recent": f"""WITH {RUNS_SQL}
+SELECT run_id, intent, latency_ms, fn_calls, rag_calls FROM newest WHERE back <= 20""",
+    "kpi_stream_recent": f"""WITH {RUNS_SQL}
 SELECT run_id, intent, latency_ms, fn_calls, rag_calls FROM newest WHERE back <= 20""",
     "kpi_stream": f"""WITH {RUNS_SQL}
 SELECT intent AS scope, count(*) AS queries, sum(fn_calls)::BIGINT AS fn_calls,

@@ -146,7 +146,16 @@ def strip_fail_pattern(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lot_die_yield(spark: SparkSession, folder: str) -> DataFrame:
-    return strips.lot_die_yield(tables.strips(spark, folder), strip_yield(spark, folder))
+    """Over files of which some end before their map."""
+    return strips.lot_die_yield(tables.strips(spark, folder), _cut_strip_yield(spark, folder))
+
+
+def _cut_strip_yield(spark: SparkSession, folder: str) -> DataFrame:
+    return strips.strip_yield(strips.parse_strip_files(tables.cut_strip_files(spark, folder)))
+
+
+def missing_strip_maps(spark: SparkSession, folder: str) -> DataFrame:
+    return strips.missing_strip_maps(tables.strips(spark, folder), _cut_strip_yield(spark, folder))
 
 
 def lot_worst_strip(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,6 +307,7 @@ QUERIES = {
         strip_fail_rows,
         strip_fail_pattern,
         lot_die_yield,
+        missing_strip_maps,
         lot_worst_strip,
         data_period,
         known_values_guard,
@@ -516,10 +526,14 @@ SELECT strip_id, i::INT AS row_idx, count(*)::INT AS fail_count, min(j)::INT AS
        max(j)::INT AS last_col
 FROM fails GROUP BY strip_id, i""",
     "strip_fail_pattern": f"WITH {DIES_SQL} SELECT * FROM patterns",
-    "lot_die_yield": f"""WITH {DIES_SQL}
-SELECT lot_id, count(*) AS strip_count, 0::BIGINT AS missing_maps,
+    "lot_die_yield": f"""WITH {DIES_SQL}, listed AS (
+  SELECT e.label AS lot_id, s.* EXCLUDE (lot_id)
+  FROM embeddings e LEFT JOIN per_strip s ON s.strip_id = e.vec_id AND e.embedding[1] <= {tables.CUT_ABOVE})
+SELECT lot_id, count(*) AS strip_count, count(*) FILTER (strip_id IS NULL) AS missing_maps,
        sum(total_die)::BIGINT AS total_die, sum(fail_die)::BIGINT AS fail_die,
-       {pct_sql('sum(good_die)', 'sum(total_die)')} AS die_yield FROM per_strip GROUP BY lot_id""",
+       {pct_sql('sum(good_die)', 'sum(total_die)')} AS die_yield FROM listed GROUP BY lot_id""",
+    "missing_strip_maps": f"""SELECT label AS lot_id, vec_id AS strip_id, vec_id AS position
+FROM embeddings WHERE embedding[1] > {tables.CUT_ABOVE}""",
     "lot_worst_strip": f"WITH {DIES_SQL} SELECT * FROM worst_strips",
     "data_period": """SELECT strftime(min(l_shipdate), '%Y-%m-%d') AS first_day,
   strftime(max(l_shipdate), '%Y-%m-%d') AS last_day FROM lineitem""",

@@ -24,6 +24,8 @@ SPEC_LIMITS = {
 
 MAP_COLUMNS = 16
 PASS_THRESHOLD = -0.15
+#: Strips whose first value is above this have no map.
+CUT_ABOVE = 0.15
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -136,20 +138,31 @@ def strips(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def strip_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One map file per strip: header, one 0/1 line per grid row, closing brace."""
+def _map_file() -> F.Column:
+    """A map file: header, one 0/1 line per grid row, closing brace."""
     bits = F.transform("embedding", lambda v: F.when(v >= PASS_THRESHOLD, "1").otherwise("0"))
     starts = F.sequence(F.lit(1), F.size("embedding"), F.lit(MAP_COLUMNS))
     lines = F.transform(starts, lambda i: F.array_join(F.slice(bits, i, MAP_COLUMNS), ""))
-    content = F.concat(
-        F.lit("STRIP "),
-        F.col("vec_id").cast("string"),
-        F.lit("\nMAP {\n\n "),
-        F.array_join(lines, " \n"),
-        F.lit("\n}\n"),
+    return F.concat(_map_header(), F.lit("MAP {\n\n "), F.array_join(lines, " \n"), F.lit("\n}\n"))
+
+
+def _map_header() -> F.Column:
+    return F.concat(F.lit("STRIP "), F.col("vec_id").cast("string"), F.lit("\n"))
+
+
+def strip_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One map file per strip."""
+    return read_table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("strip_id"), _map_file().alias("content")
     )
+
+
+def cut_strip_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files, those of strips with a high first value cut off before their map."""
+    cut = F.get("embedding", F.lit(0)) > CUT_ABOVE
     return read_table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("strip_id"), content.alias("content")
+        F.col("vec_id").alias("strip_id"),
+        F.when(cut, _map_header()).otherwise(_map_file()).alias("content"),
     )
 
 
@@ -745,6 +758,13 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs_from_events(read_table(spark, folder, "events"))
 
 
+def streamed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of the event files."""
+    schema = read_table(spark, folder, "events").schema
+    # A pattern, because a stream takes a folder or a pattern but no single file.
+    return runs_from_events(spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet"))
+
+
 def logged_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The same for work on all logs."""
     return runs_from_events(spread(read_table(spark, folder, "events"), "event_id"))
