@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tests.test_yields import rows, steps
 from yieldloom import schemas
 from yieldloom.functions import guards
-from yieldloom.operators import rollup, yields
-from yieldloom.sources import lot_store
+from yieldloom.operators import manifest, rollup, yields
+from yieldloom.sources import lot_store, manifest_store
 
 
 def route(rng, lot, n):
@@ -176,3 +176,41 @@ def test_months_inside_a_period(bounds, months, rests):
     assert (found == months) if months else found[0] > found[1]
     days = sum((p.end - p.start).days + 1 for p in cut)
     assert days <= 62 and all(isinstance(p.start, dt.date) for p in cut)
+
+
+def _files(path):
+    return {p.parent.name: p.name for p in path.glob("part=*/*.parquet")}
+
+
+def test_an_upsert_rewrites_only_the_buckets_of_its_urls(spark, tmp_path):
+    kind = "source string, url string, content string, seq long, status string, note string"
+    pages = [("s", f"http://x/{i}", f"c{i}", i, "downloaded", None) for i in range(300)] + [("s", None, "n", 1, "downloaded", None)]
+    old = manifest.fetch_records(spark.createDataFrame(pages, kind))
+    path = tmp_path / "store"
+    store = manifest_store.new_store(old, str(path), buckets=32)
+    before = _files(path)
+    assert len(before) == 32 and sorted(store.read(spark).collect(), key=str) == sorted(old.select(store.schema.names).collect(), key=str)
+    news = [("s", "http://x/7", "other", 900, "downloaded", "again"), ("s", "http://x/new", "new", 901, "downloaded", None), ("s", "http://x/7", "older", 899, "downloaded", None), ("s", None, None, 2, "downloaded", "gone")]
+    new = manifest.fetch_records(spark.createDataFrame(news, kind))
+    parts = manifest_store.ManifestStore(str(path), old.schema, 32).upsert(new)
+    after = _files(path)
+    assert 1 <= len(parts) <= 3 and set(after) == set(before)
+    assert {p for p in before if before[p] != after[p]} == {f"part={n}" for n in parts}
+    want = manifest.manifest_upsert(old, new).select(store.schema.names)
+    assert sorted(store.read(spark).collect(), key=str) == sorted(want.collect(), key=str)
+    kept = manifest.manifest_upsert(want, new, "keep").select(store.schema.names).collect()
+    store.upsert(new, "keep")
+    assert sorted(store.read(spark).collect(), key=str) == sorted(kept, key=str)
+    assert store.upsert(new.limit(0)) == [] and store.read(spark).count() == 302
+    plan = store.read(spark, parts)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan
+
+
+def test_an_empty_store_takes_its_first_records(spark, tmp_path):
+    kind = "source string, url string, content string, seq long, status string"
+    old = manifest.fetch_records(spark.createDataFrame([], kind))
+    store = manifest_store.new_store(old, str(tmp_path / "store"))
+    assert store.read(spark).count() == 0
+    new = manifest.fetch_records(spark.createDataFrame([("s", "u", "c", 1, "downloaded")], kind))
+    store.upsert(new)
+    assert store.read(spark).collect() == new.select(store.schema.names).collect()

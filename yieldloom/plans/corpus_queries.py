@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from yieldloom import schemas
 from yieldloom.functions import text as X
 from yieldloom.operators import captions, corpus, documents, manifest, pages, retrieval
-from yieldloom.sources import corpus_files, tables
+from yieldloom.sources import corpus_files, manifest_store, tables
 
 TITLE_INCLUDE = ("ring", "widget", "plate")
 TITLE_EXCLUDE = ("red", "hot")
@@ -66,7 +66,8 @@ def read_clean_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+def _records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records of all listed pages, and those of the pages that were fetched."""
     listing = tables.page_listing(spark, folder)
     existing = manifest.fetch_records(
         listing.select(
@@ -86,7 +87,21 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
         day.cast("string").alias("fetched_at"),
         F.when(skipped, F.concat(F.lit("tag "), F.col("tag"))).alias("note"),
     )
-    return manifest.manifest_upsert(existing, manifest.fetch_records(picked))
+    return existing, manifest.fetch_records(picked)
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest_upsert(*_records(spark, folder))
+
+
+def stored_manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The same on a stored manifest, read back after the update."""
+    existing, fetched = _records(spark, folder)
+    # A listing may name an address twice; a store holds one record of each.
+    listed = manifest.manifest_upsert(existing, existing.limit(0))
+    store = manifest_store.new_store(listed)
+    store.upsert(fetched)
+    return store.read(spark)
 
 
 def manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -374,6 +389,7 @@ QUERIES = {
         read_corpus_jsonl,
         read_clean_docs,
         manifest_upsert,
+        stored_manifest_upsert,
         manifest_status_summary,
         keyword_select,
         term_keyword_filter,
@@ -724,6 +740,7 @@ SELECT * FROM clean WHERE length(definition) >= 10""",
     "read_clean_docs": f"""SELECT doc_id, nullif({strip_sql(FIRST)}, '') AS title, source,
   NULL::VARCHAR AS url, lang AS language, 4 AS n_meta, md5(text) AS body_md5 FROM documents""",
     "manifest_upsert": f"WITH {MANIFEST_SQL} SELECT * FROM manifest",
+    "stored_manifest_upsert": f"WITH {MANIFEST_SQL} SELECT * FROM manifest",
     "manifest_status_summary": f"""WITH {MANIFEST_SQL}
 SELECT status, count(*) AS n FROM manifest GROUP BY status""",
     "keyword_select": """SELECT p_partkey AS id, p_name AS title,
