@@ -9,6 +9,7 @@ from yieldloom import schemas
 from yieldloom.functions import guards
 from yieldloom.operators import lookups, specs, yields
 from yieldloom.operators.ranking import position_in_group, running_total, sequence_numbers
+from yieldloom.sources.scratch import checkpoint
 
 
 def day(text: str) -> dt.datetime:
@@ -244,6 +245,32 @@ def test_a_hot_lot_gives_the_same_answers(spark):
     assert [r.position for r in route] == list(range(1, 2001))
 
 
+def test_a_large_lot_is_sorted_in_many_tasks(spark):
+    # A third of all rows in one lot and as many without a lot; one step number has most of them.
+    lot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40 + 100)
+    data = spark.range(6000).select(
+        lot.cast("long").alias("lot_id"),
+        F.when(F.col("id") % 10 > 0, 3).otherwise(F.col("id") % 5).cast("int").alias("step_seq"),
+        F.concat(F.lit("s"), F.col("id")).alias("step_name"),
+        F.lit("E").alias("eqp_id"),
+        (F.col("id") * 7919 % 6000).alias("in_qty"),
+        F.lit(1).cast("long").alias("reject"),
+        F.when(F.col("id") % 11 > 0, F.make_timestamp_ntz(F.lit(2026), F.lit(1), 1 + F.col("id") % 28, F.lit(0), F.lit(0), F.lit(0))).alias("track_out_time"),
+    )
+    data = checkpoint(data.repartition(6))
+    plain = rows(yields.lot_progression(data.fillna({"lot_id": -1})))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        split = yields.lot_progression(data, large_lot=500).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, held)
+    assert sorted((-1 if r.lot_id is None else r.lot_id, r.position, r.step_name) for r in split) == plain
+    for large in (7, None):
+        assert len({r.task for r in split if r.lot_id == large}) >= 2
+
+
 def test_positions_do_not_depend_on_partitioning(spark):
     data = spark.range(3000).select(
         F.when(F.col("id") < 1000, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"),

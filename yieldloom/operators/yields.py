@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions.guards import Period, check_limit, choose
 from yieldloom.functions.quantities import yield_pct
-from yieldloom.operators.ranking import position_in_group, sequence_numbers
+from yieldloom.operators.joins import joined_side
+from yieldloom.operators.ranking import sequence_numbers
 from yieldloom.sources.scratch import checkpoint
 
 STEP_ORDER = ["step_seq", "track_out_time", "eqp_id", "in_qty", "reject", "step_name"]
 
+#: Rows of one lot above which its route is sorted in many tasks.
+LARGE_LOT = 1_000_000
+
 GROUP_COLUMNS = {"step": "step_name", "equipment": "eqp_id", "month": "track_out_time"}
 
 
@@ -58,19 +62,35 @@ def lot_worst_step(steps: DataFrame) -> DataFrame:
     return numbered.groupBy("lot_id").agg(worst.alias("worst")).select("lot_id", "worst.*")
 
 
-def lot_progression(steps: DataFrame) -> DataFrame:
+def lot_progression(steps: DataFrame, large_lot: int = LARGE_LOT) -> DataFrame:
     """Route of each lot as (position, step name) rows; a step without a time comes first of its number.
 
-    Blocks of sequence numbers split a large lot into a few rows of sizes and many tasks.
+    A lot of at most ``large_lot`` rows is one sort. Larger ones are numbered by a range sort of
+    their rows in route order, whose borders fall inside lots as well, so that a lot is many
+    tasks whatever its sequence numbers are. Rows without a lot count as one lot.
     """
-    dated = steps.select("lot_id", *STEP_ORDER, F.floor(F.col("step_seq") / 1024).alias("block"))
-    return position_in_group(
-        dated,
-        keys=["lot_id"],
-        bucket=["block"],
-        order=["step_seq", "track_out_time", "eqp_id", "in_qty", "reject", "step_name"],
-        name="position",
-    ).select("lot_id", "position", "step_name")
+    rows = steps.select("lot_id", *STEP_ORDER)
+    large = checkpoint(
+        rows.groupBy(F.col("lot_id").alias("_lot"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter(F.col("rows") > large_lot)
+        .select("_lot")
+    )
+    n_large = large.count()
+
+    def within_one_task(some: DataFrame) -> DataFrame:
+        order = Window.partitionBy("lot_id").orderBy(*STEP_ORDER)
+        return some.select("lot_id", F.row_number().over(order).cast("long").alias("position"), "step_name")
+
+    if not n_large:
+        return within_one_task(rows)
+    side, same = joined_side(large, n_large), F.col("lot_id").eqNullSafe(F.col("_lot"))
+    numbered = sequence_numbers(rows.join(side, same, "left_semi"), ["lot_id", *STEP_ORDER], "_n")
+    firsts = numbered.groupBy(F.col("lot_id").alias("_lot")).agg(F.min("_n").alias("_first"))
+    spread_out = numbered.join(joined_side(firsts, n_large), same).select(
+        "lot_id", (F.col("_n") - F.col("_first") + 1).alias("position"), "step_name"
+    )
+    return within_one_task(rows.join(side, same, "left_anti")).unionByName(spread_out)
 
 
 def lot_defect_type(steps: DataFrame, readings: DataFrame) -> DataFrame:
