@@ -62,6 +62,23 @@ def test_lot_counts_by_latest_completion_and_shows_the_last_step(small):
     assert [(r.lot_id, r.done_day, r.lots_in_period) for r in got] == [(1, "2026-01-15", 1)]
 
 
+def test_only_lots_with_a_step_in_the_period_are_aggregated(spark, small, tmp_path):
+    small.write.parquet(str(tmp_path / "steps"))
+    stored = spark.read.parquet(str(tmp_path / "steps"))
+    for start, end in (("20260101", "20260105"), ("20260116", "20260131"), ("20260101", "20260301"), ("20270101", "20270102")):
+        period = guards.parse_period(start, end)
+        few, many = (yields.lots_in_period(stored, period, max_lots=n) for n in (100, 0))
+        assert rows(few) == rows(many)
+    january = guards.parse_period("20260116", "20260131")
+    # Lot 3 has no step then and lot 2 neither.
+    assert {r.lot_id for r in yields.steps_of_lots_in(stored, january).collect()} == {1}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    found = stored.filter(january.covers(F.col("track_out_time")))._jdf.queryExecution().explainString(mode)
+    assert "GreaterThanOrEqual(track_out_time" in found and "LessThan(track_out_time" in found
+    plan = yields.lots_in_period(stored, january)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_zero_input_lot_is_not_counted(small):
     whole = guards.parse_period("20260101", "20260301")
     assert [r.lot_id for r in yields.low_yield_lots(small, whole).collect()] == [1, 3]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from yieldloom.functions.guards import Period, check_limit, choose
 from yieldloom.functions.quantities import yield_pct
-from yieldloom.operators.joins import joined_side
+from yieldloom.operators.joins import MAX_BROADCAST_ROWS, joined_side
 from yieldloom.operators.ranking import sequence_numbers
 from yieldloom.sources.scratch import checkpoint
 
@@ -185,9 +185,28 @@ def low_yield_by_target(
     return ranked(rows, order, limit)
 
 
-def lots_in_period(steps: DataFrame, period: Period) -> DataFrame:
-    """One row per lot whose latest completion is in the period, from one pass over the steps."""
-    lots = steps.groupBy("lot_id").agg(
+def steps_of_lots_in(steps: DataFrame, period: Period, max_lots: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """All steps of the lots that have a step in the period, and of others only if these are many.
+
+    The period reaches the scan that finds the lots; their list is broadcast, so that steps of
+    other lots are dropped where they are read. Beyond ``max_lots`` lots nothing is dropped.
+    """
+    found = steps.filter(period.covers(F.col("track_out_time"))).select(F.col("lot_id").alias("_lot"))
+    touched = checkpoint(found.distinct())
+    if touched.limit(max_lots + 1).count() > max_lots:
+        return steps
+    same = F.col("lot_id").eqNullSafe(F.col("_lot"))
+    return steps.join(F.broadcast(touched), same, "left_semi")
+
+
+def lots_in_period(
+    steps: DataFrame, period: Period, max_lots: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """One row per lot whose latest completion is in the period.
+
+    Such a lot has a step in the period, so only lots that do are aggregated while they are few.
+    """
+    lots = steps_of_lots_in(steps, period, max_lots).groupBy("lot_id").agg(
         F.max("track_out_time").alias("last_time"),
         F.min_by(F.coalesce("in_qty", F.lit(0)), step_order()).alias("first_in_qty"),
         F.max_by(
