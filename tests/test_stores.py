@@ -214,3 +214,12 @@ def test_an_empty_store_takes_its_first_records(spark, tmp_path):
     new = manifest.fetch_records(spark.createDataFrame([("s", "u", "c", 1, "downloaded")], kind))
     store.upsert(new)
     assert store.read(spark).collect() == new.select(store.schema.names).collect()
+
+
+def test_a_rollup_is_never_wider_than_its_steps(spark):
+    # Every group of a month has one lot, and lots lie far apart.
+    far = [(i * 100_000, 1, "saw", f"E{i}", 10, 1, 9, 90.0, "20260310") for i in range(50)]
+    months = rollup.month_rollup(steps(spark, far + [(None, 1, "cut", "E0", 10, 0, 10, 100.0, "20260311")]))
+    assert dict(months.dtypes)["lots"] == "bigint" and months.count() == 102
+    got = {r.group_key: r.lot_count for r in rollup.totals(months, "step", guards.parse_period("2026-03-01", "2026-03-31")).collect()}
+    assert got == {"saw": 50, "cut": 0}

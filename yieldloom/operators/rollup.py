@@ -1,7 +1,7 @@
 """Monthly totals from which the yield of any period is put together.
 
-Per month and group a rollup row holds sums and the set of lots as a bitmap. Sums add up
-and bitmaps are joined by "or", so distinct lots stay exact over any months. Whole months of
+Per month and group a rollup row holds sums and the set of lots as the bits of a long. Sums add
+up and bits are joined by "or", so distinct lots stay exact over any months. Whole months of
 a period come from the rollup; only the days before and after them are read from the steps.
 """
 
@@ -19,14 +19,18 @@ from yieldloom.operators.yields import GROUP_COLUMNS, deltas_of, only_in_one, ra
 #: Groupings that are rolled up; a grouping by month follows from any of them.
 ROLLED = ("step", "equipment")
 SUMS = ["in_qty", "reject", "out_qty"]
+#: A rollup row has the lots of 2^6 numbers in a row, one bit each.
+LOT_BITS = 6
 
 
 def month_rollup(steps: DataFrame) -> DataFrame:
     """(month, by, group_key, lot_block, lots, in_qty, reject, out_qty, first_day, last_day).
 
-    ``lots`` is a bitmap of the lots of one block of 32,768 numbers; rows without a lot or
-    a group are in rows of their own with null there. Rows without a time belong to no
-    period and are left out. A large group is added up before the shuffle.
+    ``lots`` has the lots of one block of 64 numbers as bits; rows without a lot or a group
+    are in rows of their own with null there. All values have a fixed width, so the rollup
+    never holds more than the steps do, however few lots a group has. Rows without a time
+    belong to no period and are left out. A step moves once, before it is counted under
+    its groups: with few lots of a group in a block there is little to add up before that.
     """
     time = F.col("track_out_time")
     keys = [
@@ -36,15 +40,17 @@ def month_rollup(steps: DataFrame) -> DataFrame:
         steps.filter(time.isNotNull())
         .select(
             F.date_format(time, "yyyyMM").alias("month"),
-            F.explode(F.array(*keys)).alias("g"),
-            F.bitmap_bucket_number("lot_id").alias("lot_block"),
-            F.bitmap_bit_position("lot_id").alias("place"),
+            F.shiftright("lot_id", LOT_BITS).alias("lot_block"),
+            F.expr(f"shiftleft(1L, CAST(lot_id & {(1 << LOT_BITS) - 1} AS INT))").alias("lot"),
             time.cast("date").alias("day"),
             *SUMS,
+            *[GROUP_COLUMNS[by] for by in ROLLED],
         )
+        .repartition("month", "lot_block")
+        .select("month", "lot_block", "lot", "day", *SUMS, F.explode(F.array(*keys)).alias("g"))
         .groupBy("month", "g.by", "g.group_key", "lot_block")
         .agg(
-            F.bitmap_construct_agg("place").alias("lots"),
+            F.coalesce(F.bit_or("lot"), F.lit(0).cast("long")).alias("lots"),
             *[F.sum(c).alias(c) for c in SUMS],
             F.min("day").alias("first_day"),
             F.max("day").alias("last_day"),
@@ -117,12 +123,13 @@ def totals(rollup: DataFrame, by: str, period: Period, steps: DataFrame | None =
         rows = rows.withColumn("group_key", label)
     else:
         rows = rows.filter(F.col("group_key").isNotNull())
-    blocks = rows.groupBy("group_key", "lot_block").agg(
-        F.bitmap_or_agg("lots").alias("lots"), *[F.sum(c).alias(c) for c in SUMS]
+    # Moved before they are added up: a scan meets a group's block in one month only.
+    blocks = rows.repartition("lot_block").groupBy("group_key", "lot_block").agg(
+        F.bit_or("lots").alias("lots"), *[F.sum(c).alias(c) for c in SUMS]
     )
     return (
         blocks.groupBy("group_key")
-        .agg(F.sum(F.bitmap_count("lots")).alias("lot_count"), *[F.sum(c).alias(c) for c in SUMS])
+        .agg(F.sum(F.bit_count("lots")).alias("lot_count"), *[F.sum(c).alias(c) for c in SUMS])
         .withColumn("yield_pct", yield_pct(F.col("out_qty"), F.col("in_qty")))
     )
 
