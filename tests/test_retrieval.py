@@ -206,3 +206,15 @@ def test_absorbed_names_lead_to_the_card(spark):
     queries = spark.createDataFrame([(7, "what is a bga")], "query_id long, text string")
     got = retrieval.exact_term_match(retrieval.term_index(cards, absorbed), queries).collect()
     assert [(r.card_id, r.key_chars) for r in got] == [(1, 3)]
+
+
+def test_only_keys_that_a_text_holds_are_moved(spark):
+    # All keys share all their grams with all texts; no text holds one, but for the last.
+    keys = ["ab cd " * (i // 26 + 2) + chr(97 + i % 26) * 2 for i in range(2000)]
+    texts = ["ab cd " * 100 + " ".join(chr(97 + i) for i in range(26)) for _ in range(40)] + [keys[1999] + "."]
+    index = retrieval.term_index(spark.createDataFrame([(i, k, []) for i, k in enumerate(keys)], "id long, term string, aliases array<string>"))
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    assert retrieval._held_substrings(index.select("key").distinct(), queries).count() <= 2000
+    held = {(q, i) for q, t in enumerate(texts) for i, k in enumerate(keys) if k in t}
+    got = {(r.query_id, r.card_id) for r in retrieval.exact_term_match(index, queries, limit=3000).collect()}
+    assert got == held and held

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yieldloom import schemas
 from yieldloom.functions import text as X
@@ -28,9 +29,15 @@ AFTER_OWN_NAMES = (1 << 31) - 1
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 EMPTY_CONTEXT = "관련 지식을 찾을 수 없습니다."
 
-# Characters of the gram that a key is looked up by, and of a key that offer grams.
-GRAM, ANCHOR_CHARS = 4, 1_024
+# Characters of the gram that a text must hold of a key, and of the head of a long key.
+GRAM, HEAD_CHARS = 4, 64
 PIECE_CHARS = 256
+# Filter of the keys: at most 32 MB; its probes, and the hashes that it is filled with.
+MAX_FILTER_BITS = 28
+PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+HASH_BASE, HEAD_SALT = 0x2545F4914F6CDD1D, np.uint64(0x165667B19E3779F9)
+# Characters of text looked at together.
+TEXT_CHARS = 1 << 18
 MAX_BROADCAST_BYTES = 16 << 20
 # Kinds of grams; each is four characters and a count.
 MAX_BROADCAST_GRAMS = 200_000
@@ -103,52 +110,141 @@ def text_grams(queries: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def anchored_keys(keys: DataFrame, queries: DataFrame) -> DataFrame:
-    """(key, gram): the gram of each key that is rarest in the texts, by count.
+    """(key, gram): keys whose first ``GRAM`` characters some text holds, with these.
 
-    Keys of a gram's size or less are their own gram. A key with a gram that no text
-    holds is in no text, and is left out. Of a long key the first ``ANCHOR_CHARS``
-    characters offer grams; any gram of a key would do. Few kinds of grams are broadcast, so
-    that a key's grams are reduced where they are cut; many are joined by shuffle.
+    The others are in no text. Shorter keys stay, with themselves as gram. Few kinds of grams
+    are broadcast; many are joined by shuffle.
     """
-    often = broadcast_if_small(
-        checkpoint(text_grams(queries, (GRAM,)).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))),
-        MAX_BROADCAST_GRAMS,
-    )
-    long_keys = keys.filter(F.length("key") > GRAM).withColumn(
-        "head", F.substr(F.col("key"), F.lit(1), F.lit(ANCHOR_CHARS))
-    )
-    each = _grams(long_keys, "head", (GRAM,))
-    rarest = (
-        each.join(often, "gram", "left")
-        .groupBy("key")
-        .agg(
-            F.min_by("gram", F.struct("often", "gram")).alias("gram"),
-            F.bool_and(F.col("often").isNotNull()).alias("possible"),
-        )
-        .filter("possible")
-        .select("key", "gram")
-    )
-    short_keys = keys.filter(F.length("key") <= GRAM).select("key", F.col("key").alias("gram"))
-    return rarest.unionByName(short_keys)
+    known = broadcast_if_small(checkpoint(text_grams(queries, (GRAM,)).select("gram").distinct()), MAX_BROADCAST_GRAMS)
+    headed = keys.select("key", F.substr(F.col("key"), F.lit(1), F.lit(GRAM)).alias("gram"))
+    whole = headed.filter(F.length("key") >= GRAM).join(known, "gram", "left_semi")
+    return whole.select("key", "gram").unionByName(headed.filter(F.length("key") < GRAM))
+
+
+class _Joined:
+    """Texts put end to end, so that all their substrings of one length are hashed at once."""
+
+    def __init__(self, texts: list[str]):
+        self.text = "".join(texts)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.end_of = np.repeat(self.ends, sizes)
+        powers = np.full(len(points) + 1, HASH_BASE, np.uint64)
+        back = np.full(len(points) + 1, pow(HASH_BASE, -1, 1 << 64), np.uint64)
+        powers[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        sums = np.cumsum((points + np.uint64(1)) * np.cumprod(powers)[:-1], dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
+    def hashes(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Polynomial hashes, modulo 2^64, of the substrings that start at these places."""
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
 
-def _holding(met: DataFrame, queries: DataFrame) -> DataFrame:
-    """Those pairs (query_id, key) whose text holds a key longer than a gram."""
-    texts = queries.select(F.col("query_id").alias("_id"), X.canonical_term(F.col("text")).alias("q"))
-    longer = met.filter(F.length("key") > GRAM)
-    held = longer.join(texts, F.col("query_id").eqNullSafe(F.col("_id"))).filter(
-        F.contains(F.col("q"), F.col("key"))
+
+def _probe(hashes: np.ndarray, times: int, bits: int) -> np.ndarray:
+    """Places in a filter of 2^bits."""
+    mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(times)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _key_filter(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(filter, bits): bits for whole keys and for the heads of long ones, 2^28 at most.
+
+    The tasks' places are put together as bitmaps, so what reaches the driver has the
+    size of the filter. In a fuller filter more substrings pass, which the join sorts out.
+    """
+    bits = min(MAX_FILTER_BITS, max(15, (16 * n).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _Joined(batch.column(0).to_pylist())
+            sizes = keys.ends - keys.starts
+            whole = keys.hashes(keys.starts, sizes)
+            heads = keys.hashes(keys.starts[sizes > HEAD_CHARS], HEAD_CHARS) ^ HEAD_SALT
+            found = [_probe(np.concatenate([whole, heads]), times, bits) for times in PROBES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["place"])
+
+    # A bitmap has 2^15 bits.
+    parts = (
+        keys.select("key")
+        .mapInArrow(places, "place long")
+        .groupBy(F.shiftright("place", 15).alias("block"))
+        .agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << 15) - 1))).alias("part"))
     )
-    return held.select("query_id", "key").distinct()
+    filled = np.zeros((1 << (bits - 15), 1 << 12), np.uint8)
+    for row in parts.collect():
+        filled[row.block] = np.frombuffer(row.part, np.uint8)
+    return filled.reshape(-1), bits
+
+
+def _substrings_in(filled: np.ndarray, bits: int, lengths: list[int], texts: _Joined) -> Iterator[tuple]:
+    """(places, length) of the substrings that pass the filter."""
+
+    def passing(at: np.ndarray, length: int, salt: np.uint64) -> np.ndarray:
+        at = at[texts.end_of[at] >= at + length]
+        hashes = texts.hashes(at, length) ^ salt
+        for times in PROBES:
+            place = _probe(hashes, times, bits)
+            held = filled[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+            at, hashes = at[held], hashes[held]
+        return at
+
+    at, headed = np.arange(len(texts.end_of)), False
+    for length in lengths:
+        if length > HEAD_CHARS and not headed:
+            at, headed = passing(at, HEAD_CHARS, HEAD_SALT), True
+        yield passing(at, length, np.uint64(0)), length
+
+
+def _held_substrings(keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, key): the substrings of the texts that are keys, and few that are not.
+
+    A substring as long as some key is looked up in a filter of all keys in the task that
+    has the text, so only what passes is moved. Lengths above ``HEAD_CHARS`` are
+    looked up only where the first ``HEAD_CHARS`` characters pass.
+    """
+    texts = queries.select("query_id", X.canonical_term(F.col("text")).alias("q")).filter(F.length("q") > 0)
+    longest = texts.agg(F.max(F.length("q"))).first()[0] or 0
+    possible = checkpoint(anchored_keys(keys.filter(F.length("key") <= longest), queries).select("key"))
+    # No more lengths than the longest text has characters.
+    sizes = possible.groupBy(F.length("key").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    lengths = sorted(r.length for r in sizes)
+    filled, bits = _key_filter(possible, sum(r.n for r in sizes))
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _bounded(batch, TEXT_CHARS):
+                joined = _Joined(part.column(1).to_pylist())
+                found, rows = [], []
+                for at, length in _substrings_in(shared.value, bits, lengths, joined):
+                    found += [joined.text[i : i + length] for i in at.tolist()]
+                    rows.append(np.searchsorted(joined.ends, at, "right"))
+                if found:
+                    owner = part.column(0).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([owner, pa.array(found, pa.string())], ["query_id", "key"])
+
+    kind = T.StructType([texts.schema["query_id"], T.StructField("key", T.StringType())])
+    return texts.mapInArrow(search, kind).distinct()
+
+
+def _bounded(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many characters of text, one row at least."""
+    before = np.cumsum([0, *pc.utf8_length(batch.column(1)).to_pylist()]) // chars
+    cuts = [0, *(np.nonzero(np.diff(before[:-1]))[0] + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        yield batch.slice(start, end - start)
 
 
 def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     """Cards whose key occurs in the query text: longest key first, ``limit`` cards per query.
 
-    Containment is an equi-join: a key is looked up by its gram of ``GRAM`` characters that is
-    rarest in the texts, and the text is then searched for the whole key. Of a key
-    shared by many cards only the first ``limit`` can ever be returned, so each key keeps
-    just those before the join.
+    Containment is an equi-join of whole keys: of a text only those substrings move that
+    pass a filter of the keys, so the work grows with the texts and not with
+    texts times keys. Of a key shared by many cards only the first ``limit`` can ever be
+    returned, so each key keeps just those before the join.
     """
     # Written once: the index is needed for the keys and for their cards.
     placed = checkpoint(index.groupBy("key", "id").agg(F.min("pos").alias("pos")))
@@ -156,18 +252,10 @@ def exact_term_match(index: DataFrame, queries: DataFrame, limit: int = EXACT_LI
     per_key = top_per_group(placed, ["key"], ["id"], limit, "_n").join(first, "key").select(
         "key", F.col("id").alias("card_id"), "first"
     )
-    # Keys are small but cutting them is not, so they are spread over all cores.
-    anchored = checkpoint(anchored_keys(spread(first.select("key"), "key"), queries))
-    size = anchored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
-    # Few keys may still be long ones.
-    small = size.n <= MAX_BROADCAST_ROWS and (size.bytes or 0) <= MAX_BROADCAST_BYTES
-    keys = F.broadcast(anchored) if small else anchored.hint("merge")
-    sizes = tuple(range(MIN_KEY_CHARS, GRAM + 1))
-    met = checkpoint(text_grams(queries, sizes).join(keys, "gram").select("query_id", "key").distinct())
-    found = met.filter(F.length("key") <= GRAM).unionByName(_holding(met, queries))
+    found = checkpoint(_held_substrings(first.select("key"), queries))
     order = F.struct((-F.length("key")).alias("length"), "first")
     cards = (
-        found.join(per_key, "key")
+        found.join(per_key.hint("merge"), "key")
         .groupBy("query_id", "card_id")
         .agg(F.min(order).alias("place"))
     )
