@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -218,3 +219,14 @@ def test_only_keys_that_a_text_holds_are_moved(spark):
     held = {(q, i) for q, t in enumerate(texts) for i, k in enumerate(keys) if k in t}
     got = {(r.query_id, r.card_id) for r in retrieval.exact_term_match(index, queries, limit=3000).collect()}
     assert got == held and held
+
+
+def test_scattered_postings_are_moved_once_for_all_queries(spark, tmp_path):
+    records = spark.createDataFrame([(i, "a b c a" if i % 2 else "b d") for i in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(q, "a c d") for q in range(30)], "query_id long, text string")
+    retrieval.build_index(records, str(tmp_path / "idx"), buckets=4)
+    found = retrieval.search_index(spark, str(tmp_path / "idx"), queries, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # By record, not by record and query.
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\d+L?, query_id", plan)
+    assert sorted(found.collect()) == sorted(retrieval.bm25_topk(records, queries, 5).collect())

@@ -504,10 +504,10 @@ def term_bucket(buckets: int) -> Column:
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
-    """Postings by term bucket; rebalancing splits the bucket of a frequent term into files."""
-    postings.withColumn("bucket", term_bucket(buckets)).hint("rebalance", "bucket").write.partitionBy(
-        "bucket"
-    ).mode("errorifexists").parquet(path)
+    """Postings by term bucket. Each task writes its own file of a bucket, so nothing is moved and
+    the bucket of a frequent term is as many files as any other."""
+    rows = postings.withColumn("bucket", term_bucket(buckets))
+    rows.write.partitionBy("bucket").mode("errorifexists").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
@@ -569,7 +569,7 @@ def search_index(
         F.col("bucket").isin(present)
     )
     terms = spark.read.parquet(f"{path}/terms")
-    return _best(postings, terms, totals.records, totals.tokens, queries, n)
+    return _best(postings, terms, totals.records, totals.tokens, queries, n, scattered=True)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -583,12 +583,19 @@ def _query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _best(
-    postings: DataFrame, terms: DataFrame, n_records: int, n_tokens: int, queries: DataFrame, n: int
+    postings: DataFrame,
+    terms: DataFrame,
+    n_records: int,
+    n_tokens: int,
+    queries: DataFrame,
+    n: int,
+    scattered: bool = False,
 ) -> DataFrame:
     """Best records per query by keyword score; only positive scores are returned.
 
     Only postings of query terms move. Query terms are counted first and broadcast
-    only when they are few.
+    only when they are few. ``scattered`` postings of a record don't lie together, so
+    they are moved once, before they meet the queries, rather than once for each query.
     """
     mean_length = (n_tokens or 1) / max(n_records, 1)
     query_terms = _query_terms(queries)
@@ -601,9 +608,12 @@ def _best(
     )
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(mean_length)
     gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length)
+    gains = postings.select("id", "term", gain.alias("gain"))
+    if scattered and n_terms <= MAX_BROADCAST_ROWS:
+        known = F.broadcast(query_terms.select("term").distinct())
+        gains = gains.join(known, "term", "left_semi").repartition("id")
     scores = (
-        postings.select("id", "term", gain.alias("gain"))
-        .join(wanted, "term")
+        gains.join(wanted, "term")
         .groupBy("id", "query_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
         .filter(F.col("score") > 0)
