@@ -247,3 +247,17 @@ def test_turn_case_files_are_read_back(spark, tmp_path):
         ("MT-1", 2, 'and its "first"\nlot?', "data", "L7", None, {"eqp": "M1", "n": "5"}, None),
         ("MT-4", 1, "é", "none", None, None, None, []),
     ]
+
+
+def test_a_split_is_written_without_moving_texts(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from yieldloom.sources import corpus_files
+
+    hints = []
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *rest: hints.append(name) or self)
+    rows = spark.createDataFrame([("a", "q", "train"), ("b", None, "test")], "source_id string, question string, split string")
+    corpus_files.write_splits(rows, str(tmp_path / "s"))
+    assert "rebalance" not in hints
+    back = corpus_files.read_splits(spark, str(tmp_path / "s"), rows.drop("split").schema).collect()
+    assert sorted((r.source_id, r.question, r.split) for r in back) == [("a", "q", "train"), ("b", None, "test")]
