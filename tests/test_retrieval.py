@@ -230,3 +230,42 @@ def test_scattered_postings_are_moved_once_for_all_queries(spark, tmp_path):
     # By record, not by record and query.
     assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\d+L?, query_id", plan)
     assert sorted(found.collect()) == sorted(retrieval.bm25_topk(records, queries, 5).collect())
+
+
+def test_scores_stay_with_their_record(spark):
+    records = spark.createDataFrame([(i, "a b c a" if i % 2 else "b d") for i in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(q, "a c d") for q in range(30)], "query_id long, text string")
+    plan = retrieval.bm25_topk(records, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#", plan) and "hashpartitioning(query_id#" in plan
+
+
+def test_scores_in_place_equal_those_added_up_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.array(["alpha", "beta", "gamma", "delta", "eps", "한글", "x_1", "rare"])
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.04, 0.01])) for _ in range(300)]
+    texts[10:60] = ["alpha Rare"] * 50
+    rows = [(i % 280 if i % 7 else i, t) for i, t in enumerate(texts)] + [(None, "rare"), (None, "rare eps"), (5, None), (900, "")]
+    asked = [(q, " ".join(rng.choice(words, 4))) for q in range(20)] + [(1, "rare rare"), (None, "eps"), (40, "unknown"), (41, None)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    for kind in ("long", "string"):
+        records = spark.createDataFrame(rows, "id long, text string").withColumn("id", F.col("id").cast(kind)).repartition(3)
+        for some in (records, records.groupBy("id").agg(F.max("text").alias("text")).repartition(2)):
+            with monkeypatch.context() as small:
+                small.setattr(retrieval, "SUMMANDS_PER_BLOCK", 100)
+                small.setattr(retrieval, "TOKENS_PER_BLOCK", 50)
+                small.setattr(retrieval, "ROWS_PER_BLOCK", 4)
+                here = retrieval.bm25_topk(some, queries, 6).collect()
+            with monkeypatch.context() as moved:
+                moved.setattr(retrieval, "MAX_BROADCAST_ROWS", 0)
+                there = retrieval.bm25_topk(some, queries, 6).collect()
+            assert sorted(map(str, here)) == sorted(map(str, there)) and len(here) > 100
+
+
+def test_terms_are_counted_without_sorting_a_text(spark, monkeypatch):
+    records = spark.createDataFrame([(1, "b a B"), (2, None), (3, ""), (None, "a 가나 a"), (1, "c")], "id long, text string").coalesce(1)
+    monkeypatch.setattr(retrieval, "TOKENS_PER_BLOCK", 3, raising=False)
+    rows = retrieval.bm25_postings(records)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "Exchange hash" not in plan
+    got = sorted((str(r.id), r.term, r.tf, r.dl) for r in rows.collect())
+    assert got == [("1", "a", 1, 3), ("1", "b", 2, 3), ("1", "c", 1, 1), ("None", "a", 2, 3), ("None", "가나", 1, 3)]

@@ -48,10 +48,20 @@ MAX_BROADCAST_VALUES = 4_000_000
 ROWS_PER_BLOCK = 10_000
 QUERIES_PER_BLOCK = 1_000
 
+# Tokens counted together, and summands of scores added up together.
+TOKENS_PER_BLOCK = 1 << 20
+SUMMANDS_PER_BLOCK = 1 << 20
+
 # Term buckets of a written keyword index.
 INDEX_BUCKETS = 64
 
 DISTANCE_ROWS = "query_id long, kind string, id long, distance double"
+TERM_COUNTS = T.StructType(
+    [
+        T.StructField("dl", T.IntegerType()),
+        T.StructField("counts", T.ArrayType(T.StructType().add("term", "string").add("tf", "long"))),
+    ]
+)
 
 
 # --- exact terms --------------------------------------------------------------------------
@@ -469,36 +479,55 @@ def tokenize(records: DataFrame) -> DataFrame:
     return records.select("id", X.tokens(F.col("text")).alias("tokens"))
 
 
-def bm25_postings(records: DataFrame) -> DataFrame:
-    """Postings (term, id, tf, dl) of all records, counted inside each record.
+def _counted(ids: pa.Array, tokens: pa.ListArray) -> pa.RecordBatch:
+    """Length and distinct terms of each row, for all rows at once."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    words = tokens.flatten().dictionary_encode()
+    kinds = max(len(words.dictionary), 1)
+    rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    keys, tf = np.unique(rows * kinds + words.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(keys, np.arange(len(lengths) + 1, dtype=np.int64) * kinds)
+    terms = words.dictionary.take(pa.array(keys % kinds))
+    counts = pa.StructArray.from_arrays([terms, pa.array(tf, pa.int64())], ["term", "tf"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)
+    return pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int32()), lists], ["id", "dl", "counts"])
 
-    A record is one row, so its sorted tokens fall into runs of equal ones and no
-    text or token is shuffled. Each step names the column of the one before more
-    than once, which keeps Spark from computing it anew for every element.
+
+def term_counts(records: DataFrame) -> DataFrame:
+    """Length in tokens and distinct terms of every record, a row each: (id, dl, counts of (term, tf)).
+
+    A record is one row, so its tokens are counted in its task, and no text or token is shuffled.
     """
-    tokens, starts = F.col("tokens"), F.col("starts")
-    length = F.size(tokens)
-    new = F.filter(
-        F.sequence(F.lit(0), length - 1),
-        lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)),
-    )
-    runs = F.transform(
-        starts,
-        lambda start, i: F.struct(
-            F.get(tokens, start).alias("term"),
-            (F.coalesce(F.get(starts, i + 1), length) - start).cast("long").alias("tf"),
-        ),
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                done = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, done + TOKENS_PER_BLOCK, "right")))
+                part = batch.slice(start, stop - start)
+                yield _counted(part.column("id"), part.column("tokens"))
+                start = stop
+
+    schema = T.StructType([records.schema["id"], *TERM_COUNTS.fields])
+    return tokenize(records).mapInArrow(count, schema)
+
+
+def _postings(counted: DataFrame) -> DataFrame:
     return (
-        tokenize(records)
-        .withColumn("tokens", F.sort_array("tokens"))
-        .withColumn("starts", F.when(length > 0, new).otherwise(F.array().cast("array<int>")))
-        .select("id", length.alias("dl"), F.inline_outer(runs))
+        counted.select("id", "dl", F.inline_outer("counts"))
         .filter(F.col("term").isNotNull())
         .select("term", "id", "tf", "dl")
     )
 
 
+def bm25_postings(records: DataFrame) -> DataFrame:
+    """Postings (term, id, tf, dl) of all records, counted inside each record."""
+    return _postings(term_counts(records))
+
+
 def term_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
@@ -597,45 +626,168 @@ def _best(
     only when they are few. ``scattered`` postings of a record don't lie together, so
     they are moved once, before they meet the queries, rather than once for each query.
     """
-    mean_length = (n_tokens or 1) / max(n_records, 1)
     query_terms = _query_terms(queries)
     n_terms = query_terms.limit(MAX_BROADCAST_ROWS + 1).count()
-    wanted = joined_side(
+    weights = _weights(query_terms, n_terms, idf_table(terms, n_records))
+    gains = _gains(postings, _mean_length(n_records, n_tokens))
+    if scattered and n_terms <= MAX_BROADCAST_ROWS:
+        known = F.broadcast(query_terms.select("term").distinct())
+        gains = gains.join(known, "term", "left_semi").repartition("id")
+    return _first_per_query(_scores(gains, joined_side(weights, n_terms)), n)
+
+
+def _weights(query_terms: DataFrame, n_terms: int, idfs: DataFrame) -> DataFrame:
+    """What a term counts in a query; terms that no record holds are left out."""
+    return (
         joined_side(query_terms, n_terms)
-        .join(idf_table(terms, n_records), "term")
-        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")),
-        n_terms,
+        .join(idfs, "term")
+        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     )
+
+
+def _mean_length(n_records: int, n_tokens: int | None) -> float:
+    return (n_tokens or 1) / max(n_records, 1)
+
+
+def _gains(postings: DataFrame, mean_length: float) -> DataFrame:
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.lit(mean_length)
     gain = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length)
-    gains = postings.select("id", "term", gain.alias("gain"))
-    if scattered and n_terms <= MAX_BROADCAST_ROWS:
-        known = F.broadcast(query_terms.select("term").distinct())
-        gains = gains.join(known, "term", "left_semi").repartition("id")
-    scores = (
-        gains.join(wanted, "term")
+    return postings.select("id", "term", gain.alias("gain"))
+
+
+def _scores(gains: DataFrame, weights: DataFrame) -> DataFrame:
+    """Positive scores (query_id, id, score), added up over all postings of an id."""
+    return (
+        gains.join(weights, "term")
         .groupBy("id", "query_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
         .filter(F.col("score") > 0)
+        .select("query_id", "id", "score")
     )
+
+
+def _first_per_query(scores: DataFrame, n: int) -> DataFrame:
     return top_per_group(scores, ["query_id"], [F.desc("score"), "id"], n, "rank").select(
         "query_id", "id", "score", "rank"
     )
 
 
+def _first_rows(found: list[pa.Table], n: int) -> pa.Table:
+    """The first n rows of each query number (column q), by score and then id."""
+    order = [("q", "ascending"), ("score", "descending"), ("id", "ascending")]
+    rows = pa.concat_tables(found)
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+    q = rows.column("q").to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < n))
+
+
+def _best_in_place(counted: DataFrame, weights: DataFrame, mean_length: float, n: int) -> DataFrame:
+    """Best n records per query of every task; no score of another record leaves it.
+
+    Each row of ``counted`` is taken as a whole record. ``weights`` go to the tasks.
+    """
+    rows = weights.toArrow()
+    queries, terms = (
+        rows.column(c).combine_chunks().dictionary_encode("encode") for c in ("query_id", "term")
+    )
+    order = np.argsort(terms.indices.to_numpy(), kind="stable")
+    starts = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+    owners, values = queries.indices.to_numpy()[order].astype(np.int64), rows.column("weight").to_numpy()[order]
+    shared = counted.sparkSession.sparkContext.broadcast(
+        (queries.dictionary, terms.dictionary, starts, owners, values)
+    )
+    # A record has at most as many summands as there are weights.
+    rows_per_block = max(1, SUMMANDS_PER_BLOCK // max(rows.num_rows, 1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known, first, owner, weight = shared.value
+        floor, best, found, waiting = np.zeros(len(asked)), 0, [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_per_block):
+                part = batch.slice(start, rows_per_block)
+                row, q, score = _block_scores(part, known, first, owner, weight, len(asked), mean_length, floor)
+                if not len(row):
+                    continue
+                ids = part.column("id").take(pa.array(row))
+                found.append(pa.table({"q": q, "id": ids, "score": score}))
+                waiting += len(row)
+                if waiting > max(best, ROWS_PER_BLOCK):
+                    kept = _first_rows(found, n)
+                    q = kept.column("q").to_numpy()
+                    full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == n - 1)
+                    floor[q[full]] = kept.column("score").to_numpy()[full]
+                    found, best, waiting = [kept], len(kept), 0
+        if found:
+            kept = _first_rows(found, n)
+            out = pa.table({"query_id": asked.take(kept.column("q").combine_chunks()), "id": kept.column("id"), "score": kept.column("score")})
+            yield from out.to_batches(max_chunksize=ROWS_PER_BLOCK)
+
+    schema = T.StructType([weights.schema["query_id"], counted.schema["id"]]).add("score", "double")
+    return counted.mapInArrow(search, schema)
+
+
+def _block_scores(
+    part: pa.RecordBatch,
+    known: pa.Array,
+    first: np.ndarray,
+    owner: np.ndarray,
+    weight: np.ndarray,
+    n_queries: int,
+    mean_length: float,
+    floor: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query number and score of every positive score that isn't below the query's floor."""
+    counts = part.column("counts")
+    terms, tf = counts.flatten().flatten()
+    row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(counts), 0).to_numpy())
+    term = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy()
+    held = np.flatnonzero(term >= 0)
+    row, term, tf = row[held], term[held], tf.to_numpy()[held]
+    length = (1 - BM25_B) + BM25_B * part.column("dl").to_numpy()[row] / mean_length
+    gain = tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)
+    # Each posting meets all queries that have its term.
+    n = first[term + 1] - first[term]
+    each = np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    scores = np.bincount(
+        np.repeat(row, n) * n_queries + owner[each],
+        weight[each] * np.repeat(gain, n),
+        part.num_rows * n_queries,
+    ).reshape(part.num_rows, n_queries)
+    scores = np.floor(scores * 1e6 + 0.5) / 1e6
+    row, q = np.nonzero((scores > 0) & (scores >= floor))
+    return row, q, scores[row, q]
+
+
 def bm25_topk(records: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """One search without an index: postings are written as they come, in no order, and read back.
+    """One search without an index: term counts are written by record and read back.
 
-    For more searches over the same records, ``build_index`` and ``search_index``.
+    While the query terms can be sent to the tasks, a record is scored where it lies and only
+    local top-n rows move; rows that share an id are added up by id. For more searches over
+    the same records, ``build_index`` and ``search_index``.
     """
     spark, path = records.sparkSession, scratch_path(records.sparkSession, "postings")
-    counted = bm25_postings(records)
+    counted = term_counts(records)
     counted.write.parquet(path)
-    postings = spark.read.schema(counted.schema).parquet(path)
+    counted = spark.read.schema(counted.schema).parquet(path)
     # Written out: its rows, its mean and its total are all needed.
-    terms = checkpoint(term_frequencies(postings))
-    n_tokens = terms.agg(F.sum("total_tf")).first()[0]
-    return _best(postings, terms, records.count(), n_tokens, queries, n)
+    terms = checkpoint(term_frequencies(_postings(counted)))
+    n_tokens, n_records = terms.agg(F.sum("total_tf")).first()[0], records.count()
+    query_terms = _query_terms(queries)
+    n_terms = query_terms.limit(MAX_BROADCAST_ROWS + 1).count()
+    rows_of_id = counted.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = checkpoint(rows_of_id.filter(F.col("_rows") > 1).select("_id"))
+    n_repeated = repeated.count()
+    if max(n_terms, n_repeated) > MAX_BROADCAST_ROWS:
+        return _best(_postings(counted), terms, n_records, n_tokens, queries, n)
+    weights = checkpoint(_weights(query_terms, n_terms, idf_table(terms, n_records)))
+    mean_length = _mean_length(n_records, n_tokens)
+    if not n_repeated:
+        return _first_per_query(_best_in_place(counted, weights, mean_length, n), n)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    single = counted.join(F.broadcast(repeated), same, "left_anti")
+    shared = _postings(counted.join(F.broadcast(repeated), same, "left_semi"))
+    added_up = _scores(_gains(shared, mean_length), F.broadcast(weights))
+    return _first_per_query(_best_in_place(single, weights, mean_length, n).unionByName(added_up), n)
 
 
 # --- fusion and scoring -------------------------------------------------------------------
